@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, configure, input_bytes, learns, mix, posix, shared_folder, texts_of, words_of, write_atomic
+from .common import MIX, configure, input_bytes, learns, mix, posix, shared_folder, texts_of, word_hashes, words_of, write_atomic
 
 #: Words are 48-bit hashes; the two marks can't be made by a word's hash, which is made odd.
 WORD_BITS = np.uint64((1 << 48) - 1)
 BEGIN, END = np.uint64(2), np.uint64(4)
 #: Tokens that a map task combines before it sends blocks.
-RUN_TOKENS = 1_500_000
+RUN_TOKENS = 700_000
 #: Input bytes for each owner.
-OWNER_BYTES = 12 << 20
+OWNER_BYTES = 6 << 20
 #: n-grams in a bucket of an array, about.
 BUCKET = 48
 VALUES = ("a", "raw", "total", "n1", "n2", "n3")
@@ -96,8 +96,8 @@ def unsmall(raw: bytes, at: int, rows: int) -> tuple[np.ndarray, int]:
     return x, at + rows + 4 + 8 * n
 
 
-def token_hashes(text: bytes, memo: WordHashes) -> np.ndarray:
-    h = memo.of(words_of(text)) & WORD_BITS | np.uint64(1)
+def token_hashes(text: bytes) -> np.ndarray:
+    h = word_hashes(words_of(text)) & WORD_BITS | np.uint64(1)
     return np.append(h, END)
 
 
@@ -127,7 +127,7 @@ def batch_of(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def counting(order: int, owners: int):
     def run(batches):
-        memo, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def flush():
             keys = windows(held, order)
@@ -135,7 +135,7 @@ def counting(order: int, owners: int):
 
         for b in batches:
             for text in texts_of(b, "text"):
-                held.append(token_hashes(text, memo))
+                held.append(token_hashes(text))
                 n += len(held[-1])
                 if n >= RUN_TOKENS:
                     yield flush()
@@ -323,9 +323,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     """Each row's log10 probability, its tokens, those known, and the smoothed unigram score."""
 
     def run(batches):
-        memo, scorer, s1 = WordHashes(), model.open(), model.sums[0]
+        scorer, s1 = model.open(), model.sums[0]
         for b in batches:
-            tokens = [token_hashes(x, memo) for x in texts_of(b, "text")]
+            tokens = [token_hashes(x) for x in texts_of(b, "text")]
             if not tokens:
                 continue
             starts = np.concatenate(([0], np.cumsum([len(t) for t in tokens])[:-1]))

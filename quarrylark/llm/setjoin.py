@@ -23,59 +23,83 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, configure, connected, materialise, mix, release, texts_of, words_of
+from .common import configure, connected, materialise, mix, release, texts_of, word_hashes, words_of
 
 #: A shingle is frequent when it is in more than this share of rows.
 HEAVY = 1 / 500
 #: Shingles that a map task combines when it counts frequencies.
-RUN = 1_500_000
+RUN = 500_000
+#: Bytes of text that one pass of array operations takes, about.
+CHUNK = 1_000_000
+#: Odd multipliers of a window's words.
+FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) | 1) for i in range(16)]
+#: Rows of postings that are looked at together, about.
+ROWS = 60_000
 #: Pairs that one pass of array operations expands.
 PAIRS = 500_000
 
 
-def shingle_sets(texts: list[bytes], k: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts (sorted within each) and how many each text has."""
     words = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    flat = memo.of([x for w in words for x in w])
-    begin = np.cumsum(sizes) - sizes
-    n = np.where(sizes == 0, 0, np.maximum(sizes - k + 1, 1))
-    doc = np.repeat(np.arange(len(texts)), n)
-    start = begin[doc] + np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-    room = np.minimum(k, sizes)[doc]
-    h = room.astype(np.uint64)
+    flat = word_hashes([x for w in words for x in w])
+    ends = np.cumsum(sizes)
+    n = np.maximum(sizes - k + 1, 0)
+    h = np.zeros(max(0, len(flat) - k + 1), np.uint64)
     for i in range(k):
-        there = room > i
-        h = np.where(there, mix(h * MIX + flat[np.minimum(start + i, max(0, len(flat) - 1))]), h) if len(flat) else h
-    h >>= np.uint64(1)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+        h += flat[i : len(flat) - k + 1 + i] * FACTORS[i]
+    h = mix(h) >> np.uint64(1)
+    whole = np.ones(len(flat), bool)  # starts of windows that stay in their text
+    for i in range(1, k):
+        at = ends - i
+        whole[at[at >= 0]] = False
+    h = h[whole[: len(h)]]
+    short = np.flatnonzero((sizes > 0) & (sizes < k))
+    if len(short):  # the whole sequence is the one shingle
+        before = (np.cumsum(n) - n)[short]
+        n[short] = 1
+        own = [np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words[i])) >> 1) for i in short]
+        h = np.insert(h, before, own)
+    ends = np.cumsum(n)
+    for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        h[a:b].sort()
     first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[first], np.bincount(doc[first], minlength=len(texts))
+    first[1:] = h[1:] != h[:-1]
+    first[(ends - n)[n > 0]] = True
+    counts = np.add.reduceat(first, (ends - n)[n > 0]) if len(h) else np.zeros(0, np.int64)
+    n[n > 0] = counts
+    return h[first], n
 
 
 def set_prints(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set, as two longs."""
     some = np.flatnonzero(n)
-    starts = (np.cumsum(n) - n)[some]
-    out = []
-    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-        x = np.zeros(len(n), np.uint64)
-        if len(some):
-            x[some] = mix(np.add.reduceat(mix(h ^ np.uint64(salt)), starts) + n[some].astype(np.uint64))
-        out.append(x.view(np.int64))
-    return out[0], out[1]
+    hi, lo = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if len(some):
+        starts, x = (np.cumsum(n) - n)[some], mix(h)
+        lo[some] = np.add.reduceat(x, starts)
+        hi[some] = np.add.reduceat((x ^ (x >> np.uint64(29))) * FACTORS[0], starts)
+    return hi.view(np.int64), lo.view(np.int64)
+
+
+def slices(batches):
+    """Batches cut into runs of rows with about CHUNK bytes."""
+    for b in batches:
+        n = max(1, b.num_rows * CHUNK // max(CHUNK, b.nbytes))
+        for s in range(0, b.num_rows, n):
+            yield b.slice(s, n)
 
 
 def summarising(k: int):
     """Rows of kind 0: key, size and print of a text's set; of kind 1: a shingle and its count in a run, if not rare there."""
 
     def run(batches):
-        memo, held, total, docs = WordHashes(), [], 0, 0
+        held, total, docs = [], 0, 0
 
         def frequent():
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -84,8 +108,8 @@ def summarising(k: int):
             z = np.zeros(len(h), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h), pa.array(c.astype(np.int64)), pa.array(z), pa.array(z)], NAMES)
 
-        for b in batches:
-            h, n = shingle_sets(texts_of(b, "text"), k, memo)
+        for b in slices(batches):
+            h, n = shingle_sets(texts_of(b, "text"), k)
             hi, lo = set_prints(h, n)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("key"), pa.array(n.astype(np.int64)), pa.array(hi), pa.array(lo)], NAMES)
             held.append(h)
@@ -115,9 +139,9 @@ def posting(k: int, share: int, heavy):
     """Postings of each text's prefix; equal sets of a batch post once, under their smallest key."""
 
     def run(batches):
-        memo, (often, rank) = WordHashes(), heavy.value
-        for b in batches:
-            h, n = shingle_sets(texts_of(b, "text"), k, memo)
+        often, rank = heavy.value
+        for b in slices(batches):
+            h, n = shingle_sets(texts_of(b, "text"), k)
             _, lo = set_prints(h, n)
             key = b.column("key").to_numpy()
             order = np.lexsort((key, lo, n))
@@ -132,9 +156,12 @@ def posting(k: int, share: int, heavy):
             if len(often) and len(h):
                 at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                 h = np.where(often[at] == h, rank[at] | np.uint64(1 << 63), h)
-                h = h[np.lexsort((h, doc))]
             n2 = np.where(use, n, 0)
-            pos = np.arange(len(h)) - np.repeat(np.cumsum(n2) - n2, n2)
+            begin = np.cumsum(n2) - n2
+            if len(often):
+                for i in np.flatnonzero(n2).tolist():
+                    h[begin[i] : begin[i] + n2[i]].sort()
+            pos = np.arange(len(h)) - np.repeat(begin, n2)
             near = pos < prefix(n, share)[doc]
             h, doc, pos = h[near], doc[near], pos[near]
             for s in range(0, len(h), 200_000):
@@ -146,18 +173,22 @@ def posting(k: int, share: int, heavy):
 
 def lists_of(batches, columns: list[str]):
     """Whole lists (runs of one token) of a partition sorted by token, as many at a time as the batches hold."""
-    rest = None
+    rest: list[dict] = []
+    rows = 0
     for b in batches:
-        now = {c: b.column(c).to_numpy() for c in columns}
-        if rest is not None:
-            now = {c: np.concatenate((rest[c], now[c])) for c in columns}
-        t = now["token"]
-        cut = int(np.searchsorted(t, t[-1])) if len(t) else 0
+        if b.num_rows:
+            rest.append({c: b.column(c).to_numpy() for c in columns})
+            rows += b.num_rows
+        if rows < ROWS or not rest:
+            continue
+        now = {c: np.concatenate([x[c] for x in rest]) for c in columns}
+        cut = int(np.searchsorted(now["token"], now["token"][-1]))
         if cut:
             yield {c: x[:cut] for c, x in now.items()}
-        rest = {c: x[cut:] for c, x in now.items()}
-    if rest is not None and len(rest["token"]):
-        yield rest
+        rest = [{c: x[cut:] for c, x in now.items()}]
+        rows = min(ROWS // 2, rows - cut)  # a list longer than ROWS is looked at again with half as many more
+    if rest:
+        yield {c: np.concatenate([x[c] for x in rest]) for c in columns}
 
 
 def leading(share: int):
@@ -199,73 +230,90 @@ def leading(share: int):
     return run
 
 
-def crossing(share: int, whole: bool):
-    """Candidate pairs of different components in each list, by skipping through its blocks.
+def crossing(share: int):
+    """Candidate pairs (a, b) of different components, with their sizes and the lists they share.
 
-    whole False: pairs of leaders (a, b) with the largest slack = |x - lx| + |z - lz| - needed of what they stand for;
-    whole True: the pairs (x, z) themselves with their leaders.
+    A list is read in blocks of one size. For a probing set at position i of n, a set of size m links only if all
+    shingles shared so far and all that may follow reach the needed overlap o: min(i, j) + min(n - i, m - j) >= o.
+    So each block is entered at position i - (n - o) and left at i + (m - o), and what lies outside is skipped.
     """
 
-    def pairs_of(x: dict) -> list[dict]:
-        """x: one list, sorted by size and position."""
-        out, comp = [], x["comp"]
+    def expand(x: dict):
+        """x: one list, sorted by size and position; (row, row) of pairs."""
+        comp = x["comp"]
         names, back, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return out
-        probes = np.flatnonzero(back != np.argmax(counts))  # all pairs of two components have one side here
+        probing = back != np.argmax(counts)  # any pair of two components has one side here
         size, pos = x["at"] >> 32, x["at"] & 0xFFFFFFFF
         sizes, block = np.unique(size, return_index=True)
-        probing = back != np.argmax(counts)
+        probes = np.flatnonzero(probing)
         lo = np.searchsorted(sizes, -(-size[probes] * share // 100))
         hi = np.searchsorted(sizes, size[probes] * 100 // share, side="right")
         for s in range(0, len(probes), 4096):
             p, l, h = probes[s : s + 4096], lo[s : s + 4096], hi[s : s + 4096]
             who = np.repeat(p, h - l)
             b = np.arange(len(who)) - np.repeat(np.cumsum(h - l) - (h - l), h - l) + np.repeat(l, h - l)
-            need = needed(size[who], sizes[b], share)
-            ok = pos[who] <= size[who] - need
-            who, b, need = who[ok], b[ok], need[ok]
-            first = block[b]
-            last = np.searchsorted(x["at"], (sizes[b] << 32) + np.minimum(sizes[b] - need, 0xFFFFFFFF), side="right")
+            n, m, i = size[who], sizes[b], pos[who]
+            need = needed(n, m, share)
+            first = np.searchsorted(x["at"], (m << 32) + np.maximum(i - (n - need), 0))
+            last = np.searchsorted(x["at"], (m << 32) + np.clip(i + (m - need), -1, 0xFFFFFFFF), side="right")
             n = np.maximum(last - first, 0)
-            ends = np.cumsum(n)
-            at = 0
+            ends, at = np.cumsum(n), 0
             while at < len(n):
                 stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
                 c = n[at:stop]
                 i = np.repeat(who[at:stop], c)
                 j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:stop], c)
                 keep = (comp[i] != comp[j]) & (~probing[j] | (i < j))
-                i, j = i[keep], j[keep]
-                if len(i):
-                    out.append(pick(x, size, i, j))
+                yield i[keep], j[keep]
                 at = stop
-        return out
-
-    def pick(x, size, i, j) -> dict:
-        li, lj = x["leader"][i], x["leader"][j]
-        slack = x["miss"][i] + x["miss"][j] - needed(size[i], size[j], share)
-        a, b = np.minimum(li, lj), np.maximum(li, lj)
-        if whole:
-            return {"a": a, "b": b, "x": x["id"][i], "z": x["id"][j], "slack": slack}
-        order = np.lexsort((-slack, b, a))
-        first = np.ones(len(order), bool)
-        first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        o = order[first]
-        return {"a": a[o], "b": b[o], "slack": slack[o]}
-
-    names = ["a", "b", "x", "z", "slack"] if whole else ["a", "b", "slack"]
+
+    def summed(parts: list):
+        a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        na, nb = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
+        order = np.lexsort((b, a))
+        a, b, na, nb = a[order], b[order], na[order], nb[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        c = np.diff(np.append(np.flatnonzero(new), len(a)))
+        return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (a[new], b[new], na[new], nb[new], c)], ["a", "b", "na", "nb", "c"])
 
     def run(batches):
-        for x in lists_of(batches, ["token", "id", "at", "comp", "leader", "miss"]):
+        parts, held = [], 0
+        for x in lists_of(batches, ["token", "id", "at", "comp"]):
             order = np.lexsort((x["id"], x["at"], x["token"]))
             x = {c: v[order] for c, v in x.items()}
             cut = np.flatnonzero(np.concatenate(([True], x["token"][1:] != x["token"][:-1], [True])))
             # lists of one component have nothing to add
             many = np.minimum.reduceat(x["comp"], cut[:-1]) != np.maximum.reduceat(x["comp"], cut[:-1])
-            for k in np.flatnonzero(many):
-                for out in pairs_of({c: v[cut[k] : cut[k + 1]] for c, v in x.items()}):
-                    yield pa.RecordBatch.from_arrays([pa.array(out[c].astype(np.int64)) for c in names], names)
+            two = np.diff(cut) == 2
+            k = cut[:-1][many & two]  # most lists: a single pair
+            if len(k):
+                pairs = [(k, k + 1)]
+                n, m = x["at"][k] >> 32, x["at"][k + 1] >> 32
+                i, j = x["at"][k] & 0xFFFFFFFF, x["at"][k + 1] & 0xFFFFFFFF
+                ok = np.minimum(i, j) + np.minimum(n - i, m - j) >= needed(n, m, share)
+                pairs = [(k[ok], k[ok] + 1)]
+            else:
+                pairs = []
+            for at in np.flatnonzero(many & ~two):
+                base = cut[at]
+                pairs += [(i + base, j + base) for i, j in expand({c: v[base : cut[at + 1]] for c, v in x.items()})]
+                if sum(len(i) for i, _ in pairs) > PAIRS:
+                    parts += [sides(x, i, j) for i, j in pairs]
+                    yield summed(parts)
+                    parts, pairs, held = [], [], 0
+            parts += [sides(x, i, j) for i, j in pairs]
+            held += sum(len(i) for i, _ in pairs)
+            if held > PAIRS:
+                yield summed(parts)
+                parts, held = [], 0
+        if held:
+            yield summed(parts)
+
+    def sides(x, i, j):
+        swap = x["id"][i] > x["id"][j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        return x["id"][a], x["id"][b], x["at"][a] >> 32, x["at"][b] >> 32
 
     return run
 
@@ -275,9 +323,8 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "involved")
 
     def run(batches):
-        memo = WordHashes()
-        for b in batches:
-            h, n = shingle_sets(texts_of(b, "text"), k, memo)
+        for b in slices(batches):
+            h, n = shingle_sets(texts_of(b, "text"), k)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("key"), lists], ["key", "tokens"])
 
@@ -311,34 +358,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     lists = materialise(lists, "lists")
     release(spark)
 
-    # leaders first: of each set the three that share most of its lists; others are left to the bound
-    star = lists.filter("id <> leader").groupBy("id", "leader").count()
-    star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "leader"))).filter("r <= 3")
+    # leaders first: of each set the one that shares most of its lists, if enough to promise a link
+    star = lists.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("at"))
+    star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "leader"))).filter("r = 1")
+    star = star.filter(F.col("c") * 300 >= F.shiftright("at", 32) * (100 - share))  # a third of the prefix
     star = materialise(star.select(F.col("leader").alias("a"), F.col("id").alias("b")), "star")
     links = materialise(verified(docs, star, k).filter(linked(share)), "links")
     release(spark)
     comps = connected(links)
-    # the leader that a set shares most with, and how much of the set it lacks
-    best = links.groupBy("b").agg(F.max(F.struct("overlap", "a", "nb")).alias("m")).select(F.col("b").alias("id"), F.col("m.a").alias("leader"), (F.col("m.nb") - F.col("m.overlap")).cast("long").alias("miss"))
-    info = materialise(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")).join(best, "id", "left"), "followers")
-
-    def dealt(rows):
-        return rows.repartition("token").sortWithinPartitions("token")
-
-    known = lists.select("token", "id", "at").join(info, "id", "left")
-    known = known.select("token", "id", "at", F.coalesce("comp", "id").alias("comp"), F.coalesce("leader", "id").alias("leader"), F.coalesce("miss", F.lit(0)).cast("long").alias("miss"))
-    cross = dealt(known).mapInArrow(crossing(share, False), "a long, b long, slack long").groupBy("a", "b").agg(F.max("slack").alias("slack"))
-    cross = materialise(cross, "leaders")
-    settled = materialise(verified(docs, cross.filter("a <> b"), k), "settled")
+    # the leader of a set, and how much of the set it lacks
+    best = links.select(F.col("b").alias("id"), F.col("a").alias("leader"), (F.col("nb") - F.col("overlap")).cast("long").alias("miss"))
+    known = lists.select("token", "id", "at").join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left")
+    known = known.select("token", "id", "at", F.coalesce("comp", "id").alias("comp"))
+    cross = known.repartition("token").sortWithinPartitions("token").mapInArrow(crossing(share), "a long, b long, na long, nb long, c long")
+    cross = cross.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    # what two prefixes share and the longer rest bound the overlap
+    need = F.ceil(F.lit(share) * (F.col("na") + F.col("nb")) / F.lit(100 + share))
+    rest = F.greatest(F.ceil(F.col("na") * share / 100), F.ceil(F.col("nb") * share / 100)) - 1
+    cross = cross.withColumn("need", need.cast("long")).filter(F.col("c") + rest >= F.col("need")).select("a", "b", "need")
+    for side in ("a", "b"):
+        cross = cross.join(best.select(F.col("id").alias(side), F.col("leader").alias(f"l{side}"), F.col("miss").alias(f"m{side}")), side, "left")
+    cross = cross.select("a", "b", "need", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), (F.coalesce("ma", F.lit(0)) + F.coalesce("mb", F.lit(0))).alias("miss"))
+    cross = materialise(cross.select("a", "b", "need", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"), "miss"), "candidates")
+    settled = materialise(verified(docs, cross.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), k), "settled")
     links = links.select("a", "b").unionByName(settled.filter(linked(share)).select("a", "b"))
-    open_pairs = settled.filter(~linked(share)).filter("overlap + slack >= 0").select("a", "b", "overlap")
-    open_pairs = materialise(open_pairs, "open")
+    # followers take the answer of their leaders where it settles theirs
+    left = cross.filter("la <> a OR lb <> b").filter("NOT (la = b AND lb = a)").join(settled.filter(~linked(share)).select(F.col("a").alias("la"), F.col("b").alias("lb"), "overlap"), ["la", "lb"])
+    left = materialise(left.filter("overlap + miss >= need").select("a", "b").distinct(), "pairs")
     release(spark)
-    if open_pairs.limit(1).count():
-        nodes = open_pairs.select(F.explode(F.array("a", "b")).alias("leader")).distinct()
-        left = dealt(known.join(nodes, "leader", "left_semi").select("token", "id", "at", "comp", "leader", "miss")).mapInArrow(crossing(share, True), "a long, b long, x long, z long, slack long")
-        left = left.join(open_pairs, ["a", "b"]).filter("overlap + slack >= 0").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
-        links = links.unionByName(verified(docs, materialise(left, "pairs"), k).filter(linked(share)).select("a", "b"))
+    if left.limit(1).count():
+        links = links.unionByName(materialise(verified(docs, left, k).filter(linked(share)).select("a", "b"), "late"))
     comps = connected(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "comp")
     reps = slim.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep"))
     reps = reps.join(comps, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("comp"))

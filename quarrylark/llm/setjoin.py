@@ -1,19 +1,19 @@
 """Exact Jaccard join of word-shingle sets with index-level and answer-level skipping.
 
-Index. Shingles are put in one global order: by a 63-bit hash, the frequent ones (held by more than HEAVY of all rows;
-their number is bounded by mean set size / HEAVY) last, by frequency. Two sets that link share a shingle within the
+Index. Shingles are put in one global order, the rare first: by how often the shingles of their hash bucket occur in
+all rows (an array of fixed size), then by hash. Two sets that link share a shingle within the
 first n - ceil(t n) + 1 of each, so only those become postings (shingle, set, size, position). A list is kept sorted
 by size and then position; for a probing set every size is a block, and the largest position that still allows the
 needed overlap cuts the block, so the rest of it is skipped without being read.
 
-Answers. Equal sets are one set. In each list the smallest set of a size range leads; sets are verified against their
+Answers. Equal sets are one set. In each list the set with the fewest rare shingles leads; sets are verified against their
 leaders first, and those that link are one component at once, never paired with each other. A set then derives its
 answers from its leader's: |x & z| <= |lx & lz| + |x - lx| + |z - lz|, so one verified pair of leaders settles all
 pairs of their followers whose bound stays below the needed overlap. Only pairs of different components that the bound
 leaves open are verified themselves.
 
-Components come from star contraction of the links. Nothing of the corpus comes to the driver but sums and the bounded
-frequent shingles. Any order is correct: frequencies only decide how short the lists are.
+Components come from star contraction of the links. Nothing of the corpus comes to the driver but sums and the array of
+bucket counts. Any order is correct: frequencies only decide how short the lists are.
 
 Defined results: null text is empty; a text without words has an empty set and links with nothing; with fewer words
 than a shingle the whole sequence is the one shingle; repeated rows are equal sets.
@@ -29,10 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import configure, connected, materialise, mix, release, texts_of, word_hashes, words_of
 
-#: A shingle is frequent when it is in more than this share of rows.
-HEAVY = 1 / 500
-#: Shingles that a map task combines when it counts frequencies.
-RUN = 500_000
+#: Shingles are counted by bucket of their hash, in slices that tasks send: 16 MB whatever the corpus.
+BUCKET_BITS, SLICE_BITS = 22, 6
+SLICES = 1 << SLICE_BITS
 #: Bytes of text that one pass of array operations takes, about.
 CHUNK = 1_000_000
 #: Odd multipliers of a window's words.
@@ -96,34 +95,48 @@ def slices(batches):
 
 
 def summarising(k: int):
-    """Rows of kind 0: key, size and print of a text's set; of kind 1: a shingle and its count in a run, if not rare there."""
+    """Rows of kind 0: key, size and print of a text's set; of kind 1: a slice of the task's counts of shingles by bucket."""
 
     def run(batches):
-        held, total, docs = [], 0, 0
-
-        def frequent():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= max(3, docs * HEAVY / 2)
-            h, c = h[often].view(np.int64), c[often]
-            z = np.zeros(len(h), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.array(h), pa.array(c.astype(np.int64)), pa.array(z), pa.array(z)], NAMES)
-
+        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         for b in slices(batches):
             h, n = shingle_sets(texts_of(b, "text"), k)
             hi, lo = set_prints(h, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("key"), pa.array(n.astype(np.int64)), pa.array(hi), pa.array(lo)], NAMES)
-            held.append(h)
-            total, docs = total + len(h), docs + len(n)
-            if total >= RUN:
-                yield frequent()
-                held, total, docs = [], 0, 0
-        if held:
-            yield frequent()
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("key"), pa.array(n), pa.array(hi), pa.array(lo), pa.nulls(len(n), pa.binary())], NAMES)
+            at, c = np.unique(bucket_of(h), return_counts=True)
+            counts[at] += c.astype(np.uint32)
+        parts = counts.reshape(SLICES, -1)
+        some = np.flatnonzero(parts.any(1))
+        z = np.zeros(len(some), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some.astype(np.int64)), pa.array(z), pa.array(z), pa.array(z), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in parts[some]], pa.binary())], NAMES)
 
     return run
 
 
-NAMES = ["kind", "key", "n", "hi", "lo"]
+NAMES = ["kind", "key", "n", "hi", "lo", "block"]
+
+
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(63 - BUCKET_BITS)).astype(np.int64)
+
+
+def adding(batches):
+    """Sums of the slices that meet in a partition, as they come."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for key, block in zip(b.column("key").to_pylist(), b.column("block").to_pylist(), strict=True):
+            x = np.frombuffer(pa.decompress(block, 4 << BUCKET_BITS >> SLICE_BITS, codec="zstd", asbytes=True), np.uint32)
+            sums[key] = sums[key] + x if key in sums else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["key", "block"])
+
+
+def frequencies(blocks: DataFrame) -> np.ndarray:
+    """Occurrences of the shingles of each bucket over all rows: an array of fixed size."""
+    got = blocks.repartition(SLICES, "key").mapInArrow(adding, "key long, block binary").toArrow()
+    out = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES), np.uint32)
+    for key, block in zip(got.column("key").to_pylist(), got.column("block").to_pylist(), strict=True):
+        out[key] = np.frombuffer(block, np.uint32)
+    return out.ravel()
 
 
 def prefix(n: np.ndarray, share: int) -> np.ndarray:
@@ -135,11 +148,11 @@ def needed(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
     return -(-share * (a + b) // (100 + share))
 
 
-def posting(k: int, share: int, heavy):
+def posting(k: int, share: int, frequent):
     """Postings of each text's prefix; equal sets of a batch post once, under their smallest key."""
 
     def run(batches):
-        often, rank = heavy.value
+        counts = frequent.value
         for b in slices(batches):
             h, n = shingle_sets(texts_of(b, "text"), k)
             _, lo = set_prints(h, n)
@@ -153,14 +166,12 @@ def posting(k: int, share: int, heavy):
             doc = np.repeat(np.arange(len(n)), n)
             mine = use[doc]
             h, doc = h[mine], doc[mine]
-            if len(often) and len(h):
-                at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                h = np.where(often[at] == h, rank[at] | np.uint64(1 << 63), h)
+            often = np.minimum(counts[bucket_of(h)], (1 << 23) - 1).astype(np.uint64)
+            h = often << np.uint64(40) | h & np.uint64((1 << 40) - 1)
             n2 = np.where(use, n, 0)
             begin = np.cumsum(n2) - n2
-            if len(often):
-                for i in np.flatnonzero(n2).tolist():
-                    h[begin[i] : begin[i] + n2[i]].sort()
+            for i in np.flatnonzero(n2).tolist():
+                h[begin[i] : begin[i] + n2[i]].sort()
             pos = np.arange(len(h)) - np.repeat(begin, n2)
             near = pos < prefix(n, share)[doc]
             h, doc, pos = h[near], doc[near], pos[near]
@@ -192,7 +203,11 @@ def lists_of(batches, columns: list[str]):
 
 
 def leading(share: int):
-    """Lists of two sets or more as rows (token, id, at, leader): the leader is the first set of the size range."""
+    """Lists of two sets or more as rows (token, id, at, leader).
+
+    The leader has the token at the smallest position, so the fewest rare shingles of its own: of near copies, the one
+    that the others were most likely made from. Sets out of its size range have another leader.
+    """
 
     def run(batches):
         for x in lists_of(batches, ["token", "id", "lo", "at"]):
@@ -203,26 +218,21 @@ def leading(share: int):
             t, i, at = t[new], i[new], at[new]  # copies of one set share token and place; the smallest id stays
             start = np.ones(len(t), bool)
             start[1:] = t[1:] != t[:-1]
-            size = at >> 32
             runs = np.diff(np.append(np.flatnonzero(start), len(t)))
             many = np.repeat(runs > 1, runs)
-            t, i, at, size, start = t[many], i[many], at[many], size[many], start[many]
+            t, i, at = t[many], i[many], at[many]
             if not len(t):
                 continue
-            # a leader is the first of the list or the first too large for the leader before it
-            begins = np.flatnonzero(start)
-            ends = np.append(begins[1:], len(t))
-            at_list = np.arange(len(begins))
-            pos = begins.copy()
-            reach = np.zeros(len(t), np.int64)
-            key = np.repeat(at_list, ends - begins) * (1 << 33) + size
-            while len(at_list):
-                stop = np.searchsorted(key, at_list * (1 << 33) + size[pos] * 100 // share, side="right")
-                for_all = np.repeat(pos, stop - pos)
-                reach[np.concatenate([np.arange(a, b) for a, b in zip(pos, stop, strict=True)])] = for_all
-                more = stop < ends[at_list]
-                at_list, pos = at_list[more], stop[more]
-            lead = i[reach]
+            size, pos = at >> 32, at & 0xFFFFFFFF
+            lead = np.empty(len(t), np.int64)
+            left = np.lexsort((i, size, pos, t))
+            while len(left):
+                head = np.ones(len(left), bool)
+                head[1:] = t[left][1:] != t[left][:-1]
+                whose = left[np.flatnonzero(head)[np.cumsum(head) - 1]]
+                near = (size[left] * 100 >= size[whose] * share) & (size[left] * share <= size[whose] * 100)
+                lead[left[near]] = i[whose[near]]
+                left = left[~near]
             for s in range(0, len(t), 200_000):
                 e = slice(s, s + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(t[e]), pa.array(i[e]), pa.array(at[e]), pa.array(lead[e])], ["token", "id", "at", "leader"])
@@ -344,16 +354,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     spark = docs.sparkSession
     configure(spark)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL")
-    both = materialise(docs.mapInArrow(summarising(k), "kind int, key long, n long, hi long, lo long"), "prints")
+    both = materialise(docs.mapInArrow(summarising(k), "kind int, key long, n long, hi long, lo long, block binary"), "prints")
     slim = both.filter("kind = 0").select("key", "n", "hi", "lo")
-    total = slim.count()
-    often = both.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") >= max(8, total * HEAVY)).toArrow()
-    h, c = often.column("key").to_numpy().view(np.uint64), often.column("c").to_numpy()
-    rank = np.empty(len(h), np.uint64)
-    rank[np.lexsort((h, c))] = np.arange(len(h), dtype=np.uint64)
-    order = np.argsort(h)
-    heavy = spark.sparkContext.broadcast((h[order], rank[order]))  # mean set size / HEAVY entries at most
-    postings = docs.mapInArrow(posting(k, share, heavy), "token long, id long, lo long, at long")
+    frequent = spark.sparkContext.broadcast(frequencies(both.filter("kind = 1").select("key", "block")))  # of fixed size
+    postings = docs.mapInArrow(posting(k, share, frequent), "token long, id long, lo long, at long")
     lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(leading(share), "token long, id long, at long, leader long")
     lists = materialise(lists, "lists")
     release(spark)
@@ -361,7 +365,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # leaders first: of each set the one that shares most of its lists, if enough to promise a link
     star = lists.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("at"))
     star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "leader"))).filter("r = 1")
-    star = star.filter(F.col("c") * 300 >= F.shiftright("at", 32) * (100 - share))  # a third of the prefix
+    star = star.filter(F.col("c") * 400 >= F.shiftright("at", 32) * (100 - share))  # a quarter of the prefix
     star = materialise(star.select(F.col("leader").alias("a"), F.col("id").alias("b")), "star")
     links = materialise(verified(docs, star, k).filter(linked(share)), "links")
     release(spark)

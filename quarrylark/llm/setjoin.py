@@ -148,6 +148,12 @@ def needed(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
     return -(-share * (a + b) // (100 + share))
 
 
+def shared_least(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
+    """Shingles that two sets must share in their prefixes: more of them in longer ones, as far as postings reach."""
+    need = needed(a, b, share)
+    return np.minimum(1 + need // 32, need - -(-np.maximum(a, b) * share // 100) + 1)
+
+
 def posting(k: int, share: int, frequent):
     """Postings of each text's prefix; equal sets of a batch post once, under their smallest key."""
 
@@ -243,9 +249,9 @@ def leading(share: int):
 def crossing(share: int):
     """Candidate pairs (a, b) of different components, with their sizes and the lists they share.
 
-    A list is read in blocks of one size. For a probing set at position i of n, a set of size m links only if all
-    shingles shared so far and all that may follow reach the needed overlap o: min(i, j) + min(n - i, m - j) >= o.
-    So each block is entered at position i - (n - o) and left at i + (m - o), and what lies outside is skipped.
+    Sets of n and m shingles that share o or more share at least l of their first n - o + l and m - o + l. A list is
+    read in blocks of one size; for a probing set the needed o and the chosen l say at which position a block ends for
+    it, and the rest of the block is skipped. Of a pair all its lists within these positions count.
     """
 
     def expand(x: dict):
@@ -262,10 +268,11 @@ def crossing(share: int):
             p, l, h = probes[s : s + 4096], lo[s : s + 4096], hi[s : s + 4096]
             who = np.repeat(p, h - l)
             b = np.arange(len(who)) - np.repeat(np.cumsum(h - l) - (h - l), h - l) + np.repeat(l, h - l)
-            n, m, i = size[who], sizes[b], pos[who]
-            need = needed(n, m, share)
-            first = np.searchsorted(x["at"], (m << 32) + np.maximum(i - (n - need), 0))
-            last = np.searchsorted(x["at"], (m << 32) + np.clip(i + (m - need), -1, 0xFFFFFFFF), side="right")
+            slack = shared_least(size[who], sizes[b], share) - needed(size[who], sizes[b], share) - 1
+            ok = pos[who] <= size[who] + slack
+            who, b, slack = who[ok], b[ok], slack[ok]
+            first = block[b]
+            last = np.searchsorted(x["at"], (sizes[b] << 32) + np.maximum(sizes[b] + slack, -1), side="right")
             n = np.maximum(last - first, 0)
             ends, at = np.cumsum(n), 0
             while at < len(n):
@@ -298,10 +305,10 @@ def crossing(share: int):
             two = np.diff(cut) == 2
             k = cut[:-1][many & two]  # most lists: a single pair
             if len(k):
-                pairs = [(k, k + 1)]
                 n, m = x["at"][k] >> 32, x["at"][k + 1] >> 32
                 i, j = x["at"][k] & 0xFFFFFFFF, x["at"][k + 1] & 0xFFFFFFFF
-                ok = np.minimum(i, j) + np.minimum(n - i, m - j) >= needed(n, m, share)
+                slack = shared_least(n, m, share) - needed(n, m, share) - 1
+                ok = (i <= n + slack) & (j <= m + slack) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * share)
                 pairs = [(k[ok], k[ok] + 1)]
             else:
                 pairs = []
@@ -376,10 +383,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     known = known.select("token", "id", "at", F.coalesce("comp", "id").alias("comp"))
     cross = known.repartition("token").sortWithinPartitions("token").mapInArrow(crossing(share), "a long, b long, na long, nb long, c long")
     cross = cross.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    # what two prefixes share and the longer rest bound the overlap
-    need = F.ceil(F.lit(share) * (F.col("na") + F.col("nb")) / F.lit(100 + share))
-    rest = F.greatest(F.ceil(F.col("na") * share / 100), F.ceil(F.col("nb") * share / 100)) - 1
-    cross = cross.withColumn("need", need.cast("long")).filter(F.col("c") + rest >= F.col("need")).select("a", "b", "need")
+    need = F.ceil(F.lit(share) * (F.col("na") + F.col("nb")) / F.lit(100 + share)).cast("long")
+    least = F.least(F.floor(F.col("need") / 32) + 1, F.col("need") - F.ceil(F.greatest("na", "nb") * share / 100) + 1)
+    cross = cross.withColumn("need", need).filter(F.col("c") >= least).select("a", "b", "need")
     for side in ("a", "b"):
         cross = cross.join(best.select(F.col("id").alias(side), F.col("leader").alias(f"l{side}"), F.col("miss").alias(f"m{side}")), side, "left")
     cross = cross.select("a", "b", "need", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), (F.coalesce("ma", F.lit(0)) + F.coalesce("mb", F.lit(0))).alias("miss"))

@@ -7,6 +7,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylark.functions import scalars as S
 
@@ -92,9 +93,11 @@ def article_markdown(xml: str | None) -> str:
     return "\n\n".join(x for x in out if x)
 
 
-@F.pandas_udf("string")
-def article_markdown_udf(xml: pd.Series) -> pd.Series:
-    return xml.map(article_markdown)
+def markdown_of(xml: Column) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(article_markdown)
+
+    return F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR)(xml)
 
 
 def markdown_text(c: Column) -> Column:

@@ -8,9 +8,11 @@ needed overlap cuts the block, so the rest of it is skipped without being read.
 
 Answers. Equal sets are one set. In each list the set with the fewest rare shingles leads; sets are verified against their
 leaders first, and those that link are one component at once, never paired with each other. A set then derives its
-answers from its leader's: |x & z| <= |lx & lz| + |x - lx| + |z - lz|, so one verified pair of leaders settles all
-pairs of their followers whose bound stays below the needed overlap. Only pairs of different components that the bound
-leaves open are verified themselves.
+answers from its leader's. Under one leader l, |x & z| <= min(|x & l|, |z & l|) + what x and z share beyond l: where
+that minimum is too small, lists of l's own shingles give no pair, and the lists of what followers have beyond l give
+the rest. Under two, |x & z| <= |lx & lz| + |x - lx| + |z - lz|, so one verified pair of leaders settles all pairs of
+their followers whose bound stays below the needed overlap. Only pairs of different components that the bounds leave
+open are verified themselves.
 
 Components come from star contraction of the links. Nothing of the corpus comes to the driver but sums and the array of
 bucket counts. Any order is correct: frequencies only decide how short the lists are.
@@ -254,6 +256,11 @@ def crossing(share: int):
     it, and the rest of the block is skipped. Of a pair all its lists within these positions count.
     """
 
+    def open_still(x, i, j):
+        """Not settled by the answers of a common leader l: without a shingle outside l, |i & j| <= |i & l|, |j & l|."""
+        met = np.minimum(x["met"][i], x["met"][j])
+        return (x["leader"][i] != x["leader"][j]) | (met >= needed(x["at"][i] >> 32, x["at"][j] >> 32, share))
+
     def expand(x: dict):
         """x: one list, sorted by size and position; (row, row) of pairs."""
         comp = x["comp"]
@@ -281,6 +288,7 @@ def crossing(share: int):
                 i = np.repeat(who[at:stop], c)
                 j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:stop], c)
                 keep = (comp[i] != comp[j]) & (~probing[j] | (i < j))
+                keep[keep] = open_still(x, i[keep], j[keep])
                 yield i[keep], j[keep]
                 at = stop
 
@@ -296,7 +304,7 @@ def crossing(share: int):
 
     def run(batches):
         parts, held = [], 0
-        for x in lists_of(batches, ["token", "id", "at", "comp"]):
+        for x in lists_of(batches, ["token", "id", "at", "comp", "leader", "met"]):
             order = np.lexsort((x["id"], x["at"], x["token"]))
             x = {c: v[order] for c, v in x.items()}
             cut = np.flatnonzero(np.concatenate(([True], x["token"][1:] != x["token"][:-1], [True])))
@@ -309,6 +317,7 @@ def crossing(share: int):
                 i, j = x["at"][k] & 0xFFFFFFFF, x["at"][k + 1] & 0xFFFFFFFF
                 slack = shared_least(n, m, share) - needed(n, m, share) - 1
                 ok = (i <= n + slack) & (j <= m + slack) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * share)
+                ok[ok] = open_still(x, k[ok], k[ok] + 1)
                 pairs = [(k[ok], k[ok] + 1)]
             else:
                 pairs = []
@@ -335,8 +344,8 @@ def crossing(share: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Exact sizes and overlap of pairs (a, b); only the texts of their documents are moved."""
+def verified(docs: DataFrame, pairs: DataFrame, k: int, added: bool = False) -> DataFrame:
+    """Exact sizes and overlap of pairs (a, b), and on demand what b has beyond a; only the texts of their documents are moved."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "involved")
 
     def run(batches):
@@ -349,7 +358,8 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     sets = materialise(sets, "sets")
     one = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
     two = one.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
-    return two.withColumns({"na": F.size("ta"), "nb": F.size("tb"), "overlap": F.size(F.array_intersect("ta", "tb"))}).drop("ta", "tb")
+    two = two.withColumns({"na": F.size("ta"), "nb": F.size("tb"), "overlap": F.size(F.array_intersect("ta", "tb"))})
+    return (two.withColumn("added", F.array_except("tb", "ta")) if added else two).drop("ta", "tb")
 
 
 def linked(share: int):
@@ -374,27 +384,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "leader"))).filter("r = 1")
     star = star.filter(F.col("c") * 400 >= F.shiftright("at", 32) * (100 - share))  # a quarter of the prefix
     star = materialise(star.select(F.col("leader").alias("a"), F.col("id").alias("b")), "star")
-    links = materialise(verified(docs, star, k).filter(linked(share)), "links")
+    star = materialise(verified(docs, star, k, added=True), "answers")
+    links = star.filter(linked(share)).drop("added")
     release(spark)
-    comps = connected(links)
-    # the leader of a set, and how much of the set it lacks
-    best = links.select(F.col("b").alias("id"), F.col("a").alias("leader"), (F.col("nb") - F.col("overlap")).cast("long").alias("miss"))
-    known = lists.select("token", "id", "at").join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left")
-    known = known.select("token", "id", "at", F.coalesce("comp", "id").alias("comp"))
-    cross = known.repartition("token").sortWithinPartitions("token").mapInArrow(crossing(share), "a long, b long, na long, nb long, c long")
-    cross = cross.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    comps = connected(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    # the leader of each set that has one, and how much of the set it lacks, linked or not
+    best = star.select(F.col("b").alias("id"), F.col("a").alias("leader"), (F.col("nb") - F.col("overlap")).cast("long").alias("miss"), F.col("overlap").cast("long").alias("met"))
+    known = lists.select("token", "id", "at").join(comps, "id", "left").join(best, "id", "left")
+
+    def crossed(rows):
+        rows = rows.select("token", "id", "at", F.coalesce("comp", "id").alias("comp"), F.coalesce("leader", "id").alias("leader"), F.coalesce("met", F.lit(0)).cast("long").alias("met"))
+        rows = rows.repartition("token").sortWithinPartitions("token").mapInArrow(crossing(share), "a long, b long, na long, nb long, c long")
+        return rows.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+
+    cross = crossed(known)
+    # followers of one leader that its answers leave open must share what they have beyond it; all of that is a list
+    beyond = star.select("a", F.col("b").alias("id"), F.col("nb"), F.explode("added").alias("t"))
+    beyond = beyond.select(F.xxhash64("a", "t").alias("token"), "id", F.shiftleft(F.col("nb").cast("long"), 32).alias("at")).join(comps, "id", "left")
+    beyond = crossed(beyond.withColumn("leader", F.col("id")).withColumn("met", F.lit(0)))
+    for side in ("a", "b"):
+        beyond = beyond.join(best.select(F.col("id").alias(side), F.col("met").alias(f"m{side}")), side)
     need = F.ceil(F.lit(share) * (F.col("na") + F.col("nb")) / F.lit(100 + share)).cast("long")
     least = F.least(F.floor(F.col("need") / 32) + 1, F.col("need") - F.ceil(F.greatest("na", "nb") * share / 100) + 1)
     cross = cross.withColumn("need", need).filter(F.col("c") >= least).select("a", "b", "need")
+    beyond = beyond.withColumn("need", need).filter(F.col("c") + F.least("ma", "mb") >= F.col("need")).select("a", "b", "need")
+    cross = cross.unionByName(beyond).distinct()
     for side in ("a", "b"):
         cross = cross.join(best.select(F.col("id").alias(side), F.col("leader").alias(f"l{side}"), F.col("miss").alias(f"m{side}")), side, "left")
     cross = cross.select("a", "b", "need", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), (F.coalesce("ma", F.lit(0)) + F.coalesce("mb", F.lit(0))).alias("miss"))
     cross = materialise(cross.select("a", "b", "need", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"), "miss"), "candidates")
-    settled = materialise(verified(docs, cross.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), k), "settled")
+    two = cross.filter("la <> lb")
+    settled = materialise(verified(docs, two.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), k), "settled")
     links = links.select("a", "b").unionByName(settled.filter(linked(share)).select("a", "b"))
-    # followers take the answer of their leaders where it settles theirs
-    left = cross.filter("la <> a OR lb <> b").filter("NOT (la = b AND lb = a)").join(settled.filter(~linked(share)).select(F.col("a").alias("la"), F.col("b").alias("lb"), "overlap"), ["la", "lb"])
-    left = materialise(left.filter("overlap + miss >= need").select("a", "b").distinct(), "pairs")
+    # followers take the answer of their leaders where it settles theirs; followers of one leader were bounded before
+    left = two.filter("NOT (la = a AND lb = b)").join(settled.select(F.col("a").alias("la"), F.col("b").alias("lb"), "overlap"), ["la", "lb"])
+    left = left.filter("overlap + miss >= need").select("a", "b").unionByName(cross.filter("la = lb").select("a", "b"))
+    left = materialise(left.distinct(), "pairs")
     release(spark)
     if left.limit(1).count():
         links = links.unionByName(materialise(verified(docs, left, k).filter(linked(share)).select("a", "b"), "late"))

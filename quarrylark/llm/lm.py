@@ -303,7 +303,10 @@ def train(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
     spark = docs.sparkSession
     configure(spark)
     folder = shared_folder(spark, "lm")
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // OWNER_BYTES))
+    size = input_bytes(docs)
+    if size >= 1 << 50:  # no statistics
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES))
     schema = "owner int, block binary"
     blocks = docs.select(F.col(text).alias("text")).mapInArrow(counting(order, owners), schema)
     sums: list[dict] = []

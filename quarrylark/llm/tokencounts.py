@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, shared_folder
+from .common import configure, materialise, shared_folder
 
 SIGNED = "key long, source string, lang string, version string, n_tokens long, sign int"
 TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -94,10 +94,18 @@ class Rollup:
 WORDS = {"words-1": r"[^ \t\n\x0B\f\r]+", "words-2": r"[^ \t\n\x0B\f\r.,;:!?|*$%#&]+|[.,;:!?|*$%#&]"}
 
 
-def counted(docs: DataFrame, version: str, text=None) -> DataFrame:
+def count_of(text, version: str):
+    return F.regexp_count(text, F.lit(WORDS[version])).cast("long")
+
+
+def changes(counts: DataFrame, op: str, version: str, n: str) -> DataFrame:
+    """Changes of one kind from a table of counts (doc_id, source, lang, n)."""
+    return counts.select(F.col("doc_id").alias("key"), F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("version"), F.col(n).alias("n_tokens"))
+
+
+def counted(docs: DataFrame, version: str) -> DataFrame:
     """Inserts: the counts of docs (doc_id, text, source, lang) by one tokenizer version."""
-    t = F.coalesce(F.col("text") if text is None else text, F.lit(""))
-    return docs.select(F.col("doc_id").alias("key"), F.lit("insert").alias("op"), "source", "lang", F.lit(version).alias("version"), F.regexp_count(t, F.lit(WORDS[version])).cast("long").alias("n_tokens"))
+    return changes(docs.withColumn("_n", count_of(F.coalesce("text", F.lit("")), version)), "insert", version, "_n")
 
 
 def counted_bpe(docs: DataFrame, version: str = "byte_bpe_50k", path: str | None = None) -> DataFrame:
@@ -124,17 +132,24 @@ def op3_token_rollup(spark, sf_dir):
     The second and third batch are sent again, as after a lost answer, and count once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select("doc_id").distinct()
+    # texts are read once and never moved: the batches are made of their counts
+    t = F.coalesce("text", F.lit(""))
+    lines = F.split(t, "\n")
+    counts = docs.select(
+        "doc_id", "source", "lang", count_of(t, "words-1").alias("words_1"), count_of(F.array_join(F.array_distinct(lines), "\n"), "words-1").alias("words_1_distinct"),
+        count_of(t, "words-2").alias("words_2"), F.size(lines).alias("n_lines"), F.size(F.array_distinct(lines)).alias("distinct_lines"),
+    )
+    counts = materialise(counts, "counts")
     roll = Rollup(spark, shared_folder(spark, "rollup"))
-    roll.apply("2024-01", counted(docs, "words-1"))
+    roll.apply("2024-01", changes(counts, "insert", "words-1", "words_1"))
     away = toxic.select(F.col("doc_id").alias("key"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit("words-1").alias("version"), F.lit(None).cast("long").alias("n_tokens"))
     roll.apply("2024-02", away)
-    left = docs.join(toxic, "doc_id", "left_anti")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    again = counted(left.filter(F.size(F.array_distinct(lines)) < F.size(lines)), "words-1", F.array_join(F.array_distinct(lines), "\n")).withColumn("op", F.lit("revise"))
+    left = counts.join(toxic, "doc_id", "left_anti")
+    again = changes(left.filter("distinct_lines < n_lines"), "revise", "words-1", "words_1_distinct")
     roll.apply("2024-03", again)
     roll.apply("2024-02", away)
     roll.apply("2024-03", again)
-    roll.apply("2024-04", counted(left, "words-2"))
+    roll.apply("2024-04", changes(left, "insert", "words-2", "words_2"))
     return roll.totals().select("source", "lang", F.col("version").alias("tokenizer_version"), "n_docs", "n_tokens")
 
 

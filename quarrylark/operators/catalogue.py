@@ -242,7 +242,7 @@ def cite_vancouver(a: Column, year: Column, title: Column, where: Column, doi: C
     names = F.transform(a, lambda x: F.concat_ws(" ", x["family"], F.when(x["initials"] != "", x["initials"])))
     listed = F.concat(F.array_join(F.slice(names, 1, 6), ", "), F.when(F.size(names) > 6, ", et al").otherwise(""))
     y = F.when(S.text(year) == "", "n.d.").otherwise(year)
-    return F.concat_ws(" ", F.when(F.size(names) > 0, dotted(listed)), dotted(title), F.when(S.text(where) != "", dotted(where)), F.concat(y, F.lit(".")), F.when(S.text(doi) != "", F.concat(F.lit("doi:"), doi)))
+    return F.concat_ws(" ", F.when(F.size(names) > 0, dotted(listed)), dotted(title), F.when(S.text(where) != "", dotted(where)), dotted(y), F.when(S.text(doi) != "", F.concat(F.lit("doi:"), doi)))
 
 
 def bibtex_keys(df: DataFrame, order: list) -> DataFrame:

@@ -67,7 +67,7 @@ def _blocks(e: ET.Element, depth: int):
         if tag == "sec":
             yield from _blocks(c, depth + 1)
         elif tag == "title":
-            yield "#" * min(6, depth + 1) + " " + _squeeze(_inline(c))
+            yield "#" * min(6, depth) + " " + _squeeze(_inline(c))
         elif tag == "p":
             yield _squeeze(_inline(c))
         elif tag == "list":
@@ -89,7 +89,7 @@ def article_markdown(xml: str | None) -> str:
     out = [f"# {_squeeze(_inline(t))}" for t in root.iter("article-title")][:1]
     for name in ("abstract", "body"):
         for part in root.iter(name):
-            out += [f"## {name.capitalize()}"] * (name == "abstract") + list(_blocks(part, 1))
+            out += [f"## {name.capitalize()}"] * (name == "abstract") + list(_blocks(part, 2 if name == "abstract" else 1))
     return "\n\n".join(x for x in out if x)
 
 

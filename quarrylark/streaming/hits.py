@@ -6,4 +6,5 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Counts and sums by window and type; rows later than the watermark are dropped."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

@@ -8,8 +8,8 @@
    aggregation before the shuffle, so that a text held by a third of all rows is one row for each task.
 
 Fingerprints that collide cost a shuffle of the text but nothing else, since bytes decide. Defined results: null text
-is empty, rows with empty text are one group; of rows repeated whole, all but one count as dropped copies by key; the
-row with the largest key stays.
+is empty, rows with empty text are one group; the row with the largest key stays; rows repeated whole share their key,
+so each of them says kept where its key does.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, input_bytes, materialise, texts_of
+from .common import configure, materialise, texts_of
 
 #: Rows of the slim table in a logical partition, and fingerprints of an owner, about.
 PART_ROWS = 250_000

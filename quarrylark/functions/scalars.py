@@ -91,17 +91,20 @@ def topic_slug(c: Column) -> Column:
 
 
 def first_authors(c: Column, n: int = 3) -> Column:
-    parts = F.split(text(c), "; ")
-    return F.when(F.size(parts) > n, F.concat(F.array_join(F.slice(parts, 1, n), "; "), F.lit(" et al."))).otherwise(text(c))
+    """The first n names of a comma list, and whether there are more."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text(c), r"\.+$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.concat(F.array_join(F.slice(parts, 1, n), ", "), F.when(F.size(parts) > n, " et al.").otherwise(""))
 
 
 def author_key(authors: Column, title: Column) -> Column:
-    first = F.trim(F.split(text(authors), ";")[0])
-    return F.lower(F.split(F.when(first == "", text(title)).otherwise(first), " ")[0])
+    """First word of the first author, else the title."""
+    first = F.trim(F.split(text(authors), ",")[0])
+    return F.lower(F.when(first == "", text(title)).otherwise(F.split(first, " ")[0]))
 
 
 def best_date(date: Column, year: Column) -> Column:
-    d, y = text(date), text(year)
+    d = F.trim(text(date))
+    y = F.trim(F.when(text(year) == "", F.substring(d, 1, 4)).otherwise(text(year)))
     return F.when(d.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), d).when(y.rlike("^[0-9]{4}$"), F.concat(y, F.lit("-01-01"))).otherwise("")
 
 
@@ -141,9 +144,17 @@ def landing_url(doi: Column, pmid: Column, url: Column) -> Column:
     return F.when(text(doi) != "", F.concat(F.lit("https://doi.org/"), doi)).when(text(pmid) != "", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/"))).otherwise(text(url))
 
 
-def resource_type(preprint: Column, category: Column, pub_types: Column) -> Column:
+# Types named in a record's publication types, first match.
+NAMED_TYPES = ["dataset", "software", "book chapter", "conference paper", "thesis", "report"]
+
+
+def resource_type(preprint: Column, category: Column, pub_types: Column, source_db: Column | None = None) -> Column:
+    """preprint by flag, source or type, review by category, a named type, else article."""
     p = F.lower(text(pub_types))
-    return F.when(F.coalesce(preprint, F.lit(False)) | p.contains("preprint"), "preprint").when((category == "review") | p.contains("review"), "review").when(p.contains("report"), "report").otherwise("article")
+    out = F.when(F.coalesce(preprint, F.lit(False)) | p.contains("preprint") | (text(source_db if source_db is not None else F.lit("")) == "PPR"), "preprint").when(category == "review", "review")
+    for name in NAMED_TYPES:
+        out = out.when(p.contains(name), name)
+    return out.otherwise("article")
 
 
 def venue(c: Column, prefixes: dict[str, str]) -> Column:
@@ -167,9 +178,9 @@ def abstract_from_index(index: Column) -> Column:
 
 
 def attachment_summary(ok: Column, total: Column, by_ext: Column) -> Column:
-    """ok/total: ext n, ext n - by falling count, then extension; by_ext is an array of (ext, n)."""
-    order = F.array_sort(F.transform(by_ext, lambda e: F.struct((-e["n"]).alias("m"), e["ext"].alias("ext"))))
-    return F.concat(ok.cast("string"), F.lit("/"), total.cast("string"), F.when(F.size(order) > 0, F.concat(F.lit(": "), F.array_join(F.transform(order, lambda e: F.concat(e["ext"], F.lit(" "), (-e["m"]).cast("string"))), ", "))).otherwise(""))
+    """ok/total: ext n, ext n - by extension; by_ext is an array of (ext, n)."""
+    order = F.array_sort(F.transform(by_ext, lambda e: F.struct(F.when(text(e["ext"]) == "", "?").otherwise(e["ext"]).alias("ext"), e["n"].alias("n"))))
+    return F.concat(ok.cast("string"), F.lit("/"), total.cast("string"), F.when(F.size(order) > 0, F.concat(F.lit(": "), F.array_join(F.transform(order, lambda e: F.concat(e["ext"], F.lit(" "), e["n"].cast("string"))), ", "))).otherwise(""))
 
 
 def attachment_total(summary: Column) -> Column:
@@ -177,7 +188,25 @@ def attachment_total(summary: Column) -> Column:
 
 
 def attachment_exts(summary: Column) -> Column:
-    return F.transform(F.filter(F.split(F.regexp_replace(text(summary), "^[^:]*:? ?", ""), ", "), lambda x: x != ""), lambda x: F.split(x, " ")[0])
+    return F.transform(F.filter(F.split(F.regexp_replace(text(summary), "^[^:]*:? ?", ""), ", "), lambda x: x != ""), lambda x: F.lower(F.split(F.trim(x), " ")[0]))
+
+
+def fulltext_sources(doi: Column, pmcid: Column, epmc_ids: Column, oa_pdf_url: Column) -> Column:
+    """Where a copy can be asked for, in the order of trying."""
+    d = F.lower(text(doi))
+    preprint = F.coalesce(F.exists(epmc_ids, lambda e: e.startswith("PPR/")), F.lit(False))
+    found = [(text(pmcid) != "", "pmc"), (d.startswith("10.1101/"), "biorxiv"), (preprint, "europepmc"), (d.startswith("10.48550/arxiv."), "arxiv"), (d != "", "unpaywall"), (text(oa_pdf_url) != "", "openalex")]
+    return F.array_join(F.array_compact(F.array(*[F.when(test, name) for test, name in found])), ",")
+
+
+def list_items(c: Column) -> Column:
+    """Items of a '; ' list, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text(c), ";"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def keyword_union(keywords: Column, mesh: Column) -> Column:
+    """Keywords, then headings, each once."""
+    return F.array_join(F.array_distinct(F.concat(list_items(keywords), list_items(mesh))), "; ")
 
 
 SPAN = re.compile(r"^(\d+)([dwmy])$")
@@ -207,3 +236,15 @@ def parse_date(spec: str, end: bool = False, today: dt.date | None = None) -> st
     except (ValueError, calendar.IllegalMonthError):
         pass
     raise ValueError(f"not a date: {spec!r}")
+
+
+def window(lo: str = "", hi: str = "", span: str = "", today: dt.date | None = None) -> tuple[str, str]:
+    """Bounds of a filter: lo wins over span, and span counts back from hi where that is given."""
+    today = today or dt.date.today()
+    end = parse_date(hi, end=True, today=today) if hi else ""
+    if lo:
+        return parse_date(lo, today=today), end
+    if not span:
+        return "", end
+    back = dt.date.fromisoformat(parse_date(span, today=today))
+    return (back + ((dt.date.fromisoformat(end) - today) if end else dt.timedelta())).isoformat(), end

@@ -1,4 +1,4 @@
-"""Catalogue operators: filters, resolution, merging, classification, incremental state, analytics and citations.
+"""Catalogue operators: filters, resolution, merging, classification and incremental state.
 
 All are functions of DataFrames. Orders carry a total tie-break, ordered aggregates use struct minima and maxima, lists
 stay arrays until they are shown.
@@ -55,10 +55,10 @@ def any_part(c: Column, spec: str) -> Column:
 
 def status_in(c: Column, spec: str) -> Column:
     """'-' stands for empty."""
-    return F.when(S.text(c) == "", "-").otherwise(S.text(c)).isin([t.strip() for t in spec.split(",")])
+    return F.lower(F.when(S.text(c) == "", "-").otherwise(S.text(c))).isin(tokens(spec))
 
 
-def select(df: DataFrame, *, date_from="", date_to="", dois=None, uids=None, tier="", kind="", category="", modality="", entity="", species="", added_since="", has_fulltext=False, fulltext_status="", has_attachments=False, ext="", summary="", title="", text="", sort="", limit=0) -> DataFrame:
+def select(df: DataFrame, *, date_from="", date_to="", dois=None, uids=None, tier="", kind="", category="", modality="", entity="", species="", added_since="", has_fulltext=False, fulltext_status="", has_attachments=False, ext="", summary="", title="", text="", fulltext="", sort="", limit=0) -> DataFrame:
     """The combined filter: all given conditions hold, a comma list is any of its tokens. Cheap conditions stand first."""
     c, where = F.col, []
     if date_from or date_to:
@@ -85,9 +85,16 @@ def select(df: DataFrame, *, date_from="", date_to="", dois=None, uids=None, tie
         where.append(c("title").rlike(valid_regex(title)))
     if text:
         where.append(F.concat_ws(" ", *[S.text(c(n)) for n in ("title", "entities", "venue", "matched_groups", "details") if n in df.columns]).rlike(valid_regex(text)))
+    if fulltext:  # last: a column of texts, joined by the caller
+        where.append(S.text(c("fulltext")).rlike(valid_regex(fulltext)))
     out = reduce(lambda d, w: d.where(w), where, df)
+    if fulltext:
+        out = out.withColumn("context", context(c("fulltext"), fulltext)).drop("fulltext")
     if sort:
-        keys = {"date": [c("date")], "title": [F.lower("title")], "author": [S.author_key(c("authors"), c("title"))], "cited": [S.integer(c("cited_by")).desc()]}
+        if sort not in ("date", "title", "author", "cited_by"):
+            raise ValueError("sort must be date, cited_by, title or author")
+        text_key = lambda: [S.author_key(c("authors"), c("title"))] if sort == "author" else [S.text(c(sort))]
+        keys = {sort: [S.integer(c("cited_by")).desc()] if sort == "cited_by" else text_key()}
         out = out.orderBy(*keys[sort], *([c("ord")] if "ord" in df.columns else [c("uid")]))
     if limit < 0:
         return out.limit(max(0, out.count() + limit))
@@ -160,6 +167,33 @@ def all_matches(c: Column, rules: dict[str, str], first: str = "", also: Column
     return F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
 
 
+def word_bound(pattern: str) -> str:
+    """A pattern standing alone; it tells cases apart unless it starts with (?i)."""
+    loose = pattern.startswith("(?i)")
+    out = rf"(?<![\w-])(?:{pattern[4:] if loose else pattern})(?![\w-])"
+    try:
+        re.compile(out)
+    except re.error as e:
+        raise ValueError(f"bad pattern {pattern!r}: {e}") from None
+    return f"(?iU){out}" if loose else f"(?U){out}"
+
+
+def entities(c: Column, rules: dict[str, str]) -> Column:
+    """Names whose bounded pattern occurs, in the order of the rules."""
+    return F.array_compact(F.array(*[F.when(c.rlike(word_bound(p)), F.lit(n)) for n, p in rules.items()]).cast("array<string>"))
+
+
+def category(rules: list[dict[str, str]], pub_types: Column, title: Column, text: Column, default: str, origin: Column | None = None, origin_name: str = "method development") -> Column:
+    """The first rule any of whose patterns (pub_types, title, text) occurs in its field; an origin paper has its own category."""
+    fields = {"pub_types": pub_types, "title": title, "text": text}
+    out = F.when(origin if origin is not None else F.lit(False), origin_name)
+    for rule in rules:
+        tests = [S.text(fields[f]).rlike(valid_regex(rule[f])) for f in fields if rule.get(f)]
+        if tests:
+            out = out.when(reduce(lambda a, b: a | b, tests), rule["name"])
+    return out.otherwise(default)
+
+
 def tier(landmark: Column, focused: Column, core: Column, seed: Column) -> Column:
     return F.when(landmark, "landmark").when(focused & core, "core").when(focused, "related").when(seed & core, "related").otherwise("none")
 
@@ -202,72 +236,3 @@ def merge_catalogue(old: DataFrame, new: DataFrame, today: str, kept=("added_on"
 def due(checked: Column, status: Column, today: str, days: int = 30, never=("removed", "ok")) -> Column:
     """To be tried again: not settled and not checked within the days."""
     return ~S.text(status).isin(*never) & ((S.text(checked) == "") | (checked < F.date_format(F.date_sub(F.lit(today).cast("date"), days), "yyyy-MM-dd")))
-
-
-# ---------------------------------------------------------------- citations
-
-
-def authors(c: Column) -> Column:
-    """array of (family, initials): 'Family AB' or 'Given Other Family'; one word is a literal name."""
-    def one(x):
-        words = F.split(F.trim(x), " +")
-        last = F.element_at(words, -1)
-        short = (F.size(words) > 1) & last.rlike("^[A-Z]{1,3}$")
-        family = F.when(F.size(words) == 1, x).when(short, F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), " ")).otherwise(last)
-        given = F.when(short, last).otherwise(F.array_join(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.substring(w, 1, 1)), ""))
-        return F.struct(family.alias("family"), F.when(F.size(words) == 1, "").otherwise(given).alias("initials"))
-
-    return F.transform(F.filter(F.split(S.text(c), "; "), lambda x: F.trim(x) != ""), one)
-
-
-def dotted(c: Column) -> Column:
-    return F.when(S.text(c) == "", "").when(c.rlike("[.?!]$"), c).otherwise(F.concat(c, F.lit(".")))
-
-
-def spaced_initials(i: Column) -> Column:
-    return F.trim(F.regexp_replace(i, "(.)", "$1. "))
-
-
-def cite_apa(a: Column, year: Column, title: Column, where: Column, doi: Column) -> Column:
-    """Up to twenty authors, then the first nineteen and the last."""
-    names = F.transform(a, lambda x: F.when(x["initials"] == "", x["family"]).otherwise(F.concat(x["family"], F.lit(", "), spaced_initials(x["initials"]))))
-    n = F.size(names)
-    listed = F.when(n == 0, "").when(n == 1, names[0]).when(n <= 20, F.concat(F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(", & "), F.element_at(names, -1))).otherwise(F.concat(F.array_join(F.slice(names, 1, 19), ", "), F.lit(", . . . "), F.element_at(names, -1)))
-    y = F.when(S.text(year) == "", "n.d.").otherwise(year)
-    return F.concat_ws(" ", F.when(n > 0, dotted(listed)), F.concat(F.lit("("), y, F.lit(").")), dotted(title), F.when(S.text(where) != "", dotted(where)), F.when(S.text(doi) != "", F.concat(F.lit("https://doi.org/"), doi)))
-
-
-def cite_vancouver(a: Column, year: Column, title: Column, where: Column, doi: Column) -> Column:
-    """Six authors, then et al."""
-    names = F.transform(a, lambda x: F.concat_ws(" ", x["family"], F.when(x["initials"] != "", x["initials"])))
-    listed = F.concat(F.array_join(F.slice(names, 1, 6), ", "), F.when(F.size(names) > 6, ", et al").otherwise(""))
-    y = F.when(S.text(year) == "", "n.d.").otherwise(year)
-    return F.concat_ws(" ", F.when(F.size(names) > 0, dotted(listed)), dotted(title), F.when(S.text(where) != "", dotted(where)), dotted(y), F.when(S.text(doi) != "", F.concat(F.lit("doi:"), doi)))
-
-
-def bibtex_keys(df: DataFrame, order: list) -> DataFrame:
-    """first family + year + first title word, ASCII; the n-th equal key gets a..z, and z from there on."""
-    word = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    base = F.concat(word(F.coalesce(authors(F.col("authors"))[0]["family"], F.lit(""))), S.text(F.col("year")), word(F.split(S.text(F.col("title")), " ")[0]))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
-    suffix = F.when(n == 1, "").otherwise(F.char(F.lit(97) + F.least(n - 2, F.lit(25))))
-    return df.withColumn("_base", base).withColumn("cite_key", F.concat("_base", suffix)).drop("_base")
-
-
-def latex(c: Column) -> Column:
-    return F.regexp_replace(S.text(c), r"([&%$#_{}])", r"\\\\$1")
-
-
-def cite_bibtex(key: Column, kind: Column, a: Column, title: Column, where: Column, year: Column, doi: Column) -> Column:
-    names = F.array_join(F.transform(a, lambda x: F.when(x["initials"] == "", F.concat(F.lit("{"), x["family"], F.lit("}"))).otherwise(F.concat(x["family"], F.lit(", "), spaced_initials(x["initials"])))), " and ")
-    field = lambda n, c: F.when(S.text(c) != "", F.concat(F.lit(f"  {n} = {{"), latex(c), F.lit("}")))
-    return F.concat(F.lit("@"), F.when(kind == "article", "article").otherwise("misc"), F.lit("{"), key, F.lit(",\n"), F.concat_ws(",\n", F.when(F.size(a) > 0, F.concat(F.lit("  author = {"), names, F.lit("}"))), field("title", title), field("journal", where), field("year", year), field("doi", doi)), F.lit("\n}"))
-
-
-def cite_ris(kind: Column, a: Column, title: Column, where: Column, year: Column, doi: Column) -> Column:
-    tag = lambda t, c: F.when(S.text(c) != "", F.concat(F.lit(f"{t}  - "), c))
-    return F.concat_ws("\n", F.concat(F.lit("TY  - "), F.when(kind == "article", "JOUR").otherwise("GEN")), F.when(F.size(a) > 0, F.array_join(F.transform(a, lambda x: F.concat(F.lit("AU  - "), x["family"], F.when(x["initials"] == "", "").otherwise(F.concat(F.lit(", "), spaced_initials(x["initials"]))))), "\n")), tag("TI", title), tag("JO", where), tag("PY", year), tag("DO", doi), F.lit("ER  - "))
-
-
-def cite_csl(uid: Column, kind: Column, a: Column, title: Column, where: Column, year: Column, doi: Column) -> Column:
-    return F.to_json(F.struct(doi.alias("DOI"), F.transform(a, lambda x: F.struct(x["family"].alias("family"), x["initials"].alias("given"))).alias("author"), where.alias("container-title"), uid.alias("id"), F.struct(F.array(F.array(S.integer(year))).alias("date-parts")).alias("issued"), title.alias("title"), F.when(kind == "article", "article-journal").otherwise("article").alias("type")))

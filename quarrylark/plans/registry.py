@@ -97,12 +97,12 @@ def _(spark, sf):
 
 @query("catalogue_filter_all", f"WITH {DATED} SELECT uid, date, tier, cited_by FROM dated WHERE date >= '1997-01-01' AND date <= '1999-06-30' AND tier IN ('urgent', 'medium') AND lower(category) IN ('p', 'o') ORDER BY cited_by DESC, uid LIMIT 50")
 def _(spark, sf):
-    return C.select(dated(spark, sf), date_from="1997-01-01", date_to=S.parse_date("1999-06", end=True), tier="urgent,medium", category="P,O", sort="cited", limit=50).select("uid", "date", "tier", "cited_by")
+    return C.select(dated(spark, sf), date_from="1997-01-01", date_to=S.parse_date("1999-06", end=True), tier="urgent,medium", category="P,O", sort="cited_by", limit=50).select("uid", "date", "tier", "cited_by")
 
 
 @query("sort_cited_limit", f"WITH {DATED} SELECT uid, cited_by FROM dated ORDER BY cited_by DESC, uid LIMIT 30")
 def _(spark, sf):
-    return C.select(dated(spark, sf), sort="cited", limit=30).select("uid", "cited_by")
+    return C.select(dated(spark, sf), sort="cited_by", limit=30).select("uid", "cited_by")
 
 
 @query("term_match_loose", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{N}])with[\s-]+thes?([^\p{L}\p{N}]|$)', 'i') OR (regexp_matches(text, '(^|[^\p{L}\p{N}])unds?([^\p{L}\p{N}]|$)', 'i') AND regexp_matches(text, '(^|[^\p{L}\p{N}])ders?([^\p{L}\p{N}]|$)', 'i'))")
@@ -146,10 +146,10 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", S.topic_slug(F.concat("c_name", F.lit(" in "), "c_mktsegment")).alias("slug"))
 
 
-@query("first_authors", """WITH a AS (SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names, count(*) AS n FROM nation GROUP BY 1)
-    SELECT n_regionkey, array_to_string(string_split(names, '; ')[1:3], '; ') || CASE WHEN n > 3 THEN ' et al.' ELSE '' END AS authors FROM a""")
+@query("first_authors", """WITH a AS (SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names, count(*) AS n FROM nation GROUP BY 1)
+    SELECT n_regionkey, array_to_string(string_split(names, ', ')[1:3], ', ') || CASE WHEN n > 3 THEN ' et al.' ELSE '' END AS authors FROM a""")
 def _(spark, sf):
-    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "; ").alias("names"))
+    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("names"))
     return n.select("n_regionkey", S.first_authors(F.col("names")).alias("authors"))
 
 
@@ -361,7 +361,7 @@ def _(spark, sf):
 
 
 @query("attachment_summary", """WITH e AS (SELECT l_orderkey, l_returnflag AS ext, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS k FROM lineitem GROUP BY 1, 2)
-    SELECT l_orderkey, sum(k)::BIGINT || '/' || sum(n)::BIGINT || ': ' || string_agg(ext || ' ' || n, ', ' ORDER BY n DESC, ext) AS summary FROM e GROUP BY 1""")
+    SELECT l_orderkey, sum(k)::BIGINT || '/' || sum(n)::BIGINT || ': ' || string_agg(ext || ' ' || n, ', ' ORDER BY ext) AS summary FROM e GROUP BY 1""")
 def _(spark, sf):
     e = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("k"))
     g = e.groupBy("l_orderkey").agg(F.sum("k").alias("ok"), F.sum("n").alias("total"), F.collect_list(F.struct("ext", "n")).alias("x"))
@@ -403,48 +403,12 @@ def _(spark, sf):
     return g.join(top, "domain").select("domain", "n_papers", "n_urls", "top_url", "examples")
 
 
-# ---------------------------------------------------------------- citations
-
-
-def _cited(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    c = table(spark, sf, "customer").join(F.broadcast(n), "c_nationkey")  # nations are a fixed list
-    d = dated(spark, sf).join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name", "n_name", "c_mktsegment"), "o_custkey")
-    return d.select("uid", F.lit("article").alias("kind"), F.concat_ws("; ", F.concat(F.initcap("n_name"), F.lit(" AB")), F.lit("Mary Jane Smith"), F.col("c_name").alias("w")).alias("authors"), F.substring("date", 1, 4).alias("year"), F.concat(F.lit("On "), F.lower("c_mktsegment")).alias("title"), F.col("n_name").alias("venue"), F.concat(F.lit("10.1/"), F.col("o_orderkey").cast("string")).alias("doi"), "o_orderkey")
-
-
-CITED = f"""{DATED}, c AS (SELECT uid, upper(n_name[1]) || lower(substr(n_name, 2)) AS fam, c_name, substr(date, 1, 4) AS year, 'On ' || lower(c_mktsegment) AS title, n_name AS venue, '10.1/' || o_orderkey AS doi, o_orderkey
-    FROM dated JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
-
-
-@query("cite_apa", f"WITH {CITED} SELECT uid, fam || ', A. B., Smith, M. J., & ' || c_name || '. (' || year || '). ' || title || '. ' || venue || '. https://doi.org/' || doi AS line FROM c")
-def _(spark, sf):
-    c = _cited(spark, sf)
-    return c.select("uid", C.cite_apa(C.authors(F.col("authors")), F.col("year"), F.col("title"), F.col("venue"), F.col("doi")).alias("line"))
-
-
-@query("cite_vancouver", f"WITH {CITED} SELECT uid, fam || ' AB, Smith MJ, ' || c_name || '. ' || title || '. ' || venue || '. ' || year || '. doi:' || doi AS line FROM c")
-def _(spark, sf):
-    c = _cited(spark, sf)
-    return c.select("uid", C.cite_vancouver(C.authors(F.col("authors")), F.col("year"), F.col("title"), F.col("venue"), F.col("doi")).alias("line"))
-
-
-@query("cite_bibtex_key", f"""WITH {CITED}, b AS (SELECT uid, o_orderkey, regexp_replace(lower(fam), '[^a-z0-9]', '', 'g') || year || 'on' AS base FROM c),
-    r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) AS n FROM b)
-    SELECT uid, base || CASE WHEN n = 1 THEN '' ELSE chr(CAST(97 + least(n - 2, 25) AS INTEGER)) END AS cite_key FROM r""")
-def _(spark, sf):
-    return C.bibtex_keys(_cited(spark, sf), ["o_orderkey"]).select("uid", "cite_key")
-
-
-@query("cite_csl")
-def _(spark, sf):
-    c = _cited(spark, sf)
-    return c.select("uid", C.cite_csl(F.col("uid"), F.col("kind"), C.authors(F.col("authors")), F.col("title"), F.col("venue"), F.col("year"), F.col("doi")).alias("item"), C.cite_ris(F.col("kind"), C.authors(F.col("authors")), F.col("title"), F.col("venue"), F.col("year"), F.col("doi")).alias("ris"))
-
-
 @query("jats_markdown")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     esc = F.replace(F.replace(S.text(F.col("text")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     xml = F.concat(F.lit("<article><front><article-title>"), F.lit("Document "), F.col("doc_id").cast("string"), F.lit("</article-title></front><body><sec><title>Text</title><p>"), esc, F.lit("</p></sec></body></article>"))
     return d.select("doc_id", M.markdown_of(xml).alias("markdown"))
+
+
+from quarrylark.plans import references  # noqa: E402, F401  (registers its queries)

@@ -72,12 +72,6 @@ def test_merge_keeps_hand_written_columns(spark):
     assert got["c"].status and got["d"].added_on == "2024-01-01" and len(got) == 3
 
 
-def test_citation(spark):
-    a = C.authors(F.lit("Horvath S; Mary Jane Smith; WHO"))
-    assert one(spark, C.cite_apa(a, F.lit("2013"), F.lit("A title."), F.lit("Nature"), F.lit("10.1/x"))) == "Horvath, S., Smith, M. J., & WHO. (2013). A title. Nature. https://doi.org/10.1/x"
-    assert one(spark, C.cite_vancouver(a, F.lit(""), F.lit("A title"), F.lit(""), F.lit(""))) == "Horvath S, Smith MJ, WHO. A title. n.d."
-
-
 def test_csv_bytes():
     rows = [{"a": "x,y", "b": 'q"q', "c": " lead", "d": "l1\nl2", "e": None, "z": 1}]
     assert io.csv_text(list("abcde"), rows) == 'a,b,c,d,e\r\n"x,y","q""q", lead,"l1\nl2",\r\n'

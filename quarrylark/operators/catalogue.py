@@ -198,6 +198,11 @@ def tier(landmark: Column, focused: Column, core: Column, seed: Column) -> Colum
     return F.when(landmark, "landmark").when(focused & core, "core").when(focused, "related").when(seed & core, "related").otherwise("none")
 
 
+def tier_of(landmark: Column, focused: Column, core_title: Column, core_category: Column, seed: Column) -> Column:
+    """landmark, core, related or empty: a seed alone counts only by its title."""
+    return F.when(landmark, "landmark").when(focused & (core_title | core_category), "core").when(focused, "related").when(seed & core_title, "related").otherwise("")
+
+
 def route(tier_: Column, date: Column, start: str, seed: Column, broad: Column) -> Column:
     return F.when(tier_.isin("landmark", "core", "related") & ((S.text(date) == "") | (date >= start)), "catalogue").when(tier_ != "none", "before_window").when(seed, "off_topic_seed").when(broad, "broad").otherwise("dropped")
 

@@ -398,8 +398,11 @@ def _(spark, sf):
 def _(spark, sf):
     d = M.hrefs(table(spark, sf, "pages")).withColumn("domain", S.host(F.col("url")))
     u = d.groupBy("domain", "url").agg(F.count(F.lit(1)).alias("n"))
-    top = u.groupBy("domain").agg(F.min(F.struct((-F.col("n")).alias("m"), "url"))["url"].alias("top_url"))
-    g = d.groupBy("domain").agg(F.countDistinct("page_id").alias("n_papers"), F.countDistinct("url").alias("n_urls"), F.array_join(F.slice(F.array_sort(F.collect_set("page_id")), 1, 5).cast("array<string>"), "; ").alias("examples"))
+    top = u.groupBy("domain").agg(F.min(F.struct((-F.col("n")).alias("m"), "url"))["url"].alias("top_url"), F.count(F.lit(1)).alias("n_urls"))
+    pages = d.select("domain", "page_id").distinct()
+    five = pages.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy("page_id"))).filter("rn <= 5")  # limited a task before the shuffle
+    five = five.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list("page_id")).cast("array<string>"), "; ").alias("examples"))
+    g = pages.groupBy("domain").agg(F.count(F.lit(1)).alias("n_papers")).join(five, "domain")
     return g.join(top, "domain").select("domain", "n_papers", "n_urls", "top_url", "examples")
 
 
@@ -411,4 +414,4 @@ def _(spark, sf):
     return d.select("doc_id", M.markdown_of(xml).alias("markdown"))
 
 
-from quarrylark.plans import references  # noqa: E402, F401  (registers its queries)
+from quarrylark.plans import assembled, references  # noqa: E402, F401  (they register their queries)

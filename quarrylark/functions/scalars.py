@@ -23,15 +23,18 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(text(c), "[ \\t\\n\\r\\f\\x0B]+", " "))
 
 
+# What landing pages add to a DOI.
+LANDING = ["suppl_file", "suppl", "full", "abstract", "pdf", "epdf", "html", "figures", "tables"]
+
+
 def normalise_doi(c: Column) -> Column:
-    """Bare DOI in lower case, or empty."""
-    x = F.regexp_extract(F.lower(text(c)), r"10\.[0-9]{4,9}/[^\s,;\"'<>]+", 0)
-    x = F.regexp_replace(x, r"^(10\.[0-9]{4,9}/.*)(?:https?://(?:dx\.)?doi\.org/)(10\..*)$", "$2")
-    x = F.regexp_replace(x, r"/(?:abstract|full|pdf|epdf|fulltext|meta)$", "")
-    x = F.regexp_replace(x, r"[.:]+$", "")
-    for _ in range(2):
-        x = F.when(F.length(F.regexp_replace(x, "[^)]", "")) > F.length(F.regexp_replace(x, "[^(]", "")), F.regexp_replace(x, r"\)[.:]*$", "")).otherwise(x)
-    return F.when(x.startswith("10.1101/"), F.regexp_replace(x, r"v[0-9]+$", "")).otherwise(x)
+    """Bare DOI in lower case, or empty: cut at a comma or semicolon, without closing marks, a prefix typed twice, a landing page's ending or a preprint's version."""
+    x = F.regexp_extract(F.lower(text(c)), r"\b10\.[0-9]{4,9}/[^\s\"'`<>|\]\[{},;]+", 0)
+    x = F.regexp_replace(x, "[.:)]+$", "")
+    x = F.regexp_replace(x, r"^(10\.[0-9]{4,9})/\1/", "$1/")
+    x = F.regexp_replace(x, rf"/(?:{'|'.join(LANDING)})(?:/.*)?$", "")
+    version = F.regexp_replace(x, r"(?:v[0-9]+(?:\.full)?(?:\.(?:pdf|txt|html))?|\.full(?:\.pdf)?)$", "")
+    return F.when(x.startswith("10.1101/"), version).otherwise(x)
 
 
 def normalise_pmid(c: Column) -> Column:

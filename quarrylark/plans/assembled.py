@@ -11,6 +11,7 @@ from quarrylark.operators import inclusion as I
 from quarrylark.operators import mining as M
 from quarrylark.operators import overview as O
 from quarrylark.plans.registry import TODAY, WORKS, query, table, works
+from quarrylark.sources import records as N
 
 
 @query("hit_groups", """SELECT user_id AS uid, list_sort(list(DISTINCT event_type)) AS groups, list_sort(list(DISTINCT CASE WHEN value > 50 THEN 'focused' ELSE 'broad' END)) AS scopes, ['events'] AS sources FROM events GROUP BY 1""")
@@ -123,3 +124,10 @@ def _(spark, sf):
     rows = docs.select(uid("doc_id"), F.lit("article").alias("resource_type"), F.concat(F.lit("10.9/"), F.col("doc_id").cast("string")).alias("doi"))
     out = O.rows(rows, records, index, atts, rows.select("uid", F.lit("").alias("description")), TODAY)
     return out.drop("resource_type", "doi")
+
+
+@query("records_normalise", r"""SELECT 'epmc:' || doc_id AS uid, source AS journal, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS abstract, coalesce(n_chars, 0) AS cited_by, lang = 'en' AS is_open_access FROM documents""")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    answer = F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("MED").alias("source"), F.struct(F.struct(F.col("source").alias("title")).alias("journal")).alias("journalInfo"), F.col("text").alias("abstractText"), F.col("n_chars").alias("citedByCount"), F.when(F.col("lang") == "en", "Y").otherwise("N").alias("isOpenAccess"))
+    return N.europe_pmc(d.select(F.to_json(answer).alias("value"))).select("uid", "journal", "abstract", F.col("cited_by").cast("long").alias("cited_by"), "is_open_access")

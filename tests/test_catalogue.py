@@ -21,7 +21,7 @@ def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first().x
 
 
-@pytest.mark.parametrize("raw, want", [("HTTPS://doi.org/10.1000/ABC.1", "10.1000/abc.1"), ("doi:10.1101/2020.01.01.123v2", "10.1101/2020.01.01.123"), ("junk", ""), (None, ""), ("10.1000/x).", "10.1000/x"), ("10.1000/a(b)", "10.1000/a(b)")])
+@pytest.mark.parametrize("raw, want", [("HTTPS://doi.org/10.1000/ABC.1", "10.1000/abc.1"), ("doi:10.1101/2020.01.01.123v2", "10.1101/2020.01.01.123"), ("junk", ""), (None, ""), ("10.1000/x).", "10.1000/x"), ("10.1000/a(b)c", "10.1000/a(b)c"), ("10.1000/10.1000/x", "10.1000/x"), ("10.1000/x,doi,not", "10.1000/x"), ("10.1000/x/suppl_file/y.pdf", "10.1000/x"), ("10.1101/1.2v3.full.pdf", "10.1101/1.2")])
 def test_doi(spark, raw, want):
     assert one(spark, S.normalise_doi(F.lit(raw))) == want
 

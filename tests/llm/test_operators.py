@@ -375,6 +375,24 @@ def test_packing(docs, none):
     assert packing.best_fit(packing.pieces(none)).count() == 0
 
 
+@pytest.mark.parametrize("refused", [False, True])
+def test_added_tokens_in_text(monkeypatch, refused):
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    def fail(*_, **__):
+        raise ValueError
+
+    if refused:
+        monkeypatch.setattr(tiktoken.Encoding, "encode", fail)
+        monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", fail)
+    ids, tok, mark = packing.encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    assert ids(f"one document{mark}the next") == [505, 3188, 50256, 1169, 1306]
+    for t in (mark, mark * 3, f"a  {mark}  b", f"\n\n{mark}\n\n", f"<|endoftext|{mark}|>", f"x{mark}'s {mark}", mark[:-1], mark.upper(), f"é {mark}日本", "no mark  "):
+        assert ids(t) == tok.encode(t, add_special_tokens=False).ids
+
+
 # ------------------------------------------------------------ sharding
 
 

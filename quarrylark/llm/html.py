@@ -3,8 +3,10 @@
 The parser (standard library, fed in slices) gives events; block elements end lines. Each line carries the length of
 its text outside links and the number of tags seen since the line before. The ratios are smoothed by a Gaussian over
 neighbouring lines, and a threshold found by two-means clustering splits them into content and the rest. The smallest
-element that holds nearly all content text is the main region; all its lines are returned but those of menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments, which structure and names give away.
+element that leaves no content line and no first heading outside is the main region, but never one within an article
+or main; all its lines are returned but those of menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments, which structure and names give away. Where the page has neither article nor main around them, lines of
+nothing but links outside the element that holds nearly all content text are menus too.
 
 Defined results: null or empty html gives an empty text; a page without markup is its text; elements left open end
 with the page; a page whose lines all look alike is all content.
@@ -32,6 +34,10 @@ NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsbygoogle|banner|sponsor\w*
 #: A start tag of these ends an open paragraph or item, as browsers do.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+#: Elements that can be the main region, and those that are it whole.
+REGIONS = frozenset("html body main article section div center table tbody tr td".split())
+WHOLE = frozenset("main article".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SLICE = 1 << 16
 SIGMA = 1.0
 
@@ -169,21 +175,36 @@ def extract(html: str | None) -> str:
     mass = np.where(ratio >= threshold(ratio), chars, 0.0)
     if not mass.sum():
         mass = chars
-    # text of content lines below each element; the smallest that holds nearly all is the region
-    held = np.zeros(len(p.names) + 1)
-    for m, line in zip(mass, p.lines, strict=True):
-        held[line[4]] += m
+    if not mass.sum():  # nothing but links
+        mass = np.array([float(not out) for _, _, _, out, _ in p.lines])
+    # text of content lines and first headings below each element
+    held, titles = np.zeros(len(p.names) + 1), np.zeros(len(p.names) + 1, np.int64)
+    for m, (_, _, _, out, e) in zip(mass, p.lines, strict=True):
+        held[e] += m
+        titles[e] += not out and e >= 0 and p.names[e] == "h1"
     for e in range(len(p.names) - 1, -1, -1):
         held[p.parents[e]] += held[e]
-    region = -1
+        titles[p.parents[e]] += titles[e]
+    region = core = whole = -1
     for e, name in enumerate(p.names):  # in page order: a child follows its parent
-        if p.parents[e] == region and held[e] >= 0.9 * mass.sum() and name in ("html", "body", "main", "article", "section", "div", "center", "table", "tbody", "tr", "td"):
-            region = e
-    inside = np.zeros(len(p.names) + 1, bool)
-    inside[region] = True
+        if name not in REGIONS or held[e] < 0.9 * mass.sum():
+            continue
+        if p.parents[e] == core:
+            core = e
+        if p.parents[e] == region and whole < 0 and held[e] == mass.sum() and titles[e] == titles[-1]:
+            region, whole = e, e if name in WHOLE else -1
+    within = inside(p, region)
+    dense = within if whole >= 0 or not chars.any() else inside(p, core)
+    return "\n".join(text for text, n, _, out, e in p.lines if not out and within[e] and (n or dense[e] or (e >= 0 and p.names[e] in TEXTUAL)))
+
+
+def inside(p: Events, region: int) -> np.ndarray:
+    """Of each element and, last, the page itself, whether region holds it; -1 is the page."""
+    found = np.zeros(len(p.names) + 1, bool)
+    found[region] = True
     for e in range(len(p.names)):
-        inside[e] |= inside[p.parents[e]] if p.parents[e] >= 0 else region == -1
-    return "\n".join(text for text, _, _, out, e in p.lines if not out and inside[e])
+        found[e] |= found[p.parents[e]] if p.parents[e] >= 0 else region == -1
+    return found
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

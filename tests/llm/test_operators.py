@@ -219,6 +219,19 @@ def test_main_text(page, want):
     assert html.extract(page) == want
 
 
+@pytest.mark.parametrize("box", ["article", "main", "div", "section"])
+def test_main_text_beside_a_nested_body(box):
+    body = [f"A long paragraph, number {i}, of the body with words enough to weigh much more than what stands beside it. " * 4 for i in range(12)]
+    lead, end = ["Title", "Lead of it."], ["Thanks for reading.", "The end."]
+    long = "".join(f"<p>{x}</p>" for x in body)
+    page = f"<html><body><div><a href=a>Home</a> <a href=b>About</a></div><{box}><h1>{lead[0]}</h1><p>{lead[1]}</p><div class=body>{long}</div><p>{end[0]}</p><p>{end[1]}</p></{box}><footer>f</footer></body></html>"
+    assert html.extract(page).split("\n") == [*lead, *[x.strip() for x in body], *end]
+
+
+def test_main_text_of_links_alone():
+    assert html.extract("<body><div><a href=a>one</a></div><div><a href=b>two</a></div></body>") == "one\ntwo"
+
+
 def test_main_text_of_pages(spark):
     import re
     from html import unescape

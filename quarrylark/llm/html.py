@@ -29,8 +29,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("script style noscript template head title svg math canvas iframe object audio video map datalist".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button select textarea fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id names that mark what isn't the article.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsbygoogle|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|masthead|cookies?|consent|gdpr|notices?|alert|modal|popup|overlay|newsletter|subscribe|signup|login|share\w*|social\w*|related|recommend\w*|comments?|commentlist|disqus\w*|replies|respond|widget\w*|toolbar|pager|pagination|skip\w*)(?:$|[\s_-])", re.I)
+#: Start tags that leave an open head open.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Class tokens and ids that mark what isn't the article: such a word, alone or with words of place before and of boxes
+#: after it. Other compounds say something about an element that is the article (has-sidebar, category-social).
+PLACE = r"(?:site|main|global|top|bottom|left|right|primary|secondary|mobile|desktop|header|footer|article|side|social|google|cookies?|email)"
+NAME = r"(?:ads?|advert\w*|adsbygoogle|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|masthead|cookies?|consent|gdpr|notices?|alert|modal|popup|overlay|newsletter|subscribe|signup|login|share\w*|social\w*|related|recommend\w*|comments?|commentlist|disqus\w*|replies|respond|widget\w*|toolbar|pager|pagination|skip\w*)"
+BOX = r"(?:left|right|top|bottom|main|primary|secondary|area|bar|box|buttons?|column|container|content|default|fixed|form|group|header|icons?|info|inner|items?|law|links?|list|message|panel|policy|posts?|articles?|section|slot|stories|tabs|text|thread|title|to|toggle|unit|wrap|wrapper|\d+)"
+NAMES = re.compile(rf"(?:{PLACE}[_-]+)*{NAME}(?:[_-]+(?:{NAME}|{BOX}))*", re.I)
+REMARKS = re.compile(r"(?:.*[_-])?(?:comments?|commentlist|disqus\w*|replies|respond|cookies?|consent|gdpr)(?:[_-].*)?", re.I)
 #: A start tag of these ends an open paragraph or item, as browsers do.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -38,33 +45,37 @@ SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt
 REGIONS = frozenset("html body main article section div center table tbody tr td".split())
 WHOLE = frozenset("main article".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Why an element is outside: by its name, by a name of comments or cookie notices, by its tag or role.
+OPEN, NAMED, REMARKED, SHUT = range(4)
 SLICE = 1 << 16
 SIGMA = 1.0
 
 
 class Events(HTMLParser):
-    """Lines of a page: text, characters outside links, tags before, whether outside, and the elements around."""
+    """Lines of a page: text, characters outside links, tags before, and the elements around."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int]] = []  # name, number
-        self.shut: list[int] = []  # depths of open elements that are outside the article
+        self.shut: list[int] = []  # of each numbered element: OPEN, or why it is outside the article
         self.hide: list[int] = []
         self.parents: list[int] = []  # of each numbered element
         self.names: list[str] = []
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.words: list[str] = []
         self.linked = self.tags = self.links = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
-            self.lines.append((text, max(0, len(text) - self.linked), self.tags, bool(self.shut), self.open[-1][1] if self.open else -1))
+            self.lines.append((text, max(0, len(text) - self.linked), self.tags, self.open[-1][1] if self.open else -1))
             self.tags = 0
         self.words, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag not in HEAD:
+            self._end_head()
         if tag in CLOSES_P:
             self._close_to({"p"}, ("table", "td", "th", "button", "div", "article", "section", "body"))
         if tag in SAME:
@@ -79,17 +90,25 @@ class Events(HTMLParser):
         self.parents.append(self.open[-1][1] if self.open else -1)
         self.names.append(tag)
         self.open.append((tag, len(self.names) - 1))
+        why = OPEN
         if tag in HIDDEN:
             self.hide.append(len(self.open))
-        elif tag not in ("html", "body", "main", "article") and (tag in OUTSIDE or (tag == "header" and not any(n == "article" for n, _ in self.open)) or self._named(attrs)):
-            self.shut.append(len(self.open))
+        elif tag not in ("html", "body", "main", "article"):
+            why = SHUT if tag in OUTSIDE or (tag == "header" and not any(n == "article" for n, _ in self.open)) else self._named(attrs)
+        self.shut.append(why)
         self.links += tag == "a"
 
-    def _named(self, attrs) -> bool:
+    def _named(self, attrs) -> int:
         a = dict(attrs)
         if (a.get("role") or "").lower() in ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true":
-            return True
-        return any(NAMES.search(a.get(k) or "") for k in ("class", "id"))
+            return SHUT
+        words = [x for k in ("class", "id") for x in (a.get(k) or "").split() if NAMES.fullmatch(x)]
+        return max((REMARKED if REMARKS.fullmatch(x) else NAMED for x in words), default=OPEN)
+
+    def _end_head(self) -> None:
+        """What can't stand in a head ends it, as in browsers."""
+        if self.open and self.open[-1][0] == "head":
+            self._cut(len(self.open) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -111,8 +130,6 @@ class Events(HTMLParser):
         for name, _ in self.open[depth:]:
             self.links -= name == "a"
         del self.open[depth:]
-        while self.shut and self.shut[-1] > depth:
-            self.shut.pop()
         while self.hide and self.hide[-1] > depth:
             self.hide.pop()
 
@@ -127,6 +144,8 @@ class Events(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.hide and data.strip():
+            self._end_head()
         if self.hide:
             return
         self.words.append(data)
@@ -170,21 +189,21 @@ def extract(html: str | None) -> str:
     p.rest()
     if not p.lines:
         return ""
-    chars = np.array([0.0 if out else float(n) for _, n, _, out, _ in p.lines])
-    ratio = np.log1p(smooth(chars / np.array([max(1, t) for _, _, t, _, _ in p.lines]), SIGMA))
-    mass = np.where(ratio >= threshold(ratio), chars, 0.0)
-    if not mass.sum():
-        mass = chars
-    if not mass.sum():  # nothing but links
-        mass = np.array([float(not out) for _, _, _, out, _ in p.lines])
-    # text of content lines and first headings below each element
-    held, titles = np.zeros(len(p.names) + 1), np.zeros(len(p.names) + 1, np.int64)
-    for m, (_, _, _, out, e) in zip(mass, p.lines, strict=True):
-        held[e] += m
-        titles[e] += not out and e >= 0 and p.names[e] == "h1"
-    for e in range(len(p.names) - 1, -1, -1):
-        held[p.parents[e]] += held[e]
-        titles[p.parents[e]] += titles[e]
+    at = [e for _, _, _, e in p.lines]
+    shut = outside(p, [w == SHUT for w in p.shut])
+    if any(w in (NAMED, REMARKED) for w in p.shut):
+        # a name can't shut what holds most of the content (of articles, where there are any); comments and notices can
+        # be long, so theirs shut all but what holds every character; and names together can't shut the whole page
+        chars, mass = content(p, shut[at])
+        own = chars * outside(p, [n in WHOLE for n in p.names])[at]
+        mass = own if own.any() else mass
+        held, every = below(p, mass), below(p, chars)
+        named = outside(p, [w == SHUT or (w == NAMED and held[e] <= held[-1] / 2) or (w == REMARKED and every[e] < every[-1]) for e, w in enumerate(p.shut)])
+        shut = shut if named[at].all() else named
+    outs = shut[at]
+    chars, mass = content(p, outs)
+    held = below(p, mass)
+    titles = below(p, np.array([float(not out and e >= 0 and p.names[e] == "h1") for out, e in zip(outs, at, strict=True)]))
     region = core = whole = -1
     for e, name in enumerate(p.names):  # in page order: a child follows its parent
         if name not in REGIONS or held[e] < 0.9 * mass.sum():
@@ -195,7 +214,37 @@ def extract(html: str | None) -> str:
             region, whole = e, e if name in WHOLE else -1
     within = inside(p, region)
     dense = within if whole >= 0 or not chars.any() else inside(p, core)
-    return "\n".join(text for text, n, _, out, e in p.lines if not out and within[e] and (n or dense[e] or (e >= 0 and p.names[e] in TEXTUAL)))
+    return "\n".join(text for (text, n, _, e), out in zip(p.lines, outs, strict=True) if not out and within[e] and (n or dense[e] or (e >= 0 and p.names[e] in TEXTUAL)))
+
+
+def content(p: Events, outs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line, its characters outside links, and those if it is a content line; 0 where it is outside."""
+    chars = np.array([0.0 if out else float(n) for (_, n, _, _), out in zip(p.lines, outs, strict=True)])
+    ratio = np.log1p(smooth(chars / np.array([max(1, t) for _, _, t, _ in p.lines]), SIGMA))
+    mass = np.where(ratio >= threshold(ratio), chars, 0.0)
+    if not mass.sum():
+        mass = chars
+    if not mass.sum():  # nothing but links
+        mass = np.array([float(not out) for out in outs])
+    return chars, mass
+
+
+def below(p: Events, mass: np.ndarray) -> np.ndarray:
+    """Sums of the lines' mass below each element and, last, the page itself."""
+    held = np.zeros(len(p.names) + 1)
+    for m, line in zip(mass, p.lines, strict=True):
+        held[line[3]] += m
+    for e in range(len(p.names) - 1, -1, -1):
+        held[p.parents[e]] += held[e]
+    return held
+
+
+def outside(p: Events, shut: list[bool]) -> np.ndarray:
+    """Of each element and, last, the page itself, whether it or one around it is shut."""
+    found = np.array([*shut, False])
+    for e in range(len(p.names)):
+        found[e] |= found[p.parents[e]]  # the page's own, last, where there is none around
+    return found
 
 
 def inside(p: Events, region: int) -> np.ndarray:

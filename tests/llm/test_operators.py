@@ -228,6 +228,33 @@ def test_main_text_beside_a_nested_body(box):
     assert html.extract(page).split("\n") == [*lead, *[x.strip() for x in body], *end]
 
 
+BODY = "A paragraph of the article with words enough to count as its content."
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "post category-social", "post share-enabled", "sidebar-right", "menu"])
+@pytest.mark.parametrize("box", ["article", "div"])
+def test_main_text_in_named_wrapper(name, box):
+    page = f"<body><div class='site-footer'>Site</div><div class='{name}'><{box}><h1>T</h1><p>{BODY}</p><p>{BODY}</p></{box}><div class='sidebar-left'>s</div></div><div id='main-nav'><a href=x>m</a></div><div class='comments-area'>{BODY}</div></body>"
+    assert html.extract(page) == f"T\n{BODY}\n{BODY}"
+
+
+def test_main_text_part_with_a_compound_name():
+    part = f"<p>{BODY}</p><p>{BODY}</p>"
+    assert html.extract(f"<body><div>{part}</div><div class='part share-enabled'><p>{BODY}</p></div></body>") == "\n".join([BODY] * 3)
+
+
+def test_main_text_beside_long_notices():
+    assert html.extract(f"<div class=content><p>Brief note.</p></div><div class='cookie-notice'>{BODY * 9}</div><section id=comments>{BODY * 9}</section>") == "Brief note."
+    assert html.extract(f"<article><p>Brief note.</p></article><div class=sidebar>{BODY * 9}</div>") == "Brief note."
+    assert html.extract(f"<div class=widget>{BODY}</div><div class=widget>{BODY}</div>") == f"{BODY}\n{BODY}"
+
+
+@pytest.mark.parametrize("start", ["<body>", "<p>", "<div>", ""])
+def test_main_text_after_an_open_head(start):
+    page = f"<html><head><meta charset=utf-8><title>T</title><style>p {{}}</style>\n<script>1</script>{start}{BODY}<p>{BODY}</p></html>"
+    assert html.extract(page) == f"{BODY}\n{BODY}"
+
+
 def test_main_text_of_links_alone():
     assert html.extract("<body><div><a href=a>one</a></div><div><a href=b>two</a></div></body>") == "one\ntwo"
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quarrylark.llm import common, dedup, packing, quality, setjoin
 
-#: Documents below this score go. Lower than the classifier's 0.5, so that doubtful documents stay.
-REJECT_BELOW = 0.25
+#: Documents below this score go: the classifier's own decision, as op4 predicts.
+REJECT_BELOW = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

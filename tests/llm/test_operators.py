@@ -207,6 +207,17 @@ def test_quality_edges(spark, docs, none):
     assert quality.score(none, m).count() == 0
 
 
+def test_pipeline_drops_what_the_classifier_rejects(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    machine = quality.train(quality.labelled_documents(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    scores = {r.doc_id: r.score for r in quality.score(docs, machine).select("doc_id", "score").collect()}
+    assert any(0.25 <= x < 0.5 for x in scores.values())
+    assert {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, sf).collect()} == {k for k, x in scores.items() if x >= 0.5}
+
+
 # ------------------------------------------------------------ html
 
 

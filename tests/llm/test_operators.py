@@ -95,6 +95,18 @@ def test_model_is_kneser_ney(spark, order):
     assert total == pytest.approx(1)
 
 
+def test_model_of_order_three_is_kneser_ney(spark):
+    rnd = random.Random(6)
+    train = [[rnd.choice("abcdefgh"[: rnd.choice([3, 8])]) for _ in range(rnd.randrange(0, 30))] for _ in range(60)]
+    test = [*train[:5], ["a", "new", "b", "a"], []]
+    frame = lambda rows: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(frame(test), lm.train(frame(train).repartition(4), 3)).collect()}
+    p = kneser_ney(train, 3)
+    for i, t in enumerate(test):
+        s = ["<s>"] * 2 + t + ["</s>"]
+        assert got[i].score == pytest.approx(sum(math.log10(p(s[j : j + 3])) for j in range(len(s) - 2)), abs=1e-9)
+
+
 def test_model_of_order_three_sums_to_one(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c a b d", "a b c", "b c a"] * 3)], "doc_id long, text string")
     m = lm.train(df, 3)

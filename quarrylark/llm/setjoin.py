@@ -18,7 +18,8 @@ Components come from star contraction of the links. Nothing of the corpus comes
 bucket counts. Any order is correct: frequencies only decide how short the lists are.
 
 Defined results: null text is empty; a text without words has an empty set and links with nothing; with fewer words
-than a shingle the whole sequence is the one shingle; repeated rows are equal sets.
+than a shingle the whole sequence is the one shingle; repeated rows are equal sets; a row without a key has its set's
+size and no component, and links with nothing.
 """
 
 from __future__ import annotations
@@ -370,9 +371,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """key, n_shingles, component_id (smallest key reachable by links) of each row; keys are longs."""
     spark = docs.sparkSession
     configure(spark)
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL")
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     both = materialise(docs.mapInArrow(summarising(k), "kind int, key long, n long, hi long, lo long, block binary"), "prints")
     slim = both.filter("kind = 0").select("key", "n", "hi", "lo")
+    docs = docs.filter("key IS NOT NULL")
     frequent = spark.sparkContext.broadcast(frequencies(both.filter("kind = 1").select("key", "block")))  # of fixed size
     postings = docs.mapInArrow(posting(k, share, frequent), "token long, id long, lo long, at long")
     lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(leading(share), "token long, id long, at long, leader long")
@@ -424,10 +426,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     if left.limit(1).count():
         links = links.unionByName(materialise(verified(docs, left, k).filter(linked(share)).select("a", "b"), "late"))
     comps = connected(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "comp")
-    reps = slim.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep"))
+    reps = slim.filter("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep"))
     reps = reps.join(comps, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("comp"))
     out = slim.join(reps, ["hi", "lo", "n"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "key").alias("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("comp", "key")).alias("component_id"))
 
 
 def op7_ngram_jaccard(spark, sf_dir):

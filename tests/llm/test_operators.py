@@ -375,6 +375,12 @@ def test_set_join_edges(docs, none):
     assert setjoin.near_duplicates(none).count() == 0
 
 
+def test_set_join_without_keys(spark):
+    rows = [(3, "a b c d e"), (None, "a b c d e"), (None, "x y z w v u"), (None, "x y z w v u"), (1, "A b c d e"), (None, None)]
+    got = setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(3, 2, 1), (1, 2, 1), (None, 2, None), (None, 3, None), (None, 3, None), (None, 0, None)])
+
+
 # ------------------------------------------------------------ exact dedup
 
 

@@ -1,7 +1,9 @@
-"""Shared plumbing of the training-data operators: shared storage, readers, hashing."""
+"""Shared plumbing of the training-data operators: shared storage, row marks, readers, hashing."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -9,7 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: texts may be very long, so batches stay short and their bytes bounded.
@@ -25,12 +27,22 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; an own one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    Where both are unset, a local session gets an own temporary folder, one for each application; on a cluster that would
+    be a folder of one machine, so there it is an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quarrylark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quarrylark-")
+        _own[context.applicationId] = found
     return found.rstrip("/")
 
 
@@ -54,6 +66,68 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+# ---------------------------------------------------------------- marks on rows
+
+
+def file_backed(df: DataFrame) -> bool:
+    """df is columns and filters over files alone, so that a row's file and place in it name the row in every scan."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        node = node.children().head()
+    return node.nodeName().startswith(("Relation", "LogicalRelation")) and bool(df.inputFiles())
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs with cell (a run of rows of one file, long) and place (int, in the cell) of each row, the same in every scan.
+
+    What isn't a scan of files is written to the shared folder first. Cells grow with the table, from 2^8 rows to the 2^15
+    that one bitmap holds.
+    """
+    if not file_backed(docs):
+        docs = materialise(docs, "rows")
+    bits = min(15, max(8, (docs.count() >> 8).bit_length()))
+    at = F.col("_metadata.row_index")
+    return docs.select("*", F.xxhash64("_metadata.file_path", F.shiftright(at, bits)).alias("cell"), at.bitwiseAND((1 << bits) - 1).cast("int").alias("place"))
+
+
+def mark(rows: DataFrame, name: str) -> str:
+    """Write the bitmaps of rows (cell, place), a small file for each cell that has any; gives their folder."""
+    folder = shared_folder(rows.sparkSession, name)
+
+    def run(batches):
+        n = 0
+        for b in batches:
+            for cell, bits in zip(b.column("cell").to_pylist(), b.column("bits").to_pylist(), strict=True):
+                write_shared(f"{folder}/{cell & 255:02x}/{cell & (1 << 64) - 1:016x}", bits.rstrip(b"\0"))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows.groupBy("cell").agg(F.bitmap_construct_agg("place").alias("bits")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+@functools.lru_cache(64)
+def bitmap(folder: str, cell: int) -> np.ndarray:
+    raw = read_shared(f"{folder}/{cell & 255:02x}/{cell & (1 << 64) - 1:016x}")
+    # padded here: unpackbits leaves what it adds to an empty array unset
+    return np.unpackbits(np.frombuffer((raw or b"").ljust(1 << 12, b"\0"), np.uint8), bitorder="little").astype(bool)
+
+
+def marked(folder: str) -> Column:
+    """Test of a located row. Only cell and place go to Python, no other column of the row."""
+
+    def test(cell: pa.Array, place: pa.Array) -> pa.Array:
+        cells, places = cell.to_numpy(zero_copy_only=False), place.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(cells), bool)
+        for c in np.unique(cells):
+            own = cells == c
+            out[own] = bitmap(folder, int(c))[places[own]]
+        return pa.array(out)
+
+    test.__annotations__ = {"cell": pa.Array, "place": pa.Array, "return": pa.Array}
+    return F.arrow_udf(test, "boolean")("cell", "place")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size; for a file scan the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -72,6 +146,56 @@ def write_atomic(path: str, data: bytes) -> None:
     os.replace(temp, path)
 
 
+def write_shared(uri: str, data: bytes) -> None:
+    """write_atomic() in any store that pyarrow reaches; object stores write a file whole or not at all."""
+    if uri.startswith("file:") or "://" not in uri:
+        return write_atomic(posix(uri), data)
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path) as f:
+        f.write(data)
+
+
+def read_shared(uri: str) -> bytes | None:
+    """The bytes written, or None where there is no such file."""
+    if uri.startswith("file:") or "://" not in uri:
+        try:
+            with open(posix(uri), "rb") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
+def trimmed(run):
+    """A function of Arrow batches whose worker gives its free memory back at the end: idle workers are kept for reuse."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -15,11 +15,14 @@ their followers whose bound stays below the needed overlap. Only pairs of differ
 open are verified themselves.
 
 Components come from star contraction of the links. Nothing of the corpus comes to the driver but sums and the array of
-bucket counts. Any order is correct: frequencies only decide how short the lists are.
+bucket counts. Any order is correct: frequencies only decide how short the lists are. Of equal sets one row posts, and
+texts are scanned in place: bitmaps of rows say whose text is wanted, so that no text is shuffled.
 
 Defined results: null text is empty; a text without words has an empty set and links with nothing; with fewer words
-than a shingle the whole sequence is the one shingle; repeated rows are equal sets; a row without a key has its set's
-size and no component, and links with nothing.
+than a shingle the whole sequence is the one shingle; repeated rows are equal sets; rows of one key with different texts
+are nodes of their own (they get numbers for the work, where a key would stand for two sets); a row without a key has
+its set's size and no component, and links with nothing. Other columns of docs aren't read and don't clash; an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -30,21 +33,25 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import configure, connected, materialise, mix, release, texts_of, word_hashes, words_of
+from .common import configure, connected, located, mark, marked, materialise, mix, release, texts_of, trimmed, word_hashes, words_of
 
 #: Shingles are counted by bucket of their hash, in slices that tasks send: 16 MB whatever the corpus.
 BUCKET_BITS, SLICE_BITS = 22, 6
 SLICES = 1 << SLICE_BITS
 #: Bytes of text that one pass of array operations takes, about.
 CHUNK = 1_000_000
-#: Odd multipliers of a window's words.
-FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) | 1) for i in range(16)]
+#: Odd multiplier of a window's word, by its place.
+FACTOR = 0x9E3779B97F4A7C15
 #: Rows of postings that are looked at together, about.
 ROWS = 60_000
 #: Pairs that one pass of array operations expands.
 PAIRS = 500_000
 
 
+def factor(i: int) -> np.uint64:
+    return np.uint64(pow(FACTOR, 2 * i + 1, 1 << 64) | 1)
+
+
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts (sorted within each) and how many each text has."""
     words = [words_of(t) for t in texts]
@@ -54,7 +61,7 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.maximum(sizes - k + 1, 0)
     h = np.zeros(max(0, len(flat) - k + 1), np.uint64)
     for i in range(k):
-        h += flat[i : len(flat) - k + 1 + i] * FACTORS[i]
+        h += flat[i : len(flat) - k + 1 + i] * factor(i)
     h = mix(h) >> np.uint64(1)
     whole = np.ones(len(flat), bool)  # starts of windows that stay in their text
     for i in range(1, k):
@@ -85,7 +92,7 @@ def set_prints(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(some):
         starts, x = (np.cumsum(n) - n)[some], mix(h)
         lo[some] = np.add.reduceat(x, starts)
-        hi[some] = np.add.reduceat((x ^ (x >> np.uint64(29))) * FACTORS[0], starts)
+        hi[some] = np.add.reduceat((x ^ (x >> np.uint64(29))) * factor(0), starts)
     return hi.view(np.int64), lo.view(np.int64)
 
 
@@ -98,25 +105,27 @@ def slices(batches):
 
 
 def summarising(k: int):
-    """Rows of kind 0: key, size and print of a text's set; of kind 1: a slice of the task's counts of shingles by bucket."""
+    """Rows of kind 0: key, place, size and print of a text's set; of kind 1: a slice of the task's counts of shingles by bucket."""
 
+    @trimmed
     def run(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         for b in slices(batches):
             h, n = shingle_sets(texts_of(b, "text"), k)
             hi, lo = set_prints(h, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("key"), pa.array(n), pa.array(hi), pa.array(lo), pa.nulls(len(n), pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("key"), b.column("cell"), b.column("place"), pa.array(n), pa.array(hi), pa.array(lo), pa.nulls(len(n), pa.binary())], NAMES)
             at, c = np.unique(bucket_of(h), return_counts=True)
             counts[at] += c.astype(np.uint32)
         parts = counts.reshape(SLICES, -1)
         some = np.flatnonzero(parts.any(1))
         z = np.zeros(len(some), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some.astype(np.int64)), pa.array(z), pa.array(z), pa.array(z), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in parts[some]], pa.binary())], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some.astype(np.int64)), pa.array(z), pa.array(z.astype(np.int32)), pa.array(z), pa.array(z), pa.array(z), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in parts[some]], pa.binary())], NAMES)
 
     return run
 
 
-NAMES = ["kind", "key", "n", "hi", "lo", "block"]
+NAMES = ["kind", "key", "cell", "place", "n", "hi", "lo", "block"]
+PRINTS = "kind int, key long, cell long, place int, n long, hi long, lo long, block binary"
 
 
 def bucket_of(h: np.ndarray) -> np.ndarray:
@@ -158,30 +167,22 @@ def shared_least(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
 
 
 def posting(k: int, share: int, frequent):
-    """Postings of each text's prefix; equal sets of a batch post once, under their smallest key."""
+    """Postings of each text's prefix."""
 
+    @trimmed
     def run(batches):
         counts = frequent.value
         for b in slices(batches):
             h, n = shingle_sets(texts_of(b, "text"), k)
             _, lo = set_prints(h, n)
             key = b.column("key").to_numpy()
-            order = np.lexsort((key, lo, n))
-            first = np.ones(len(n), bool)
-            first[1:] = (n[order][1:] != n[order][:-1]) | (lo[order][1:] != lo[order][:-1])
-            use = np.zeros(len(n), bool)
-            use[order[first]] = True
-            use &= n > 0
             doc = np.repeat(np.arange(len(n)), n)
-            mine = use[doc]
-            h, doc = h[mine], doc[mine]
             often = np.minimum(counts[bucket_of(h)], (1 << 23) - 1).astype(np.uint64)
             h = often << np.uint64(40) | h & np.uint64((1 << 40) - 1)
-            n2 = np.where(use, n, 0)
-            begin = np.cumsum(n2) - n2
-            for i in np.flatnonzero(n2).tolist():
-                h[begin[i] : begin[i] + n2[i]].sort()
-            pos = np.arange(len(h)) - np.repeat(begin, n2)
+            begin = np.cumsum(n) - n
+            for i in np.flatnonzero(n).tolist():
+                h[begin[i] : begin[i] + n[i]].sort()
+            pos = np.arange(len(h)) - np.repeat(begin, n)
             near = pos < prefix(n, share)[doc]
             h, doc, pos = h[near], doc[near], pos[near]
             for s in range(0, len(h), 200_000):
@@ -218,6 +219,7 @@ def leading(share: int):
     that the others were most likely made from. Sets out of its size range have another leader.
     """
 
+    @trimmed
     def run(batches):
         for x in lists_of(batches, ["token", "id", "lo", "at"]):
             order = np.lexsort((x["id"], x["lo"], x["at"], x["token"]))
@@ -303,6 +305,7 @@ def crossing(share: int):
         c = np.diff(np.append(np.flatnonzero(new), len(a)))
         return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (a[new], b[new], na[new], nb[new], c)], ["a", "b", "na", "nb", "c"])
 
+    @trimmed
     def run(batches):
         parts, held = [], 0
         for x in lists_of(batches, ["token", "id", "at", "comp", "leader", "met"]):
@@ -345,17 +348,19 @@ def crossing(share: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, added: bool = False) -> DataFrame:
-    """Exact sizes and overlap of pairs (a, b), and on demand what b has beyond a; only the texts of their documents are moved."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "involved")
+def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, added: bool = False) -> DataFrame:
+    """Exact sizes and overlap of pairs (a, b), and on demand what b has beyond a; only the texts of their sets are read."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = mark(reps.join(ids, "key", "left_semi").select("cell", "place"), "involved")
 
+    @trimmed
     def run(batches):
         for b in slices(batches):
             h, n = shingle_sets(texts_of(b, "text"), k)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("key"), lists], ["key", "tokens"])
 
-    sets = docs.join(ids, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(run, "key long, tokens array<bigint>")
+    sets = rows.filter(marked(wanted)).select("key", "text").mapInArrow(run, "key long, tokens array<bigint>")
     sets = materialise(sets, "sets")
     one = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
     two = one.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -369,12 +374,43 @@ def linked(share: int):
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, share: int = 85) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links) of each row; keys are longs."""
-    spark = docs.sparkSession
-    configure(spark)
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    both = materialise(docs.mapInArrow(summarising(k), "kind int, key long, n long, hi long, lo long, block binary"), "prints")
-    slim = both.filter("kind = 0").select("key", "n", "hi", "lo")
-    docs = docs.filter("key IS NOT NULL")
+    configure(docs.sparkSession)
+    rows = located(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+    return components(rows, k, share).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, share: int = 80) -> DataFrame:
+    """docs with one row of each component: that with the smallest key, of repetitions the first in place."""
+    configure(docs.sparkSession)
+    names = docs.columns
+    rows = located(docs.toDF(*[f"c{i}" for i in range(len(names))]))  # no name clashes with cell and place
+    own = rows.select(F.col(f"c{names.index(key)}").cast("long").alias("key"), F.col(f"c{names.index(text)}").alias("text"), "cell", "place")
+    found = materialise(components(own, k, share).filter("n > 0 AND comp IS NOT NULL"), "components")
+    keep = found.groupBy("comp").agg(F.min(F.struct("key", "cell", "place")).alias("keep"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    away = found.join(keep, "comp").filter("cell <> keep.cell OR place <> keep.place")
+    return rows.filter(~marked(mark(away.select("cell", "place"), "near-away"))).drop("cell", "place").toDF(*names)
+
+
+def numbered(rows: DataFrame, k: int, share: int) -> DataFrame:
+    """components() where a key would stand for two sets: rows are numbered, and components get their smallest key."""
+    number = F.when(F.col("key").isNotNull(), F.monotonically_increasing_id())
+    named = located(materialise(rows.select(F.col("key").alias("own"), F.struct("cell", "place").alias("was"), "text", number.alias("key")), "numbered"))
+    found = components(named.select("key", "text", "cell", "place"), k, share).drop("component_id")
+    found = materialise(found.join(named.select("cell", "place", "own", "was"), ["cell", "place"]), "numbered-components")
+    least = found.groupBy("comp").agg(F.min("own").alias("component_id"))
+    return found.join(least, "comp", "left").select(F.col("own").alias("key"), "was.cell", "was.place", "n", "comp", "component_id")
+
+
+def components(rows: DataFrame, k: int, share: int) -> DataFrame:
+    """rows: key, text and where they are. Gives key, cell, place, n, comp (a number of the component) and component_id."""
+    spark = rows.sparkSession
+    both = materialise(rows.mapInArrow(summarising(k), PRINTS), "prints")
+    slim = both.filter("kind = 0").select("key", "cell", "place", "n", "hi", "lo")
+    reps = slim.filter("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min(F.struct("key", "cell", "place")).alias("r"))
+    reps = materialise(reps.select("hi", "lo", "n", "r.key", "r.cell", "r.place"), "representatives")
+    if reps.groupBy("key").count().filter("count > 1").limit(1).count():
+        return numbered(rows, k, share)
+    docs = rows.filter(marked(mark(reps.select("cell", "place"), "posting"))).select("key", "text")
     frequent = spark.sparkContext.broadcast(frequencies(both.filter("kind = 1").select("key", "block")))  # of fixed size
     postings = docs.mapInArrow(posting(k, share, frequent), "token long, id long, lo long, at long")
     lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(leading(share), "token long, id long, at long, leader long")
@@ -386,7 +422,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "leader"))).filter("r = 1")
     star = star.filter(F.col("c") * 400 >= F.shiftright("at", 32) * (100 - share))  # a quarter of the prefix
     star = materialise(star.select(F.col("leader").alias("a"), F.col("id").alias("b")), "star")
-    star = materialise(verified(docs, star, k, added=True), "answers")
+    star = materialise(verified(rows, reps, star, k, added=True), "answers")
     links = star.filter(linked(share)).drop("added")
     release(spark)
     comps = connected(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
@@ -416,7 +452,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     cross = cross.select("a", "b", "need", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), (F.coalesce("ma", F.lit(0)) + F.coalesce("mb", F.lit(0))).alias("miss"))
     cross = materialise(cross.select("a", "b", "need", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"), "miss"), "candidates")
     two = cross.filter("la <> lb")
-    settled = materialise(verified(docs, two.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), k), "settled")
+    settled = materialise(verified(rows, reps, two.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), k), "settled")
     links = links.select("a", "b").unionByName(settled.filter(linked(share)).select("a", "b"))
     # followers take the answer of their leaders where it settles theirs; followers of one leader were bounded before
     left = two.filter("NOT (la = a AND lb = b)").join(settled.select(F.col("a").alias("la"), F.col("b").alias("lb"), "overlap"), ["la", "lb"])
@@ -424,12 +460,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     left = materialise(left.distinct(), "pairs")
     release(spark)
     if left.limit(1).count():
-        links = links.unionByName(materialise(verified(docs, left, k).filter(linked(share)).select("a", "b"), "late"))
+        links = links.unionByName(materialise(verified(rows, reps, left, k).filter(linked(share)).select("a", "b"), "late"))
     comps = connected(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "comp")
-    reps = slim.filter("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("key").alias("rep"))
-    reps = reps.join(comps, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("comp"))
-    out = slim.join(reps, ["hi", "lo", "n"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("comp", "key")).alias("component_id"))
+    named = reps.withColumnRenamed("key", "rep").join(comps, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("comp"))
+    out = slim.join(named, ["hi", "lo", "n"], "left").withColumn("comp", F.when(F.col("key").isNotNull(), F.coalesce("comp", "key")))
+    return out.select("key", "cell", "place", "n", "comp", F.col("comp").alias("component_id"))
 
 
 def op7_ngram_jaccard(spark, sf_dir):

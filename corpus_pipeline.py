@@ -33,24 +33,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.mapInArrow(run, docs.schema)
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped."""
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-
-
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays; of rows repeated whole, one."""
-    groups = common.materialise(dedup.exact_groups(docs), "exact")
-    left = without(docs, groups.filter("NOT kept").select(F.col("key").alias("doc_id")))
-    if groups.filter("kept").groupBy("key").count().filter("count > 1").limit(1).count():
-        left = left.dropDuplicates()
-    return left
+    """Of equal texts (A-Z lower-cased, null as empty) one row stays: that with the largest doc_id, of repetitions the last."""
+    return dedup.survivors(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word shingle sets of Jaccard 0.8 or more connect, the smallest doc_id stays."""
-    found = setjoin.near_duplicates(docs, k=5, share=80)
-    return without(docs, common.materialise(found.filter("component_id <> doc_id").select("doc_id"), "near"))
+    return setjoin.representatives(docs, k=5, share=80)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

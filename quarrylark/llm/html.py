@@ -1,15 +1,21 @@
 """Main text of web pages: text-to-tag ratios of lines, smoothed and clustered, over a stream of parser events.
 
 The parser (standard library, fed in slices) gives events; block elements end lines. Each line carries the length of
-its text outside links and the number of tags seen since the line before. The ratios are smoothed by a Gaussian over
-neighbouring lines, and a threshold found by two-means clustering splits them into content and the rest. The smallest
-element that leaves no content line and no first heading outside is the main region, but never one within an article
-or main; all its lines are returned but those of menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments, which structure and names give away. Where the page has neither article nor main around them, lines of
-nothing but links outside the element that holds nearly all content text are menus too.
+its text outside links and the number of tags seen since the line before. The logarithms of the ratios are smoothed by a
+Gaussian over neighbouring lines, and a threshold found by two-means clustering splits them into content and the rest.
+A line's evidence is its distance from the threshold: content lines count for the elements around them, lines of links
+below it against them, and other short lines neither way. The element with the most evidence is the region, the
+outermost of equals; all its lines are returned but those that are nothing but links, which are menus in it unless they
+are headings or paragraphs.
+
+Structure is a feature beside that: what markup says is a menu, header, footer, sidebar, form or hidden is left out, a
+telling class or id leaves an element out unless it holds most of the content, a region within an article or main
+widens to it and keeps its links, and an article or main with half the evidence is the region. The first heading is brought in where the
+element around it and the region keeps half of the evidence.
 
 Defined results: null or empty html gives an empty text; a page without markup is its text; elements left open end
-with the page; a page whose lines all look alike is all content.
+with the page; a page whose lines all look alike is all content, one of links alone too. Rows repeated or with equal
+keys are pages of their own; a null key or url stays null; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -201,27 +207,59 @@ def extract(html: str | None) -> str:
         named = outside(p, [w == SHUT or (w == NAMED and held[e] <= held[-1] / 2) or (w == REMARKED and every[e] < every[-1]) for e, w in enumerate(p.shut)])
         shut = shut if named[at].all() else named
     outs = shut[at]
-    chars, mass = content(p, outs)
-    held = below(p, mass)
-    titles = below(p, np.array([float(not out and e >= 0 and p.names[e] == "h1") for out, e in zip(outs, at, strict=True)]))
-    region = core = whole = -1
-    for e, name in enumerate(p.names):  # in page order: a child follows its parent
-        if name not in REGIONS or held[e] < 0.9 * mass.sum():
-            continue
-        if p.parents[e] == core:
-            core = e
-        if p.parents[e] == region and whole < 0 and held[e] == mass.sum() and titles[e] == titles[-1]:
-            region, whole = e, e if name in WHOLE else -1
-    within = inside(p, region)
-    dense = within if whole >= 0 or not chars.any() else inside(p, core)
-    return "\n".join(text for (text, n, _, e), out in zip(p.lines, outs, strict=True) if not out and within[e] and (n or dense[e] or (e >= 0 and p.names[e] in TEXTUAL)))
+    ratio, cut = ratios(p, outs)
+    links = np.array([n == 0 for _, n, _, _ in p.lines])
+    region = chosen(p, outs, ratio - cut)
+    within, whole = inside(p, region), region >= 0 and p.names[region] in WHOLE
+    away = outs | (links & np.array([not whole and not (e >= 0 and p.names[e] in TEXTUAL) for e in at]))
+    if not (within[at] & ~away & ~links).any():  # nothing but links
+        away = outs
+    return "\n".join(line[0] for line, e, out in zip(p.lines, at, away, strict=True) if within[e] and not out)
+
+
+def ratios(p: Events, outs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Smoothed logarithms of the lines' text-to-tag ratios, 0 where a line is outside, and the border of content."""
+    chars = np.array([0.0 if out else float(n) for (_, n, _, _), out in zip(p.lines, outs, strict=True)])
+    ratio = smooth(np.log1p(chars / np.array([max(1, t) for _, _, t, _ in p.lines])), SIGMA)
+    return ratio, threshold(ratio)
+
+
+def chosen(p: Events, outs: np.ndarray, over: np.ndarray) -> int:
+    """The element that most evidence speaks for; over: of each line, how far its ratio is over the threshold."""
+    linked = np.array([1 - n / len(text) for text, n, _, _ in p.lines])
+    held = below(p, np.where(outs, 0.0, np.where(over >= 0, over, over * linked)))
+    region = -1
+    for e, name in enumerate(p.names):  # in page order: of equals the outermost
+        if name in REGIONS and held[e] > held[region] + 1e-9:
+            region = e
+    whole = [e for e, name in enumerate(p.names) if name in WHOLE and held[e] >= max(held[region] / 2, 1e-9)]
+    around = lines_up(p, region)
+    if any(p.names[e] in WHOLE for e in around):
+        region = next(e for e in around if p.names[e] in WHOLE)
+    elif whole:
+        region = max(whole, key=lambda e: (held[e], -e))
+    heads = [e for (_, _, _, e), out in zip(p.lines, outs, strict=True) if not out and e >= 0 and p.names[e] == "h1"]
+    if heads and region >= 0 and not any(region in lines_up(p, e) for e in heads):
+        both = next((e for e in lines_up(p, region) if e in lines_up(p, heads[0])), -1)
+        if held[both] >= held[region] / 2:
+            region = both
+    return region
+
+
+def lines_up(p: Events, e: int) -> list[int]:
+    """The element and those around it, from inside out."""
+    out = []
+    while e >= 0:
+        out.append(e)
+        e = p.parents[e]
+    return out
 
 
 def content(p: Events, outs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each line, its characters outside links, and those if it is a content line; 0 where it is outside."""
     chars = np.array([0.0 if out else float(n) for (_, n, _, _), out in zip(p.lines, outs, strict=True)])
-    ratio = np.log1p(smooth(chars / np.array([max(1, t) for _, _, t, _ in p.lines]), SIGMA))
-    mass = np.where(ratio >= threshold(ratio), chars, 0.0)
+    ratio, cut = ratios(p, outs)
+    mass = np.where(ratio >= cut, chars, 0.0)
     if not mass.sum():
         mass = chars
     if not mass.sum():  # nothing but links

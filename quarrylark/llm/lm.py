@@ -9,7 +9,8 @@ Workers map those files and compute probabilities from counts at lookup, so no j
 A lookup is a bounded binary search for the n-gram's 32-bit remainder inside the bucket that its high bits name.
 
 Defined results: null text is empty; an empty text is one end token; words never seen share the uniform share of the
-lowest order; with no training text at all every token has probability 1. Repeated rows count as often as they occur.
+lowest order; with no training text at all every token has probability 1. Repeated rows count as often as they occur and
+are scored each; a null key is scored and stays null; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, configure, input_bytes, learns, mix, posix, shared_folder, texts_of, word_hashes, words_of, write_atomic
+from .common import MIX, configure, input_bytes, learns, mix, posix, shared_folder, texts_of, trimmed, word_hashes, words_of, write_atomic
 
 #: Words are 48-bit hashes; the two marks can't be made by a word's hash, which is made odd.
 WORD_BITS = np.uint64((1 << 48) - 1)
@@ -35,6 +36,8 @@ BEGIN, END = np.uint64(2), np.uint64(4)
 RUN_TOKENS = 700_000
 #: Input bytes for each owner.
 OWNER_BYTES = 6 << 20
+#: Files that a worker maps at once; Linux allows about 65,000 maps a process.
+MAPS = 8_192
 #: n-grams in a bucket of an array, about.
 BUCKET = 48
 VALUES = ("a", "raw", "total", "n1", "n2", "n3")
@@ -126,6 +129,7 @@ def batch_of(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def counting(order: int, owners: int):
+    @trimmed
     def run(batches):
         held, n = [], 0
 
@@ -260,6 +264,17 @@ class Scorer:
     def __init__(self, model: Model):
         self.m, self.d, self.shards = model, [discounts(s) for s in model.sums], {}
 
+    def shard(self, n: int, owner: int) -> Shard | None:
+        """The mapped file; that which was used the longest time ago is closed for it."""
+        got = self.shards.pop((n, owner), self)
+        if got is self:
+            path = f"{self.m.folder}/{n}/{owner:08d}"
+            got = Shard(path) if os.path.exists(path) else None
+            if len(self.shards) >= MAPS:
+                del self.shards[next(iter(self.shards))]
+        self.shards[n, owner] = got
+        return got
+
     def rows(self, n: int, keys: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
         """Values of n-grams, each distinct one looked up once, owner by owner."""
         h, back = np.unique(ngram_hash(keys), return_inverse=True)
@@ -268,10 +283,7 @@ class Scorer:
         cut = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1], [True]))) if len(h) else []
         for i in range(len(cut) - 1):
             part, o = slice(cut[i], cut[i + 1]), int(whose[cut[i]])
-            if (n, o) not in self.shards:
-                path = f"{self.m.folder}/{n}/{o:08d}"
-                self.shards[n, o] = Shard(path) if os.path.exists(path) else None
-            if shard := self.shards[n, o]:
+            if shard := self.shard(n, o):
                 row = shard.find(h[part])
                 for c, name in enumerate(names):
                     out[part, c] = shard.value(name, row)
@@ -325,6 +337,7 @@ def train(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each row's log10 probability, its tokens, those known, and the smoothed unigram score."""
 
+    @trimmed
     def run(batches):
         scorer, s1 = model.open(), model.sums[0]
         for b in batches:

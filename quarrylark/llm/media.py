@@ -412,13 +412,20 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def describe(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds to any table with a media column: width, height, ahash, dhash, thumbnail, error."""
+    """Adds to any table with a media column: width, height, ahash, dhash, thumbnail, error.
+
+    A column that has such a name already is passed on with _in after it. Null media give nulls without an error.
+    """
     from pyspark.sql import types as T
 
     extra = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("ahash", T.StringType()), T.StructField("dhash", T.StringType()), T.StructField("thumbnail", T.BinaryType()), T.StructField("error", T.StringType())]
-    clash = {f.name for f in extra} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    ours, names = {f.name for f in extra}, []
+    for c in df.columns:
+        while c in ours or c in names:
+            c += "_in"
+        names.append(c)
+    media = names[df.columns.index(media)]
+    df = df.toDF(*names)
 
     def run(batches):
         for b in batches:

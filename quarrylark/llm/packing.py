@@ -7,12 +7,14 @@ be reached) finds the fullest combination, which leaves the block. Only bins tha
 go through a second round in far fewer blocks, so that blocks cost no more than a few bins.
 
 A piece has a hash of its ids; ids stay where they are, the plan is (document, piece, sequence, offset). Defined
-results: null text is empty and packs as its closing id; repeated rows are packed each.
+results: null text is empty and packs as its closing id; repeated rows are packed each; rows with null or equal keys too;
+an empty table gives none; other columns of the documents aren't read.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import zlib
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, materialise, texts_of
+from .common import configure, materialise, texts_of, trimmed
 
 LENGTH = 2048
 #: Pieces in a block: what one task packs in memory.
@@ -49,8 +51,8 @@ def encoder(path: str | None = None):
     def ids(text: str) -> list[int]:
         try:
             return fast.encode(text, allowed_special="all") if any(t in text for t in added) else fast.encode_ordinary(text)
-        except BaseException as e:  # a panic in the native code isn't an Exception
-            if isinstance(e, KeyboardInterrupt):
+        except BaseException as e:  # a panic in the native code isn't an Exception, and its type can't be imported
+            if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
                 raise
             if not slow:
                 slow.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
@@ -59,11 +61,18 @@ def encoder(path: str | None = None):
     return ids
 
 
+@functools.lru_cache(2)
+def shared_encoder(path: str | None = None):
+    """One for each worker, for all its tasks."""
+    return encoder(path)
+
+
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """key, piece, start, length, ids_crc32 of every piece."""
 
+    @trimmed
     def run(batches):
-        ids = encoder()
+        ids = shared_encoder()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for k, t in zip(b.column("key").to_pylist(), texts_of(b, "text"), strict=True):

@@ -1,20 +1,27 @@
 """Encoding and decoding with the pieces of a SentencePiece model by streaming Viterbi.
 
-The best segmentation maximises the sum of piece scores. Characters arrive one after another; only the last max-piece
-characters can begin a piece that is still to come, so only their paths survive. Whenever the backpointers of all
-survivors meet in one boundary, the ids before it are final and are given out; the window is bounded by the longest
-piece between such meetings. Where no piece of the vocabulary spans a boundary (before a space mark that follows
-another character) the paths must meet, and what lies between two such boundaries has one answer, kept in a bounded
-memo.
+The best segmentation maximises the sum of piece scores. Characters arrive one after another, in slices of any length.
+Only the last max-piece characters can begin a piece that is still to come, so only boundaries in that window gain paths;
+one that has left it without a path through it is forgotten, and so, back along its pointers, are those that only led to
+it. After every character the oldest boundary is looked at: while a single path goes on from it, all survivors meet in
+its next boundary, and the id between them is final and is given out. Memory is the window and what has not met yet.
+
+Where no piece of the vocabulary goes on over a boundary (before a space mark that follows another character) all paths
+meet there and the stream starts afresh, so what lies between two such boundaries in a slice has one answer; the stream's
+answers are remembered in a bounded memo. What a slice leaves open goes on in the next.
 
 Characters that are no piece become their bytes' pieces. The model's own scores are used as they are, whatever way
 they were trained; ties go to the longer last piece. Defined results: null text is empty and has no ids; decode
 inverts encode, but for the space mark U+2581 itself, which comes back as a space; a null id list decodes to null.
+Repeated rows and keys are rows of their own, a null key stays null, an empty table gives none, other columns aren't read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
+import operator
 import re
 import struct
 import zlib
@@ -29,7 +36,10 @@ from .common import configure
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO = 250_000
+#: Characters that are taken from a text at a time.
+SLICE = 1 << 16
 NEVER = float("-inf")
+FIRST = operator.itemgetter(0)
 
 
 def fields(buf: bytes) -> Iterator[tuple[int, int | float | bytes]]:
@@ -99,82 +109,62 @@ class Pieces:
         self.found.make_automaton()
         #: No piece goes on over a mark that follows another character.
         self.cuts = not any(MARK in t.lstrip(MARK) for t in self.use)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: Answers by chunk, the later and the earlier half.
+        self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        #: Ids that aren't their own text.
+        self.odd = frozenset(i for i, k in enumerate(self.kind) if k in (BYTE, UNKNOWN, CONTROL))
 
     def ids_of(self, id_: int, char: str) -> tuple[int, ...]:
         return (id_,) if id_ >= 0 else tuple(self.byte.get(b, self.unknown) for b in char.encode()) if self.byte else (self.unknown,)
 
-    def short(self, chunk: str) -> tuple[int, ...]:
-        """Viterbi over a chunk held whole."""
-        got = self.memo.get(chunk)
-        if got is not None:
-            return got
-        n = len(chunk)
-        if self.singles.issuperset(chunk):  # every boundary can be reached
-            best, link = [0.0] + [NEVER] * n, [None] * (n + 1)
-            for end, piece in self.found.iter(chunk):
-                e = end + 1
-                s = best[e - piece[0]] + piece[1]
-                if s > best[e]:
-                    best[e], link[e] = s, piece
-            out = []
-            while n:
-                out.append(link[n][2])
-                n -= link[n][0]
-            out.reverse()
-            ids = tuple(out)
-        else:
-            s = Stream(self)
-            ids = (*s.feed(chunk), *s.finish())
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[chunk] = ids
-        return ids
-
-    def stream(self, parts: Iterable[str]) -> Iterator[tuple[int, ...]]:
+    def stream(self, parts: Iterable[str]) -> Iterator[list[int]]:
         """Ids of one text that comes in parts, given out as soon as they are final."""
-        stream, first = Stream(self), True
-        held = ""
+        s, first, closes, memo = Stream(self), True, False, self.memo
         for part in parts:
-            if first and part:
-                part = (" " if self.prefix else "") + part
-                first = False
-            held += part.replace(" ", MARK)
-            if self.cuts:
-                words = SPLIT.findall(held)
-                held = words.pop() if words else ""
-                for w in words:
-                    yield self.short(w) if not stream.pending and len(w) <= 64 else (*stream.feed(w), *stream.finish())
-            if len(held) > 64:
-                yield tuple(stream.feed(held))
-                held = ""
-                # the chunk is open: what follows up to the next boundary belongs to it
-                if self.cuts:
-                    continue
-        if held or stream.pending:
-            yield (*stream.feed(held), *stream.finish())
+            if not part:
+                continue
+            if first and self.prefix:
+                part = " " + part
+            first = False
+            part = part.replace(" ", MARK)
+            if not self.cuts:
+                yield s.feed(part)
+                continue
+            out: list[int] = []
+            if closes and part[0] == MARK:
+                out += s.finish()
+            words = SPLIT.findall(part)
+            if s.open:
+                out += s.feed(words[0])
+                if len(words) > 1:
+                    out += s.finish()
+                words = words[1:]
+            for w in words[:-1]:
+                got = memo.get(w)
+                if got is None:
+                    got = self.older.get(w)
+                    if got is None:
+                        got = s.feed(w) + s.finish()
+                    if len(w) <= 2 * self.longest:  # others hardly come again
+                        memo[w] = got
+                        if len(memo) >= MEMO // 2:
+                            self.older, self.memo = memo, {}
+                            memo = self.memo
+                out += got
+            if words:  # it may go on in the next part
+                out += s.feed(words[-1])
+            closes = part[-1] != MARK
+            yield out
+        yield s.finish()
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text = ((" " if self.prefix else "") + text).replace(" ", MARK)
-        if not self.cuts:
-            s = Stream(self)
-            return [*s.feed(text), *s.finish()]
-        out: list[int] = []
-        memo = self.memo
-        for w in SPLIT.findall(text):
-            got = memo.get(w)
-            if got is None:
-                if len(w) <= 64:
-                    got = self.short(w)
-                else:
-                    s = Stream(self)
-                    got = (*s.feed(w), *s.finish())
-            out += got
-        return out
+        return [i for part in self.stream(text[a : a + SLICE] for a in range(0, len(text), SLICE)) for i in part]
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
+        if self.odd.isdisjoint(ids):
+            text = "".join(map(self.text.__getitem__, ids)).replace(MARK, " ")
+            return text[1:] if self.prefix and text.startswith(" ") else text
         out, raw = [], bytearray()
         for i in ids:
             if self.kind[i] == BYTE:
@@ -197,69 +187,114 @@ SPLIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Stream:
-    """Viterbi whose memory is the window of the longest piece and what has not met yet."""
+    """Viterbi whose memory is the window of the longest piece and what has not met yet.
+
+    Lists are by boundary, from the oldest that is kept: its best score, the size and id of the last piece before it,
+    and of those looked at how many boundaries point back to it, and their sum.
+    """
 
     def __init__(self, p: Pieces):
         self.p = p
-        self.chars = ""  # from the last boundary given out
-        self.best: list[float] = [0.0]
-        self.back: list[tuple[int, int]] = [(0, 0)]
-        self.widest = 1
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.tail = ""  # the last characters, short of the longest piece
+        self.low = self.root = self.end = 0  # of the lists, the oldest boundary not given out, the last one
+        self.best, self.size, self.id = [0.0], [0], [0]
+        self.kids, self.ways = [], []  # of the boundaries that have been looked at
+        self.odd: dict[int, str] = {}  # characters that are no piece, by the boundary after them
 
     @property
-    def pending(self) -> bool:
-        return bool(self.chars)
+    def open(self) -> bool:
+        return self.end > 0
 
     def feed(self, text: str) -> list[int]:
-        out: list[int] = []
-        p = self.p
-        for c in text:
-            self.chars += c
-            e = len(self.chars)
-            score, link = None, None
-            for size in range(min(p.longest, e), 0, -1):
-                i = p.use.get(self.chars[e - size : e])
-                if i is not None and (score is None or self.best[e - size] + p.score[i] > score):
-                    score, link = self.best[e - size] + p.score[i], (e - size, i)
-            if c not in p.singles and (score is None or self.best[e - 1] + p.worst > score):
-                score, link = self.best[e - 1] + p.worst, (e - 1, -1)
-            self.best.append(score)
-            self.back.append(link)
-            self.widest = max(self.widest, e)
-            if e >= 2 * p.longest and e % p.longest == 0:
-                out += self.commit()
+        """Take the next characters; the ids that they make final."""
+        p, tail, start = self.p, self.tail, self.end
+        best, size, ids, low = self.best, self.size, self.id, self.low
+        hits = p.found.iter(tail + text)  # pieces may begin in what came before
+        if not p.singles.issuperset(text):
+            odd = [i for i, c in enumerate(text, len(tail)) if c not in p.singles]
+            self.odd.update((start - len(tail) + i + 1, text[i - len(tail)]) for i in odd)
+            hits = heapq.merge(hits, [(i, (1, p.worst, -1)) for i in odd], key=FIRST)
+        n = len(text)
+        best += [NEVER] * n
+        size += [1] * n
+        ids += [-1] * n
+        shift, first = start - len(tail) + 1 - low, start - low
+        for end, (m, x, j) in hits:  # in order of their ends, the longer before the shorter
+            end += shift
+            if end > first:
+                x += best[end - m]
+                if x > best[end]:
+                    best[end] = x
+                    size[end] = m
+                    ids[end] = j
+        self.end = start + n
+        self.tail = (tail + text)[1 - p.longest :] if p.longest > 1 else ""
+        return self._commit() if self.end - p.longest >= self.root else []
+
+    def _commit(self) -> list[int]:
+        """Boundary by boundary: what is final once the window has moved on to it."""
+        p, out = self.p, []
+        best, size, ids, kids, ways, low, root = self.best, self.size, self.id, self.kids, self.ways, self.low, self.root
+        for e in range(low + len(kids), self.end + 1):
+            kids.append(0)
+            ways.append(0)
+            if e > low:
+                kids[e - size[e - low] - low] += 1
+                ways[e - size[e - low] - low] += e
+            gone = e - p.longest  # it has left the window: nothing new will point back to it
+            if gone < root:
+                continue
+            at = gone
+            while root < at <= gone and not kids[at - low]:
+                self.odd.pop(at, None)
+                before = at - size[at - low]
+                kids[before - low] -= 1
+                ways[before - low] -= at
+                at = before
+            while root <= gone and kids[root - low] == 1:
+                root = ways[root - low]
+                i = ids[root - low]
+                if i < 0:
+                    out += p.ids_of(i, self.odd.pop(root))
+                else:
+                    out.append(i)
+        if root - low > 4096:  # forget what has been given out
+            cut, zero = root - low, best[root - low]
+            for x in (size, ids, kids, ways):
+                del x[:cut]
+            best[:] = [x - zero for x in best[cut:]]
+            self.low = root
+        self.root = root
         return out
 
-    def commit(self) -> list[int]:
-        """Follow all survivors back until they are in one boundary; give out what lies before it."""
-        e = len(self.chars)
-        alive = set(range(max(0, e - self.p.longest + 1), e + 1))
-        while len(alive) > 1:
-            top = max(alive)
-            alive.remove(top)
-            alive.add(self.back[top][0] if top else 0)
-            if 0 in alive:
-                return []
-        (b,) = alive
-        ids = self.path(b)
-        self.chars = self.chars[b:]
-        low = self.best[b]
-        self.best = [x - low for x in self.best[b:]]
-        self.back = [(0, 0)] + [(s - b, i) for s, i in self.back[b + 1 :]]
-        return ids
-
-    def path(self, e: int) -> list[int]:
-        out = []
-        while e:
-            s, i = self.back[e]
-            out.append(self.p.ids_of(i, self.chars[s:e]))
-            e = s
-        return [x for part in reversed(out) for x in part]
-
     def finish(self) -> list[int]:
-        ids = self.path(len(self.chars))
-        self.chars, self.best, self.back = "", [0.0], [(0, 0)]
-        return ids
+        """Nothing goes on over the last boundary: all that is open becomes final."""
+        out, e, end, size, ids = [], self.end - self.low, self.root - self.low, self.size, self.id
+        while e > end:
+            i = ids[e]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += self.p.ids_of(i, self.odd[e + self.low])[::-1]
+            e -= size[e]
+        del self.best[1:], size[1:], ids[1:]
+        self.best[0] = 0.0
+        self.tail, self.low, self.root, self.end = "", 0, 0, 0
+        if self.kids:
+            self.kids, self.ways = [], []
+        if self.odd:
+            self.odd = {}
+        out.reverse()
+        return out
+
+
+@functools.lru_cache(2)
+def vocabulary(path: str) -> Pieces:
+    """One for each worker: tasks that follow one another share its memo."""
+    return Pieces(path)
 
 
 def model_path(path: str | None) -> str:
@@ -274,7 +309,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """key and ids of each text."""
 
     def run(batches):
-        p = Pieces(model_path(path))
+        p = vocabulary(model_path(path))
         for b in batches:
             ids = [p.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
@@ -287,7 +322,7 @@ def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | No
     """key and text of each id list."""
 
     def run(batches):
-        p = Pieces(model_path(path))
+        p = vocabulary(model_path(path))
         for b in batches:
             texts = [None if x is None else p.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string())], ["key", "text"])
@@ -302,7 +337,7 @@ def op6_piece_codec(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
     def run(batches):
-        p = Pieces(model_path(None))
+        p = vocabulary(model_path(None))
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
             for t in b.column("text").to_pylist():
@@ -315,4 +350,4 @@ def op6_piece_codec(spark, sf_dir):
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_ids", "ids_crc32", "decoded_sha256", "exact"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_ids long, ids_crc32 long, decoded_sha256 string, exact boolean")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_ids long, ids_crc32 long, decoded_sha256 string, exact boolean")

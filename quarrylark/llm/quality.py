@@ -10,11 +10,14 @@ at most SAMPLE labelled rows (by hash of the key) to the driver, a documented bo
 and runs AdaGrad with a fixed seed. Every row is scored from its whole text.
 
 Defined results: null text is empty; an empty text is scored from its statistics; with labels of one class only, or
-none, the score is the share of label 1 (0.5 with none).
+none, the score is the share of label 1 (0.5 with none). A row repeated is a row, with the score of its text; a key
+labelled twice teaches twice; a null key is scored and never teaches; an empty table gives none; other columns of the
+documents aren't read.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, learns, texts_of
+from .common import configure, learns, texts_of, trimmed
 
 #: Labelled rows that are read for training, at most.
 SAMPLE = 6_000
@@ -49,7 +52,7 @@ class Features:
         if got is None:
             if len(self.memo) >= self.LIMIT:
                 self.memo.clear()
-            shape = RUNS.sub(rb"\1", word.translate(SHAPE))[:12]
+            shape = RUNS.sub(rb"\1", word.translate(SHAPE))
             got = self.memo[word] = (xxhash.xxh3_64_intdigest(word.lower()) % WORDS, WORDS + xxhash.xxh3_64_intdigest(shape) % SHAPES)
         return got
 
@@ -85,6 +88,12 @@ class Features:
         ])
 
 
+@functools.lru_cache(1)
+def features() -> Features:
+    """One for each worker: tasks that follow one another share its memo."""
+    return Features()
+
+
 class Machine:
     def __init__(self, w0: float, w: np.ndarray, v: np.ndarray):
         self.w0, self.w, self.v = w0, w, v
@@ -142,7 +151,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     configure(labelled.sparkSession)
 
     def run(batches):
-        f = Features()
+        f = features()
         for b in batches:
             rows = [f.of(x) for x in texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([pa.array([i.astype("<u4").tobytes() for i, _ in rows], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in rows], pa.binary()), b.column("label"), b.column("key")], ["i", "x", "label", "key"])
@@ -161,8 +170,9 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
     """key and score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)))  # of fixed size
 
+    @trimmed
     def run(batches):
-        f, m = Features(), Machine(*shared.value)
+        f, m = features(), Machine(*shared.value)
         for b in batches:
             t = texts_of(b, "text")
             scores = np.concatenate([m.score([f.of(x) for x in t[s : s + 64]]) for s in range(0, len(t), 64)]) if t else np.zeros(0)

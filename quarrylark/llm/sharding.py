@@ -8,7 +8,8 @@ first, by the same rule. The law kept is `bytes`: shards end within a small grou
 than a whole shard's fair share breaks it; such a group stays together and its shard takes nothing else.
 
 Slots count up within (shard, cell); a table of cells, far smaller than the rows, gives the offsets of cells, so no
-task orders a whole shard. Defined results: null text counts as empty, of size 1; repeated rows are rows.
+task orders a whole shard. Defined results: null text counts as empty, of size 1; repeated rows are rows and, as all of
+one text, share their shard; a null key is a key; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations

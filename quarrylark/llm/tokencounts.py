@@ -2,20 +2,25 @@
 
 A batch of inserts, deletes and revised counts becomes signed rows (-1 takes back what is live for the key and
 version, +1 adds the new count) and their sums by group; totals are the sums over committed batches, so no batch reads
-the corpus again. A batch writes its files under a folder of its attempt and then creates one marker named after the
-batch, which fails if the marker exists: a batch that is sent twice, or by two drivers, counts once, and an attempt
-that dies leaves files that no one reads.
-
-Changes: key, op ('insert', 'delete', 'revise'), source, lang, version, n_tokens. A delete or a revision needs key and
-version alone; a revision without source or language keeps the old ones. Defined results: an insert of a live
-(key, version) acts as a revision; deletes and revisions of unknown keys do nothing and insert respectively; a null
-count is 0; null sources and languages are groups of their own; repeated rows of one batch count once, and of several
-changes to one (key, version) in a batch the one with the largest (op, count) holds; null keys are refused.
+the corpus again. A batch writes its files under a folder of its attempt and then creates the marker with the next
+number, which fails if that exists. The marker names the batch: one that is sent twice counts once. Where another batch
+took the number, the work is done again on top of it, so that batches that run at once are applied one after the other;
+an attempt that dies leaves files that no one reads. A batch reads the live rows of its own keys alone: those of the last
+snapshot, and the signed rows since then. Every COMPACT commits a snapshot of live rows and totals is written.
+
+Changes: key, op ('insert', 'delete', 'revise'), source, lang, version, n_tokens, and seq where there is such a column. A
+delete or a revision needs key and version alone; a revision without source or language keeps the old ones. Defined
+results: an insert of a live (key, version) acts as a revision; deletes and revisions of unknown keys do nothing and
+insert respectively; a null count is 0; null versions, sources and languages are groups of their own; of several changes
+to one (key, version) in a batch the one with the largest seq holds (a null seq is the smallest), at the same seq a delete
+before others and then the one with the largest (count, op, source, language), so that repeated rows count once; null
+keys and unknown ops are errors; an empty batch is committed and changes nothing. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,70 +29,126 @@ from pyspark.sql import functions as F
 from .common import configure, materialise, shared_folder
 
 SIGNED = "key long, source string, lang string, version string, n_tokens long, sign int"
+LIVE = "key long, source string, lang string, version string, n_tokens long"
 TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
 GROUP = ("source", "lang", "version")
+#: Commits from one snapshot to the next.
+COMPACT = 16
 
 
 class Rollup:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, compact: int = COMPACT):
+        self.spark, self.folder, self.compact = spark, folder, compact
         jvm = spark.sparkContext._jvm
         self.path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.fs.mkdirs(self.path(f"{folder}/commits"))
 
-    def commits(self) -> dict[str, str]:
-        """batch -> folder of the attempt that committed."""
-        out = {}
-        for s in self.fs.listStatus(self.path(f"{self.folder}/commits")):
-            stream = self.fs.open(s.getPath())
+    def _load(self, path: str):
+        for _ in range(100):  # a file is there a moment before its content is
+            stream = self.fs.open(self.path(path))
             try:
-                got = json.loads(bytes(stream.readAllBytes()).decode())
+                raw = bytes(stream.readAllBytes())
             finally:
                 stream.close()
-            out[got["batch"]] = got["attempt"]
-        return out
+            if raw:
+                return json.loads(raw.decode())
+            time.sleep(0.1)
+        raise RuntimeError(f"{path} is empty: its writer died; remove it")
 
-    def read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/data/{a}/{part}" for a in self.commits().values()]
+    def _create(self, path: str, what) -> bool:
+        """False if there is such a file."""
+        try:
+            out = self.fs.create(self.path(path), False)
+        except Exception:
+            if self.fs.exists(self.path(path)):
+                return False
+            raise
+        out.write(bytearray(json.dumps(what).encode()))
+        out.close()
+        return True
+
+    def state(self) -> tuple[int, str | None, list[str], set[str]]:
+        """Number of commits, the attempt that wrote the last snapshot, the attempts since, and all batches."""
+        n = len(self.fs.listStatus(self.path(f"{self.folder}/commits")))
+        since, batches, base = [], set(), None
+        for i in range(n - 1, -1, -1):
+            got = self._load(f"{self.folder}/commits/{i:010d}")
+            batches.add(got["batch"])
+            if got["snapshot"]:
+                base = got["attempt"]
+                batches |= set(self._load(f"{self.folder}/data/{base}/batches"))
+                break
+            since.insert(0, got["attempt"])
+        return n, base, since, batches
+
+    def commits(self) -> set[str]:
+        """The batches that are committed."""
+        return self.state()[3]
+
+    def _rows(self, part: str, schema: str, attempts: list[str]) -> DataFrame:
+        paths = [f"{self.folder}/data/{a}/{part}" for a in attempts]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def live(self) -> DataFrame:
-        """Rows that the signs leave standing."""
-        rows = self.read("signed", SIGNED).groupBy("key", *GROUP, "n_tokens").agg(F.sum("sign").alias("sign"))
-        return rows.filter("sign > 0").drop("sign")
+    def live(self, base: str | None, since: list[str], keys: DataFrame | None = None) -> DataFrame:
+        """Rows that the signs leave standing, of all keys or of some."""
+        rows = self._rows("signed", SIGNED, since)
+        if base:
+            rows = rows.unionByName(self._rows("live", LIVE, [base]).withColumn("sign", F.lit(1)))
+        if keys is not None:
+            rows = rows.join(keys, "key", "left_semi")
+        return rows.groupBy("key", *GROUP, "n_tokens").agg(F.sum("sign").alias("sign")).filter("sign > 0").drop("sign")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch; False if it was committed before."""
         if batch in self.commits():
             return False
-        c = changes.select(F.col("key").cast("long").alias("key"), "op", "source", "lang", "version", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"))
-        c = c.select(F.when(F.col("key").isNull(), F.raise_error(F.lit("a change without a key"))).otherwise(F.col("key")).cast("long").alias("key"), *c.columns[1:])
-        c = c.groupBy("key", "version").agg(F.max(F.struct("op", "n_tokens", "source", "lang")).alias("c"))
-        old = self.live().select("key", "version", F.col("source").alias("os"), F.col("lang").alias("ol"), F.col("n_tokens").alias("on"))
-        both = c.join(old, ["key", "version"], "left")
+        seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(None).cast("long")
+        fault = F.when(F.col("key").isNull(), F.raise_error(F.lit("a change without a key")))
+        fault = fault.when(~F.coalesce(F.col("op"), F.lit("")).isin("insert", "delete", "revise"), F.raise_error(F.concat(F.lit("no such change: "), F.coalesce(F.col("op"), F.lit("null")))))
+        c = changes.select(fault.otherwise(F.col("key")).cast("long").alias("key"), "op", "source", "lang", "version", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), seq.alias("seq"))
+        last = F.struct("seq", (F.col("op") == "delete").alias("d"), "n_tokens", "op", "source", "lang")
+        c = c.groupBy("key", "version").agg(F.max(last).alias("c"))
+        while True:
+            n, base, since, batches = self.state()
+            if batch in batches:
+                return False
+            attempt = f"{uuid.uuid4().hex}"
+            self._write(c, attempt, base, since)
+            snapshot = len(since) + 1 >= self.compact
+            if snapshot:
+                self._snapshot(attempt, base, since, sorted(batches))
+            if self._create(f"{self.folder}/commits/{n:010d}", {"batch": batch, "attempt": attempt, "snapshot": snapshot}):
+                return True
+
+    def _write(self, c: DataFrame, attempt: str, base: str | None, since: list[str]) -> None:
+        old = self.live(base, since, c.select("key").distinct()).select("key", F.col("version").alias("ov"), F.col("source").alias("os"), F.col("lang").alias("ol"), F.col("n_tokens").alias("on"))
+        both = c.join(old, (c["key"] == old["key"]) & c["version"].eqNullSafe(old["ov"]), "left").drop(old["key"])
         back = both.filter("`on` IS NOT NULL").select("key", F.col("os").alias("source"), F.col("ol").alias("lang"), "version", F.col("on").alias("n_tokens"), F.lit(-1).alias("sign"))
-        forth = both.filter("c.op <> 'delete'").select("key", F.when(F.col("c.op") == "revise", F.coalesce("c.source", "os")).otherwise(F.col("c.source")).alias("source"), F.when(F.col("c.op") == "revise", F.coalesce("c.lang", "ol")).otherwise(F.col("c.lang")).alias("lang"), "version", "c.n_tokens", F.lit(1).alias("sign"))
-        attempt = f"{batch}-{uuid.uuid4().hex}"
+        kept = lambda x, o: F.when(F.col("c.op") == "revise", F.coalesce(f"c.{x}", o)).otherwise(F.col(f"c.{x}")).alias(x)
+        forth = both.filter("c.op <> 'delete'").select("key", kept("source", "os"), kept("lang", "ol"), "version", "c.n_tokens", F.lit(1).alias("sign"))
         where = f"{self.folder}/data/{attempt}"
         back.unionByName(forth).write.option("compression", "zstd").parquet(f"{where}/signed")
         signed = self.spark.read.schema(SIGNED).parquet(f"{where}/signed")
         signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")).coalesce(1).write.parquet(f"{where}/totals")
-        marker = self.path(f"{self.folder}/commits/{uuid.uuid5(uuid.NAMESPACE_OID, batch).hex}")
-        try:
-            out = self.fs.create(marker, False)  # fails if another attempt was first
-        except Exception:
-            if self.fs.exists(marker):
-                return False
-            raise
-        out.write(bytearray(json.dumps({"batch": batch, "attempt": attempt}).encode()))
-        out.close()
-        return True
+
+    def _snapshot(self, attempt: str, base: str | None, since: list[str], batches: list[str]) -> None:
+        where = f"{self.folder}/data/{attempt}"
+        self.live(base, [*since, attempt]).write.option("compression", "zstd").parquet(f"{where}/live")
+        self._sums(base, [*since, attempt]).coalesce(1).write.parquet(f"{where}/base_totals")
+        self._create(f"{where}/batches", batches)
+
+    def _sums(self, base: str | None, since: list[str]) -> DataFrame:
+        rows = self._rows("totals", TOTALS, since)
+        if base:
+            rows = rows.unionByName(self._rows("base_totals", TOTALS, [base]))
+        rows = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return rows.filter("n_docs <> 0 OR n_tokens <> 0")
 
     def totals(self) -> DataFrame:
         """Groups that still have rows."""
-        rows = self.read("totals", TOTALS).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return rows.filter("n_docs <> 0 OR n_tokens <> 0")
+        _, base, since, _ = self.state()
+        return self._sums(base, since)
 
 
 #: Tokenizer versions that SQL can count too: words, and words with marks apart.
@@ -113,12 +174,12 @@ def counted_bpe(docs: DataFrame, version: str = "byte_bpe_50k", path: str | None
     import pyarrow as pa
 
     from .common import texts_of
-    from .packing import encoder
+    from .packing import shared_encoder
 
     configure(docs.sparkSession)
 
     def run(batches):
-        ids = encoder(path)
+        ids = shared_encoder(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("source"), b.column("lang"), pa.array([len(ids(t.decode())) for t in texts_of(b, "text")], pa.int64())], ["key", "source", "lang", "n_tokens"])
 

@@ -193,6 +193,75 @@ def test_rollup(spark, docs):
     assert {r.n_tokens for r in tokencounts.counted_bpe(docs.filter("doc_id = 2")).collect()} == {0}
 
 
+CHANGES = "key long, op string, source string, lang string, version string, n_tokens long, seq long"
+
+
+def plain_rollup(batches):
+    """Totals by plain dictionaries."""
+    live = {}
+    for rows in batches:
+        last = {}
+        for key, op, source, lang, version, n, seq in rows:
+            order = (seq is not None, seq or 0, op == "delete", n or 0, op, source is not None, source or "", lang is not None, lang or "")
+            if (key, version) not in last or order > last[key, version][0]:
+                last[key, version] = order, op, source, lang, n or 0
+        for k, (_, op, source, lang, n) in last.items():
+            old = live.pop(k, None)
+            if op != "delete":
+                s, lng = (source if source is not None else old[0], lang if lang is not None else old[1]) if op == "revise" and old else (source, lang)
+                live[k] = s, lng, n
+    out = defaultdict(lambda: [0, 0])
+    for (_, version), (source, lang, n) in live.items():
+        out[source, lang, version][0] += 1
+        out[source, lang, version][1] += n
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_rollup_of_many_batches(spark):
+    """Null versions, order in a batch, and snapshots on the way, against plain dictionaries."""
+    rnd = random.Random(5)
+    some = lambda *x: rnd.choice(x)
+    batches = [[(rnd.randrange(12), some("insert", "insert", "delete", "revise"), some("s", None), some("en", "de", None), some("v1", "v2", None), some(None, 1, 7, 50), some(None, 1, 2, 3)) for _ in range(rnd.randrange(0, 9))] for _ in range(7)]
+    roll = tokencounts.Rollup(spark, common.shared_folder(spark, "t"), compact=3)
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, CHANGES)
+        assert roll.apply(f"b{i}", df) and not roll.apply(f"b{i // 2}", df)
+        got = {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in roll.totals().collect()}
+        assert got == plain_rollup(batches[: i + 1])
+    assert roll.commits() == {f"b{i}" for i in range(7)}
+
+
+def test_rollup_refuses_and_orders(spark):
+    roll = tokencounts.Rollup(spark, common.shared_folder(spark, "t"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), CHANGES)
+    roll.apply("a", frame((1, "insert", "s", "en", None, 5, None)))
+    roll.apply("again", frame((1, "insert", "s", "en", None, 5, None)))
+    assert [tuple(r)[3:] for r in roll.totals().collect()] == [(1, 5)]
+    roll.apply("b", frame((1, "revise", None, None, None, 9, 1), (1, "delete", None, None, None, None, 2)))
+    assert roll.totals().count() == 0
+    for row in ((None, "insert", "s", "en", "v", 1, None), (1, "upsert", "s", "en", "v", 1, None), (1, None, "s", "en", "v", 1, None)):
+        with pytest.raises(Exception):
+            roll.apply("c", frame(row))
+    assert roll.commits() == {"a", "again", "b"}
+
+
+def test_rollup_batches_at_once(spark):
+    """Another batch commits while one is at work: the later is done again on top of it."""
+    folder = common.shared_folder(spark, "t")
+    one, two = tokencounts.Rollup(spark, folder), tokencounts.Rollup(spark, folder)
+    frame = lambda n: spark.createDataFrame([(1, "insert", "s", "en", "v", n, None)], CHANGES)
+    write, calls = one._write, []
+
+    def meanwhile(*args):
+        write(*args)
+        if not calls:
+            calls.append(two.apply("other", frame(5)))
+
+    one._write = meanwhile
+    assert one.apply("mine", frame(8)) and calls == [True]
+    assert [tuple(r) for r in one.totals().collect()] == [("s", "en", "v", 1, 8)]
+
+
 # ------------------------------------------------------------ quality
 
 
@@ -292,6 +361,37 @@ def test_main_text_of_pages(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+# Pages whose markup and names say nothing: div alone.
+LONG = "The body of the page goes on for a while, with words enough in each of its paragraphs to weigh more than a link does."
+
+
+def anonymous(rnd):
+    """A page of unnamed boxes and the text in its content box."""
+    links = lambda n: "".join(f"<div><a href=/{i}>{rnd.choice(['Home', 'About us', 'All of our archive', 'Contact'])}</a></div>" for i in range(n))
+    paragraphs = [rnd.choice([LONG, LONG * 3, "Short one.", "It is so."]) for _ in range(rnd.randrange(4, 20))] + [LONG]
+    boxed = "".join(f"<{t}>{x}</{t}>" for x in paragraphs for t in [rnd.choice(["p", "div", "blockquote"])])
+    title = "A heading of the page"
+    body = rnd.choice([f"<h1>{title}</h1>{boxed}", f"<h1>{title}</h1><div>{boxed}</div>", f"<div><h1>{title}</h1></div><div>{links(1)}</div><div><div>{boxed}</div></div>"])
+    page = f"<html><body><div>{links(rnd.randrange(3, 9))}</div><div><div>{body}</div><div>{links(rnd.randrange(3, 12))}</div></div><div>{links(4)}<div>Made by someone, 2024</div></div></body></html>"
+    return page, "\n".join([title, *paragraphs])
+
+
+def test_main_text_of_unnamed_boxes_comes_from_ratio_smoothing_and_clusters(monkeypatch):
+    rnd = random.Random(9)
+    pages = [anonymous(rnd) for _ in range(120)]
+    wrong = lambda: sum(html.extract(page) != want for page, want in pages)
+    assert wrong() == 0
+    with monkeypatch.context() as m:  # without the clustering
+        m.setattr(html, "threshold", lambda x: float(x.min()))
+        assert wrong() > 100
+    with monkeypatch.context() as m:  # without the ratios
+        m.setattr(html, "smooth", lambda x, sigma: np.ones(len(x)))
+        assert wrong() > 100
+    with monkeypatch.context() as m:  # without the Gaussian
+        m.setattr(html, "smooth", lambda x, sigma: x)
+        assert wrong() > 0
+
+
 # ------------------------------------------------------------ pieces
 
 
@@ -322,6 +422,53 @@ def test_pieces():
         assert [x for part in p.stream(parts) for x in part] == ids
 
 
+def test_piece_stream_gives_ids_as_soon_as_all_paths_meet():
+    """After every character: the ids given out are those before the boundary where all paths of the window meet."""
+    p = pieces.Pieces(pieces.model_path(None))
+    rnd = random.Random(8)
+    text = "".join(rnd.choice(["there", "ing", "s", "qz", "é", "日", "0x", "international", "a"]) for _ in range(300)).replace(" ", "")
+    s, out, links, best = pieces.Stream(p), [], [(0, 0)], [0.0]
+    for e, c in enumerate(text, 1):
+        out += s.feed(c)
+        tries = [(best[e - n] + p.score[i], n, i) for n in range(min(p.longest, e), 0, -1) if (i := p.use.get(text[e - n : e])) is not None]
+        tries += [(best[e - 1] + p.worst, 1, -1)] if c not in p.singles else []
+        score, n, i = max(tries, key=lambda x: (x[0], x[1]))
+        best.append(score)
+        links.append((e - n, i))
+        alive = set(range(max(0, e + 1 - p.longest), e + 1))
+        while len(alive) > 1:  # plainly: follow the farthest back until one boundary is left
+            top = max(alive)
+            alive.remove(top)
+            alive.add(links[top][0])
+        (b,) = alive
+        want = []
+        while b:
+            a, i = links[b]
+            want = [*p.ids_of(i, text[a:b]), *want]
+            b = a
+        assert out == want
+    assert 0 < len(out)
+    e, rest = len(text), []
+    while e:
+        a, i = links[e]
+        rest = [*p.ids_of(i, text[a:e]), *rest]
+        e = a
+    assert out + s.finish() == rest
+
+
+def test_piece_stream_of_a_long_text_without_marks():
+    p = pieces.Pieces(pieces.model_path(None))
+    rnd = random.Random(9)
+    text = "".join(rnd.choice(["a", "the", "日", "0", "qz"]) for _ in range(60_000))
+    s = pieces.Stream(p)
+    out, most = [], 0
+    for a in range(0, len(text), 1000):
+        out += s.feed(text[a : a + 1000])
+        most = max(most, s.end - s.root)
+    assert most < 20 * p.longest  # what is open stays near the window
+    assert len(s.best) < 10_000 and p.decode([*out, *s.finish()]) == text
+
+
 def test_pieces_frames(docs, none):
     enc = pieces.encoded(docs)
     back = {r.doc_id: r.text for r in pieces.decoded(enc).collect()}

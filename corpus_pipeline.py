@@ -1,6 +1,8 @@
 """Documents to training sequences: quality, exact copies, near copies, packing.
 
-Every stage works on all that the one before it kept; between stages documents are Parquet in the shared folder.
+Every stage works on all that the one before it kept; between stages documents are Parquet in the shared folder. Rows are
+dropped as rows, never by id, so that a null or repeated id takes no other text with it. All stages pass on any columns,
+whatever their names, and give an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -8,7 +10,6 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarrylark.llm import common, dedup, packing, quality, setjoin
 
@@ -17,13 +18,13 @@ REJECT_BELOW = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the factorisation machine rejects."""
+    """Drop what the factorisation machine rejects. Null text is scored as empty; repeated rows have equal scores; ids aren't read."""
     common.configure(spark)
     machine = quality.train(quality.labelled_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     shared = spark.sparkContext.broadcast((machine.w0, machine.w.astype("f4"), machine.v.astype("f4")))
 
     def run(batches):
-        f, m = quality.Features(), quality.Machine(*shared.value)
+        f, m = quality.features(), quality.Machine(*shared.value)
         for b in batches:
             t = common.texts_of(b, "text")
             for s in range(0, len(t), 64):
@@ -39,12 +40,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingle sets of Jaccard 0.8 or more connect, the smallest doc_id stays."""
+    """Of documents that five-word shingle sets of Jaccard 0.8 or more connect, the smallest doc_id stays.
+
+    Of repetitions of that id the first in place stays. Rows without words or without an id are linked with nothing and stay.
+    """
     return setjoin.representatives(docs, k=5, share=80)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens: one row for each piece of a document."""
+    """Sequences of 2048 tokens: one row for each piece of a document. Null text packs as its closing id, repeated rows each."""
     common.configure(spark)
     return packing.best_fit(packing.pieces(docs)).withColumnRenamed("key", "doc_id")
 

@@ -162,8 +162,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
         cut = int(-(2**63) + 2**64 * min(1.0, 1.02 * sample / n))
         rows = rows.filter(F.col("key") < cut)
     got = rows.mapInArrow(run, "i binary, x binary, label int, key long").toArrow().sort_by("key").slice(0, sample)
-    features = [(np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for i, x in zip(got.column("i").to_pylist(), got.column("x").to_pylist(), strict=True)]
-    return fit(features, got.column("label").to_numpy().astype(float))
+    taught = [(np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for i, x in zip(got.column("i").to_pylist(), got.column("x").to_pylist(), strict=True)]
+    return fit(taught, got.column("label").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:

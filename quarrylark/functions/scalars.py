@@ -39,23 +39,24 @@ def normalise_doi(c: Column) -> Column:
 
 def normalise_pmid(c: Column) -> Column:
     x = F.regexp_replace(text(c), "[^0-9]", "")
-    return F.when(x.rlike("^0*$"), "").otherwise(x)
+    return F.when(x == "0", "").otherwise(x)
 
 
 def normalise_pmcid(c: Column) -> Column:
-    x = normalise_pmid(c)
-    return F.when(x == "", "").otherwise(F.concat(F.lit("PMC"), x))
+    """PMC and digits, or empty: what begins with PMC must go on with digits alone, of the rest the digits count."""
+    x = F.upper(F.trim(text(c)))
+    y = F.when(x.startswith("PMC"), x).otherwise(F.concat(F.lit("PMC"), F.regexp_replace(x, "[^0-9]", "")))
+    return F.when(y.rlike("^PMC[0-9]+$"), y).otherwise("")
 
 
 def bare_url(c: Column) -> Column:
-    """Without scheme, www and closing slashes, in lower case."""
-    x = F.regexp_replace(F.lower(F.trim(text(c))), "^[a-z]+://", "")
-    return F.regexp_replace(F.regexp_replace(x, r"^www\.", ""), "/+$", "")
+    """Without a web scheme, www and closing slashes, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(text(c)), "/+$", ""), r"^https?://(?:www\.)?", ""))
 
 
 def make_uid(doi: Column, pmid: Column, pmcid: Column, epmc: Column, url: Column) -> Column:
     """doi > pmid > pmcid > epmc > url; an error if all are empty."""
-    chain = [(normalise_doi(doi), "doi:"), (normalise_pmid(pmid), "pmid:"), (normalise_pmcid(pmcid), "pmcid:"), (text(epmc), "epmc:"), (bare_url(url), "url:")]
+    chain = [(normalise_doi(doi), "doi:"), (normalise_pmid(pmid), "pmid:"), (normalise_pmcid(pmcid), "pmcid:"), (F.upper(text(epmc)), "epmc:"), (bare_url(url), "url:")]
     got = F.coalesce(*[F.when(v != "", F.concat(F.lit(p), v)) for v, p in chain])
     return F.when(got.isNotNull(), got).otherwise(F.raise_error(F.lit("a record without identifiers")))
 
@@ -83,8 +84,8 @@ def url_kind(url: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """File-safe; above 120 characters a cut and a digest."""
-    x = F.regexp_replace(F.regexp_replace(text(c), "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
+    """File-safe name of a uid, without its scheme; above 120 characters a cut and a digest of the whole uid."""
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(text(c), r"(?s)^[^:]*:", ""), "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
     return F.when(F.length(x) > 120, F.concat(F.substring(x, 1, 111), F.lit("_"), F.substring(F.sha1(text(c)), 1, 8))).otherwise(x)
 
 
@@ -126,6 +127,16 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(text(name), r"\.([A-Za-z0-9]{1,8})$", 1))
 
 
+def file_stem(name: Column) -> Column:
+    """Last part of a path without its last ending, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_extract(text(name), "[^/]*$", 0), r"\.[^.]*$", ""))
+
+
+def file_ending(name: Column) -> Column:
+    """What stands after the last point of a path's last part, in lower case; any length."""
+    return F.lower(F.regexp_extract(F.regexp_extract(text(name), "[^/]*$", 0), r"\.([^.]*)$", 1))
+
+
 def stem(name: Column) -> Column:
     return F.regexp_replace(text(name), r"\.[A-Za-z0-9]{1,8}$", "")
 

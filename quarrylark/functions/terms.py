@@ -35,11 +35,28 @@ def parse_topic(text: str) -> list[tuple[str, ...]]:
 
 
 def part_regex(part: str, loose: bool = True) -> str:
-    """loose: hyphens separate words, blanks and hyphens are one, a plural s is allowed; strict: a hyphen is part of a word."""
+    """loose: hyphens separate words, blanks and hyphens are one, a plural s or es is allowed; strict: a hyphen is part of a word."""
     if loose:
         body = r"[\s-]+".join(re.escape(w) for w in re.split(r"[\s-]+", part) if w)
-        return rf"(?iu)(?<![\p{{L}}\p{{N}}]){body}s?(?![\p{{L}}\p{{N}}])"
-    return rf"(?iu)(?<![\p{{L}}\p{{N}}-]){re.escape(part)}(?![\p{{L}}\p{{N}}-])"
+        return rf"(?iU)(?<!\w){body}(?:e?s)?(?!\w)"
+    return rf"(?iU)(?<![\w-]){re.escape(part)}(?![\w-])"
+
+
+def _standing(part: str) -> str:
+    """A part at word borders; its own plural s is as good as none, and one is allowed."""
+    body, end = part, ""
+    if part[-1].isalpha():
+        end = "(?:e?s)?"
+        if len(part) > 3 and part[-1] in "sS" and part[-2] not in "sS":
+            body = part[:-1]
+    border = lambda ch: r"\b" if ch == "_" or ch.isalpha() or ch.isdecimal() else ""
+    return border(part[0]) + r"[\s-]+".join(re.escape(w) for w in re.split("[ -]+", body)) + end + border(part[-1])
+
+
+def one_regex(terms: list[tuple[str, ...]]) -> str:
+    """One pattern for a text that holds any term; the parts of a term may stand in any order. No terms match nothing."""
+    found = [_standing(t[0]) if len(t) == 1 else "^" + "".join(rf"(?=[\s\S]*{_standing(p)})" for p in t) for t in terms if t]
+    return "(?iU)" + "|".join(f"(?:{x})" for x in found) if found else "(?!)"
 
 
 def matches(column: Column, terms: list[tuple[str, ...]], loose: bool = True) -> Column:
@@ -60,15 +77,33 @@ def group_filter(column: Column, terms, require_any, date: Column | None = None,
     return out
 
 
+#: How a source writes one part of a term, and what stands between parts. Fixed values.
+SYNTAX = {
+    "pubmed": ('"{}"[tiab]', " AND "),
+    "europepmc": ('TITLE_ABS:"{}"', " AND "),
+    "arxiv": ('(ti:"{0}" OR abs:"{0}")', " AND "),
+    "openalex": ('"{}"', " AND "),
+    "github": ('"{}"', " "),
+}
+
+
 def compiled(term: tuple[str, ...], source: str) -> str:
-    """The term in a source's query syntax."""
-    q = [f'"{p}"' if " " in p or source in ("pubmed", "europepmc") else p for p in term]
-    if source == "pubmed":
-        return " AND ".join(f"{p}[tiab]" for p in q)
-    if source == "europepmc":
-        return " AND ".join(f"(TITLE:{p} OR ABSTRACT:{p})" for p in q)
-    if source == "arxiv":
-        return " AND ".join(f"all:{p}" for p in q)
-    if source in ("openalex", "github"):
-        return " ".join(q)
-    raise ValueError(f"no such source: {source}")
+    """The term in a source's query syntax; of several parts in brackets, where the source has them."""
+    if source not in SYNTAX:
+        raise ValueError(f"no such source: {source}")
+    form, between = SYNTAX[source]
+    parts = [p.replace('"', "") for p in term]
+    if source == "openalex":  # a single word isn't quoted there, so that it is stemmed; commas and bars end a value
+        parts = [" ".join(re.sub("[,|]", " ", p).split()) for p in parts]
+        out = [form.format(p) if " " in p else p for p in parts]
+    else:
+        out = [form.format(p) for p in parts]
+    if source == "arxiv" and len(out) == 1:
+        return out[0][1:-1]
+    return between.join(out) if len(out) == 1 or source == "github" else f"({between.join(out)})"
+
+
+def group_query(terms: list[tuple[str, ...]], require_any: list[tuple[str, ...]], source: str) -> str:
+    """any(terms) and any(require_any) in a source's syntax."""
+    sides = [" OR ".join(compiled(t, source) for t in side) for side in (terms, require_any) if side]
+    return " AND ".join(f"({s})" for s in sides)

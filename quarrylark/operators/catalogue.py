@@ -63,14 +63,20 @@ def select(df: DataFrame, *, date_from="", date_to="", dois=None, uids=None, tie
     c, where = F.col, []
     if date_from or date_to:
         where.append(in_window(c("date"), date_from, date_to))
-    if dois is not None:
-        where.append(S.normalise_doi(c("doi")).isin([d.lower() for d in dois]))
-    if uids is not None:
+    # a short list is a condition, a table of any length a semi join
+    if isinstance(dois, DataFrame):
+        wanted = dois.select(S.normalise_doi(c(dois.columns[0])).alias("_doi")).filter("_doi <> ''").distinct()
+        df = df.join(wanted, F.lower(c("doi")) == c("_doi"), "left_semi")
+    elif dois is not None:
+        where.append((S.text(c("doi")) != "") & F.lower(c("doi")).isin(*[S.normalise_doi(F.lit(d)) for d in dois]))
+    if isinstance(uids, DataFrame):
+        df = df.join(uids.select(c(uids.columns[0]).alias("_uid")).distinct(), c("uid") == c("_uid"), "left_semi")
+    elif uids is not None:
         where.append(c("uid").isin(list(uids)))
     where += [any_equal(c(n), v) for n, v in (("tier", tier), ("resource_type", kind), ("category", category)) if v]
-    where += [any_part(c(n), v) for n, v in (("modality", modality), ("entities", entity), ("species", species)) if v]
+    where += [any_part(c(n), v) for n, v in (("modality", modality), ("entities" if "entities" in df.columns else "clocks", entity), ("species", species)) if v]
     if added_since:
-        where.append(c("added_on") >= S.parse_date(added_since))
+        where.append(S.text(c("added_on")) >= added_since)  # as text, whatever it is
     if has_fulltext:
         where.append(S.text(c("fulltext_md")) != "")
     if fulltext_status:
@@ -117,6 +123,17 @@ def resolve_aliases(records: DataFrame, aliases: DataFrame) -> DataFrame:
     return records.join(hit, "uid", "left").withColumn("resolved", F.coalesce("target", "uid")).drop("target")
 
 
+def unknown(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """records (uid, keys array) none of whose keys is an alias of a known record."""
+    known = records.select("uid", F.explode("keys").alias("alias")).join(aliases.select("alias"), "alias", "left_semi")
+    return records.join(known.select("uid").distinct(), "uid", "left_anti")
+
+
+def id_union(parts: list[DataFrame]) -> DataFrame:
+    """Ids of all pieces of a split search, each once."""
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def merge_fields(rows: DataFrame, key: str, seq: str, lists=(), largest=(), newest=(), oldest=()) -> DataFrame:
     """Field-level merge of all rows of a key in order of seq: lists unite and sort, largest wins, newest and oldest take the last and first that isn't empty."""
     full = lambda x: F.when(S.text(F.col(x)) != "", F.struct(F.col(seq), F.col(x)))
@@ -128,8 +145,22 @@ def merge_fields(rows: DataFrame, key: str, seq: str, lists=(), largest=(), newe
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
-    """First and last sight of (uid, group, source)."""
-    return hits.groupBy("uid", "group", "source").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    """First and last sight of (uid, group, source); where hits have a scope, the scope of the first."""
+    g = hits.groupBy("uid", "group", "source")
+    seen = [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    if "scope" not in hits.columns:
+        return g.agg(*seen)
+    return g.agg(*seen, F.min(F.struct("first_seen", "scope"))["scope"].alias("scope"))
+
+
+def new_works(works: DataFrame, stored: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Works (uid, work_key) whose work isn't stored, one of each; and credited hits: uid, as_uid, of other versions of a work,
+    which count for the stored one or else for the first in order."""
+    first = works.groupBy("work_key").agg(F.min(F.struct(*[o for o in order if o != "uid"], "uid"))["uid"].alias("_first"))
+    known = stored.groupBy("work_key").agg(F.min("uid").alias("_stored"))
+    j = works.join(first, "work_key").join(known, "work_key", "left").withColumn("as_uid", F.coalesce("_stored", "_first"))
+    fresh = j.filter("_stored IS NULL AND uid = _first").select(works.columns)
+    return fresh, j.filter("uid <> as_uid").select("uid", "as_uid")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -183,6 +214,11 @@ def entities(c: Column, rules: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c.rlike(word_bound(p)), F.lit(n)) for n, p in rules.items()]).cast("array<string>"))
 
 
+def by_frequency(df: DataFrame, column: str) -> list[str]:
+    """Distinct values of a column of a vocabulary, the most frequent first; one aggregated row a value comes to the driver."""
+    return [r[0] for r in df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).collect()]
+
+
 def category(rules: list[dict[str, str]], pub_types: Column, title: Column, text: Column, default: str, origin: Column | None = None, origin_name: str = "method development") -> Column:
     """The first rule any of whose patterns (pub_types, title, text) occurs in its field; an origin paper has its own category."""
     fields = {"pub_types": pub_types, "title": title, "text": text}
@@ -207,11 +243,15 @@ def route(tier_: Column, date: Column, start: str, seed: Column, broad: Column)
     return F.when(tier_.isin("landmark", "core", "related") & ((S.text(date) == "") | (date >= start)), "catalogue").when(tier_ != "none", "before_window").when(seed, "off_topic_seed").when(broad, "broad").otherwise("dropped")
 
 
-def catalogue_order(df: DataFrame) -> DataFrame:
-    """Date (undated last), tier, title."""
+def catalogue_keys() -> list[Column]:
+    """Date (undated last), tier, title, uid."""
     d = F.when(S.text(F.col("date")) == "", "9999").otherwise(F.col("date"))
     t = F.coalesce(*[F.when(F.col("tier") == n, F.lit(i)) for n, i in TIERS.items()], F.lit(9))
-    return df.orderBy(d, t, F.lower("title"), "uid")
+    return [d, t, F.lower("title"), F.col("uid")]
+
+
+def catalogue_order(df: DataFrame) -> DataFrame:
+    return df.orderBy(*catalogue_keys())
 
 
 # ---------------------------------------------------------------- incremental state

@@ -6,6 +6,7 @@ column that isn't there counts as empty. Authors are one comma-separated string,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -91,25 +92,39 @@ def named(kind: Column, names: dict[str, str]) -> Column:
 # ---------------------------------------------------------------- authors
 
 
-def authors(c: Column) -> Column:
-    """array of (family, initials array, literal flag); collective names and single words are literal."""
-    collective = rf"(?i)\b(?:{'|'.join(COLLECTIVE)})\b"
+COLLECTIVE_NAME = rf"(?i)\b(?:{'|'.join(COLLECTIVE)})\b"
+
+
+def author_line(c: Column) -> Column:
+    return squeezed(F.regexp_replace(F.trim(text(c)), r"\.+$", ""))
+
+
+def authors(c: Column, line: Column | None = None, some: Column | None = None) -> Column:
+    """array of (family, initials array, literal flag); collective names and single words are literal.
+
+    line is author_line(c) and some says whether it has a collective name at all: as columns they are computed once and
+    not for every name.
+    """
+    line = author_line(c) if line is None else line
+    some = F.lit(True) if some is None else some
 
     def one(x):
-        family = F.regexp_extract(x, "^(.+?) ([A-Z]{1,4})$", 1)
-        short = F.split(F.regexp_extract(x, "^(.+?) ([A-Z]{1,4})$", 2), "")
+        last = F.substring_index(x, " ", -1)
+        written = (last != x) & last.rlike("^[A-Z]{1,4}$")
+        family = F.when(written, F.substr(x, F.lit(1), F.length(x) - F.length(last) - 1)).otherwise("")
+        short = F.split(last, "")
         words = F.split(x, " ")
         fore = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1)))
         pieces = F.filter(F.transform(F.flatten(F.transform(fore, lambda w: F.split(w, "-"))), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
         long = F.transform(pieces, lambda w: F.upper(F.substring(w, 1, 1)))
-        literal = x.rlike(collective) | ((family == "") & (F.size(words) == 1))
+        literal = F.when(some, x.rlike(COLLECTIVE_NAME)).otherwise(False) | ((family == "") & (F.size(words) == 1))
         return F.struct(
             F.when(literal, x).when(family != "", family).otherwise(F.element_at(words, -1)).alias("family"),
             F.when(literal, F.array().cast("array<string>")).when(family != "", F.filter(short, lambda i: i != "")).otherwise(long).alias("initials"),
             literal.alias("literal"),
         )
 
-    names = F.transform(F.split(F.regexp_replace(F.trim(text(c)), r"\.+$", ""), ","), squeezed)
+    names = F.transform(F.split(line, ",", -1), lambda x: F.trim(x))
     return F.transform(F.filter(names, lambda x: (x != "") & ~F.lower(x).isin("et al", "et al.")), one)
 
 
@@ -141,15 +156,21 @@ class AuthorList:
     tail: str
     last_after_tail: bool = False
 
-    def of(self, a: Column) -> Column:
-        n = F.size(a)
-        names = F.concat(F.transform(F.slice(a, 1, 1), self.first), F.transform(F.slice(a, 2, F.greatest(n - 1, F.lit(0))), self.others))
+    def names(self, a: Column) -> Column:
+        """Every author as the style writes it."""
+        if self.first is self.others:
+            return F.transform(a, self.first)
+        return F.transform(a, lambda x, i: F.when(i == 0, self.first(x)).otherwise(self.others(x)))
+
+    def of(self, names: Column) -> Column:
+        n = F.size(names)
         head = F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(0))), ", ")
         last = F.element_at(names, -1)
         long = F.concat(F.array_join(F.slice(names, 1, self.cut), ", "), F.lit(self.tail), last if self.last_after_tail else F.lit(""))
         return F.when(n == 0, "").when(n == 1, last).when(n > self.whole, long).otherwise(F.concat(head, F.when(n == 2, self.two).otherwise(self.more), last))
 
 
+# How many names a list shows.
 LISTS = {
     "APA": AuthorList(inverted, inverted, ", & ", ", & ", 20, 19, ", . . . ", True),
     "AMA": AuthorList(compact, compact, ", ", ", ", 6, 3, ", et al"),
@@ -256,7 +277,7 @@ def bibtex_keys(df: DataFrame, order: list) -> DataFrame:
 
 
 def latex(c: Column) -> Column:
-    return F.regexp_replace(text(c), "([&%#_])", r"\\\\$1")
+    return F.regexp_replace(text(c), "([&%#_])", r"\\$1")
 
 
 def bibtex(r: Reference, key: Column) -> Column:
@@ -308,12 +329,16 @@ def render(df: DataFrame, code: str, order: list, numbered: bool = True) -> Data
     keep = [c for c in FIELDS if c in df.columns]
     df = running_number(df, order, "n") if numbered else df
     by = [F.col("n")] if numbered else order
-    df = df.withColumn("_people", authors(F.col("authors") if "authors" in keep else F.lit("")))
+    own = F.col("authors") if "authors" in keep else F.lit("")
+    df = df.withColumn("_line", author_line(own)).withColumn("_some", F.col("_line").rlike(COLLECTIVE_NAME))
+    df = df.withColumn("_people", authors(own, F.col("_line"), F.col("_some")))
     if code == "BIB":
         df = bibtex_keys(df, by)
     r = Reference(df)
     if code in STYLES:
-        out = STYLES[code](r, LISTS[code].of(r.people))
+        # each step is a column of its own: what is used twice is computed once
+        df = df.withColumn("_names", LISTS[code].names(F.col("_people"))).withColumn("_list", LISTS[code].of(F.col("_names")))
+        out = STYLES[code](r, F.col("_list"))
         if numbered and code in NUMBERS:
             a, b = NUMBERS[code]
             out = F.concat(F.lit(a), F.col("n").cast("string"), F.lit(b), out)
@@ -322,6 +347,32 @@ def render(df: DataFrame, code: str, order: list, numbered: bool = True) -> Data
     return df.select(F.col("uid"), *(["n"] if numbered else []), out.alias("text"))
 
 
+#: Endings of reference files. Fixed values.
+ENDINGS = {"APA": ".apa.txt", "AMA": ".ama.txt", "MLA": ".mla.txt", "CHI": ".chi.txt", "HAR": ".har.txt", "VAN": ".van.txt", "IEE": ".iee.txt", "NAT": ".nat.txt", "BIB": ".bib", "RIS": ".ris", "ENW": ".enw", "CSL": ".json"}
+
+
+def reference_text(df: DataFrame, code: str, order: list) -> str:
+    """One file's text of a list of references, in order; the rows come to the driver one partition after another."""
+    rows = [r.text for r in render(df, code, order).orderBy("n").select("text").toLocalIterator()]
+    if code == "CSL":
+        return json.dumps([json.loads(x) for x in rows], indent=2, ensure_ascii=False, sort_keys=True) + "\n"
+    return separator(code).join(rows) + "\n" if rows else ""
+
+
+def write_references(df: DataFrame, codes_: list[str], path: str, order: list) -> list[str]:
+    """A file for each format: the given name where it is one format and has an ending, else the name with the format's ending."""
+    fs = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    out, named = [], "." in path.rpartition("/")[2]
+    for code in codes_:
+        target = path if len(codes_) == 1 and named else path + ENDINGS[code]
+        where = fs.Path(target)
+        stream = where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+        stream.write(bytearray(reference_text(df, code, order).encode()))
+        stream.close()
+        out.append(target)
+    return out
+
+
 def separator(code: str) -> str:
     """What stands between two references in a file."""
     return {"BIB": "\n\n", "RIS": "\n\n", "ENW": "\n\n", "CSL": ",\n"}.get(code, "\n")

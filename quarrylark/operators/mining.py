@@ -1,13 +1,9 @@
-"""Text mining: links, page heads, structured article XML."""
+"""Text mining: links, page heads, reference lists."""
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrylark.functions import scalars as S
 
@@ -21,8 +17,8 @@ def links(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def before_references(c: Column) -> Column:
-    """Text before the first heading of the reference list."""
-    return F.split(S.text(c), r"(?im)^#*[ \t]*(?:references|bibliography|literature cited)[ \t]*$", 2)[0]
+    """Text before the first heading of the reference list: a Markdown heading that begins with References, or a line that is it."""
+    return F.split(S.text(c), r"(?m)^(?:#+\s*References\b|(?:References|REFERENCES)\s*$)", 2)[0]
 
 
 def hrefs(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -50,78 +46,7 @@ def page_description(html: Column) -> Column:
     return F.substring(S.collapse(x), 1, 300)
 
 
-def _inline(e: ET.Element) -> str:
-    marks = {"italic": "*", "bold": "**", "sup": "^", "sub": "~"}
-    tag = e.tag.rsplit("}", 1)[-1]
-    m = marks.get(tag, "")
-    return m + (e.text or "") + "".join(_inline(c) + (c.tail or "") for c in e) + m
-
-
-def _squeeze(s: str) -> str:
-    return " ".join(s.split())
-
-
-def _blocks(e: ET.Element, depth: int):
-    for c in e:
-        tag = c.tag.rsplit("}", 1)[-1]
-        if tag == "sec":
-            yield from _blocks(c, depth + 1)
-        elif tag == "title":
-            yield "#" * min(6, depth) + " " + _squeeze(_inline(c))
-        elif tag == "p":
-            yield _squeeze(_inline(c))
-        elif tag == "list":
-            yield "\n".join("- " + _squeeze(_inline(i)) for i in c)
-        elif tag == "table-wrap":
-            rows = [[_squeeze(_inline(x)) for x in r] for r in c.iter() if r.tag.rsplit("}", 1)[-1] == "tr"]
-            if rows:
-                yield "\n".join(["| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0]), *["| " + " | ".join(r) + " |" for r in rows[1:]]])
-        else:
-            yield from _blocks(c, depth)
-
-
-def article_markdown(xml: str | None) -> str:
-    """Title, abstract and body of an article; broken XML gives an empty text."""
-    try:
-        root = ET.fromstring(xml or "")
-    except ET.ParseError:
-        return ""
-    out = [f"# {_squeeze(_inline(t))}" for t in root.iter("article-title")][:1]
-    for name in ("abstract", "body"):
-        for part in root.iter(name):
-            out += [f"## {name.capitalize()}"] * (name == "abstract") + list(_blocks(part, 2 if name == "abstract" else 1))
-    return "\n\n".join(x for x in out if x)
-
-
-def markdown_of(xml: Column) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(article_markdown)
-
-    return F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR)(xml)
-
-
-def markdown_text(c: Column) -> Column:
-    """Marks of Markdown removed."""
-    x = F.regexp_replace(S.text(c), r"(?m)^#{1,6} +", "")
-    x = F.regexp_replace(x, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.regexp_replace(x, r"[*_`~^]+", "")
-
-
-def captions(xml: str | None) -> dict[str, tuple[str, str, str]]:
-    """File name to kind, label and caption; the first in document order stays."""
-    kinds = {"fig": "figure", "table-wrap": "table", "supplementary-material": "supplement"}
-    out: dict[str, tuple[str, str, str]] = {}
-    try:
-        root = ET.fromstring(xml or "")
-    except ET.ParseError:
-        return out
-    for e in root.iter():
-        if e.tag not in kinds:
-            continue
-        label = _squeeze("".join(x.itertext())) if (x := e.find("label")) is not None else ""
-        caption = _squeeze("".join(x.itertext())) if (x := e.find("caption")) is not None else ""
-        for x in e.iter():
-            for k, v in x.attrib.items():
-                if k.rsplit("}", 1)[-1] == "href" and v:
-                    out.setdefault(v.rsplit("/", 1)[-1], (kinds[e.tag], label, caption))
-    return out
+def body_size(spans: DataFrame, key: str) -> DataFrame:
+    """size of a document's body font: that of most bytes of text, of equals the smaller. spans: key, size, text."""
+    weights = spans.groupBy(key, "size").agg(F.sum(F.octet_length(S.text(F.col("text")))).alias("w"))
+    return weights.groupBy(key).agg(F.min(F.struct((-F.col("w")).alias("m"), "size"))["size"].alias("size"))

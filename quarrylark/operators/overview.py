@@ -72,6 +72,66 @@ def findings(catalogue: DataFrame, top: int = 30) -> str:
     return "\n".join(parts)
 
 
+# Kinds of rows that are code or data, and those that are sites.
+CODE_ROWS = ["repository", "software package", "software", "archive", "dataset"]
+SITE_ROWS = ["website", "database", "web calculator"]
+
+
+def tiles(catalogue: DataFrame, run_date: str) -> DataFrame:
+    """One row of counts for the head of the report, in one pass."""
+    c = F.col
+    paper = c("resource_type").isin(PAPERS)
+    status = lambda *s: F.count_if(paper & S.text(c("fulltext_status")).isin(*s))
+    return catalogue.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(c("added_on") == run_date).alias("added"), F.count_if(paper).alias("papers"), F.count_if(paper & (c("summary_from") == "abstract")).alias("with_abstract"),
+        status("ok").alias("ok"), status("none", "error", "removed").alias("missing"), F.count_if(S.text(c("pending")) != "").alias("pending"), F.count_if(c("resource_type").isin(CODE_ROWS)).alias("code"),
+        F.count_if(c("resource_type").isin(SITE_ROWS)).alias("sites"), F.coalesce(F.sum(F.size(S.list_items(c("code_links")))), F.lit(0)).alias("links"),
+    )
+
+
+def entity_mentions(catalogue: DataFrame, top: int = 60) -> DataFrame:
+    """entity, n: how many rows name it, the part of a registry left out; the most named first."""
+    own = F.regexp_replace(S.text(F.col("entities")), "^[^;]* registry: [^;]*;?", "")
+    each = catalogue.select(F.explode(S.list_items(own)).alias("entity"))
+    return each.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(top)
+
+
+def origin_timeline(catalogue: DataFrame) -> DataFrame:
+    """date, uid, ids of papers that introduced an entry of a registry, the undated last."""
+    entry = r"([^;]*) registry: ([^;]*)"
+    text = S.text(F.col("entities"))
+    ids = F.substring(F.concat(F.trim(F.regexp_extract(text, entry, 1)), F.lit(": "), F.regexp_extract(text, entry, 2)), 1, 90)
+    rows = catalogue.filter(text.rlike(entry)).select("date", "uid", ids.alias("ids"))
+    return rows.orderBy(F.when(S.text(F.col("date")) == "", "9999").otherwise(F.col("date")), "uid")
+
+
+def reasons(index: DataFrame) -> DataFrame:
+    """reason, n of what has no full text; what stands in brackets at the end is left out, and pending reasons count each."""
+    each = index.select(F.explode(S.list_items(F.col("reason"))).alias("r"))
+    return each.groupBy(F.regexp_replace("r", r"\s*\([^()]*\)$", "").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def last_builds(runs: DataFrame, n: int = 5) -> DataFrame:
+    """The last builds, oldest first."""
+    return runs.orderBy(F.desc("run_date"), F.desc("rows_total")).limit(n).orderBy("run_date", "rows_total")
+
+
+def newest(catalogue: DataFrame, n: int = 10) -> DataFrame:
+    return catalogue.orderBy(F.desc(S.text(F.col("date"))), "uid").limit(n).select("date", "uid")
+
+
+def page(df: DataFrame, sort: str, descending: bool = False, number: int = 1, size: int = 100, numeric: tuple[str, ...] = ("cited_by",)) -> DataFrame:
+    """One page of the report's table, sorted by a column, numbers as numbers; equal rows by uid."""
+    key = S.integer(F.col(sort)) if sort in numeric else F.lower(S.text(F.col(sort)))
+    return df.orderBy(key.desc() if descending else key.asc(), "uid").offset((number - 1) * size).limit(size)
+
+
+def layers_over_time(catalogue: DataFrame) -> DataFrame:
+    """year, layer, papers: landmark and core papers by year and each of their layers."""
+    rows = catalogue.filter(F.col("resource_type").isin(PAPERS) & F.col("tier").isin("landmark", "core"))
+    return rows.withColumn("layer", F.explode(S.list_items(F.col("modality")))).groupBy("year", "layer").agg(F.count(F.lit(1)).alias("papers"))
+
+
 def search(df: DataFrame, words: str, columns: list[str], **equal: str) -> DataFrame:
     """Rows that hold every word somewhere in the columns, and the given values."""
     hay = F.lower(F.concat_ws(" ", *[S.text(F.col(x)) for x in columns]))
@@ -83,20 +143,30 @@ def search(df: DataFrame, words: str, columns: list[str], **equal: str) -> DataF
     return df
 
 
-PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title><h1>{title}</h1><input id="q" placeholder="all these words"><p id="n"></p><table id="t"></table>
+PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title><h1>{title}</h1><input id="q" placeholder="all these words"><p id="n"></p><p><button id="back">back</button> <span id="p"></span> <button id="next">next</button></p><table id="t"></table>
 <script type="application/octet-stream" id="data">{data}</script>
 <script>
 (async () => {{
   const bytes = Uint8Array.from(atob(document.getElementById("data").textContent), c => c.charCodeAt(0));
   const table = await new Response(new Blob([bytes]).stream().pipeThrough(new DecompressionStream("gzip"))).json();
+  const SIZE = 100; let at = 0, by = {{ column: null, sign: 1 }};
   const show = () => {{
     const words = document.getElementById("q").value.toLowerCase().split(/\\s+/).filter(Boolean);
     const hits = table.rows.filter(r => words.every(w => r.join(" ").toLowerCase().includes(w)));
     document.getElementById("n").textContent = hits.length + " of " + table.rows.length;
     const body = document.getElementById("t"); body.replaceChildren();
-    for (const r of [table.columns, ...hits.slice(0, 100)]) {{ const tr = body.insertRow(); for (const v of r) tr.insertCell().textContent = v; }}
+    const value = r => {{ const v = r[by.column]; return v !== "" && !isNaN(v) ? Number(v) : String(v).toLowerCase(); }};
+    if (by.column !== null) hits.sort((a, b) => {{ const x = value(a), y = value(b); return by.sign * (typeof x !== typeof y ? (typeof x === "number" ? -1 : 1) : x < y ? -1 : x > y ? 1 : 0); }});
+    const pages = Math.max(1, Math.ceil(hits.length / SIZE)); at = Math.min(at, pages - 1);
+    const head = body.insertRow();
+    table.columns.forEach((c, i) => {{ const th = head.insertCell(); th.textContent = c; th.onclick = () => {{ by = {{ column: i, sign: by.column === i ? -by.sign : 1 }}; show(); }}; }});
+    for (const r of hits.slice(at * SIZE, (at + 1) * SIZE)) {{ const tr = body.insertRow(); for (const v of r) tr.insertCell().textContent = v; }}
+    document.getElementById("p").textContent = "page " + (at + 1) + " of " + pages;
   }};
-  document.getElementById("q").oninput = show; show();
+  document.getElementById("q").oninput = () => {{ at = 0; show(); }};
+  document.getElementById("back").onclick = () => {{ at = Math.max(0, at - 1); show(); }};
+  document.getElementById("next").onclick = () => {{ at += 1; show(); }};
+  show();
 }})();
 </script>
 """

@@ -37,6 +37,22 @@ def commit(df: DataFrame, root: str, expected: int) -> int:
     return n
 
 
+def piece(df: DataFrame, root: str, name: str) -> bool:
+    """Write a piece of a long run once: False where it is done already. A lost run's half-written piece is written over."""
+    if exists(df.sparkSession, f"{root}/{name}/_SUCCESS"):
+        return False
+    df.write.mode("overwrite").parquet(f"{root}/{name}")
+    return True
+
+
+def pieces(spark: SparkSession, root: str, schema) -> DataFrame:
+    """All pieces that are done."""
+    fs, path = _fs(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    done = [f"{root}/{n}" for n in sorted(names) if exists(spark, f"{root}/{n}/_SUCCESS")]
+    return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+
+
 def day_changes(before: DataFrame | None, added: DataFrame) -> DataFrame:
     """Additions of a day: those of later passes replace equal uids of earlier ones."""
     return added if before is None else union_priority([before, added])

@@ -101,7 +101,7 @@ def _(spark, sf):
 
 @query("file_plan", """WITH f AS (SELECT o_orderkey, CASE WHEN l_linestatus = 'F' THEN 'figure' ELSE 'supplementary' END AS kind, 'f' || l_linenumber || '.' || lower(l_returnflag) AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'
     UNION ALL SELECT o_orderkey, 'paper', 'paper.pdf' FROM orders WHERE o_orderstatus = 'F')
-    SELECT DISTINCT 'ord:' || o_orderkey AS uid, kind, file, '/out/ord_' || o_orderkey || CASE kind WHEN 'paper' THEN '/' ELSE '/attachments/' END || file AS target FROM f WHERE kind IN ('paper', 'figure')""")
+    SELECT DISTINCT 'ord:' || o_orderkey AS uid, kind, file, '/out/' || o_orderkey || CASE kind WHEN 'paper' THEN '/' ELSE '/attachments/' END || file AS target FROM f WHERE kind IN ('paper', 'figure')""")
 def _(spark, sf):
     uid = lambda c: F.concat(F.lit("ord:"), F.col(c).cast("string")).alias("uid")
     rows = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(uid("o_orderkey"), F.lit("").alias("title"))

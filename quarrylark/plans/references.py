@@ -58,8 +58,20 @@ SQL = {
 }
 NAMES = {"APA": "cite_apa", "AMA": "cite_ama", "VAN": "cite_vancouver", "MLA": "cite_mla", "HAR": "cite_harvard", "CHI": "cite_chicago", "IEE": "cite_ieee", "NAT": "cite_nature", "ENW": "cite_endnote", "RIS": "cite_ris", "BIB": "cite_bibtex", "CSL": "cite_csl"}
 
+field = lambda name, value, when="true": f"CASE WHEN {when} AND {value} <> '' THEN '  {name} = {{' || {value} || '}}' END"
+item = lambda name, value: f"CASE WHEN {value} <> '' THEN '\"{name}\":\"' || {value} || '\"' END"
+WHOLE = {
+    "BIB": f"""WITH {CITED}, b AS (SELECT *, regexp_replace(lower(fam), '[^a-z0-9]', '', 'g') || year || 'on' AS base FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY k) AS nth, replace(venue, chr(95), chr(92) || chr(95)) AS latex_venue, resource_type = 'article' AS art FROM b)
+    SELECT uid, '@' || CASE WHEN art THEN 'article' ELSE 'misc' END || '{{' || base || CASE WHEN nth = 1 THEN '' ELSE chr(CAST(97 + least(nth - 2, 25) AS INTEGER)) END || ',' || chr(10) || concat_ws(',' || chr(10), {field("author", "array_to_string(inv, ' and ')")},
+    '  title = {{{{' || title || '}}}}', {field("journal", "latex_venue", "art")}, {field("howpublished", "latex_venue", "NOT art")}, {field("year", "year")}, {field("volume", "vol")}, {field("number", "iss")}, {field("pages", "replace(pg, '-', '--')")}, {field("doi", "doi")}, {field("url", "link")}, {field("note", "resource_type", "NOT art")})
+    || chr(10) || '}}' AS text FROM r""",
+    "CSL": f"""WITH {CITED} SELECT uid, '{{' || concat_ws(',', {item("DOI", "doi")}, {item("URL", "link")}, '"author":[' || array_to_string(list_transform(inv, lambda a: '{{"family":"' || split_part(a, ', ', 1) || '","given":"' || split_part(a, ', ', 2) || '"}}'), ',') || ']',
+    {item("container-title", "venue")}, {item("id", "uid")}, {item("issue", "iss")}, '"issued":{{"date-parts":[[' || CAST(substr(date, 1, 4) AS INTEGER) || ',' || CAST(substr(date, 6, 2) AS INTEGER) || ',' || CAST(substr(date, 9, 2) AS INTEGER) || ']]}}',
+    {item("page", "pg")}, {item("title", "title")}, '"type":"' || CASE resource_type WHEN 'article' THEN 'article-journal' ELSE 'article' END || '"', {item("volume", "vol")}) || '}}' AS text FROM s""",
+}
+
 for _code, _name in NAMES.items():
-    query(_name, f"WITH {CITED} SELECT uid, {SQL[_code]} AS text FROM s" if _code in SQL else None)(lambda spark, sf, code=_code: R.render(cited(spark, sf), code, ["o_orderkey"], numbered=False))
+    query(_name, WHOLE.get(_code) or f"WITH {CITED} SELECT uid, {SQL[_code]} AS text FROM s")(lambda spark, sf, code=_code: R.render(cited(spark, sf), code, ["o_orderkey"], numbered=False))
 
 
 @query("cite_numbered", f"WITH {CITED}, p AS (SELECT *, row_number() OVER (ORDER BY date, uid) AS place FROM s) SELECT uid, place AS n, '[' || place || '] ' || {SQL['IEE'].replace('n = ', 's_n = ').replace('n > ', 's_n > ').replace('n-1', 's_n-1')} AS text FROM (SELECT *, n AS s_n FROM p)")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylark.functions import scalars as S
 from quarrylark.functions import terms as T
+from quarrylark.operators import articles as X
 from quarrylark.operators import catalogue as C
 from quarrylark.operators import mining as M
 
@@ -43,11 +44,11 @@ def works(spark, sf) -> DataFrame:
     """documents as catalogue rows."""
     d = table(spark, sf, "documents")
     t = S.text(F.col("text"))
-    return d.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uid"), F.substring(S.collapse(F.split(t, "\n")[0]), 1, 80).alias("title"), "text", "lang", "source", "n_chars")
+    return d.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uid"), S.collapse(F.split(t, "\n")[0]).alias("title"), "text", "lang", "source", "n_chars")
 
 
 WORKS = r"""works AS (SELECT doc_id, 'doc:' || doc_id AS uid, text, lang, source, n_chars,
-    substr(trim(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 80) AS title FROM documents)"""
+    trim(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[ \t\n\r\f\v]+', ' ', 'g')) AS title FROM documents)"""
 
 
 def dated(spark, sf) -> DataFrame:
@@ -84,10 +85,10 @@ def _(spark, sf):
     return C.select(dated(spark, sf), tier="urgent, HIGH", category="o,f").select("uid", "tier", "category")
 
 
-@query("filter_any_token", "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_type), 'brass')")
+@query("filter_any_token", "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'nom') OR contains(lower(p_type), 'mo')")
 def _(spark, sf):
     p = table(spark, sf, "part")
-    return p.filter(C.any_part(F.col("p_type"), "Steel,brass")).select("p_partkey", "p_type")
+    return p.filter(C.any_part(F.col("p_type"), "Nom, mo")).select("p_partkey", "p_type")
 
 
 @query("filter_text_regex", f"WITH {WORKS} SELECT uid, title FROM works WHERE regexp_matches(title, '^(the|in|of) ', 'i')")
@@ -105,12 +106,16 @@ def _(spark, sf):
     return C.select(dated(spark, sf), sort="cited_by", limit=30).select("uid", "cited_by")
 
 
-@query("term_match_loose", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{N}])with[\s-]+thes?([^\p{L}\p{N}]|$)', 'i') OR (regexp_matches(text, '(^|[^\p{L}\p{N}])unds?([^\p{L}\p{N}]|$)', 'i') AND regexp_matches(text, '(^|[^\p{L}\p{N}])ders?([^\p{L}\p{N}]|$)', 'i'))")
+LOOSE = r"(^|[^\p{L}\p{M}\p{Nd}\p{Pc}])%s(e?s)?([^\p{L}\p{M}\p{Nd}\p{Pc}]|$)"
+
+
+@query("term_match_loose", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{LOOSE % 'with[ -]+the'}', 'i') OR (regexp_matches(text, '{LOOSE % 'und'}', 'i') AND regexp_matches(text, '{LOOSE % 'der'}', 'i'))")
 def _(spark, sf):
     return table(spark, sf, "documents").filter(T.matches(F.col("text"), T.parse_topic('"with the", und & der'))).select("doc_id")
 
 
-@query("context_window")
+@query("context_window", r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, '(?i)licen[sc]ed under') AS hit FROM documents WHERE regexp_matches(text, 'licen[sc]ed under', 'i'))
+    SELECT doc_id, trim(regexp_replace(substr(text, CAST(greatest(instr(text, hit) - 80, 1) AS BIGINT), 160), '[ \t\n\r\f\v]+', ' ', 'g')) AS context FROM m""")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", C.context(F.col("text"), "licen[sc]ed under").alias("context")).filter("context IS NOT NULL")
@@ -251,8 +256,9 @@ def _(spark, sf):
 
 
 def _tiered(spark, sf):
-    w = works(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
-    w = w.withColumn("category", C.first_match(F.col("text"), CATEGORIES, "prose")).withColumn("seed", F.col("quality").isNotNull())
+    # classes are computed below the join, so that no filter above it computes them again
+    w = works(spark, sf).withColumn("category", C.first_match(F.col("text"), CATEGORIES, "prose")).drop("text")
+    w = w.join(table(spark, sf, "labels"), "doc_id", "left").withColumn("seed", F.col("quality").isNotNull())
     return w.withColumn("tier", C.tier(F.coalesce(F.col("toxic") == 1, F.lit(False)), F.coalesce(F.col("quality") == 1, F.lit(False)), F.col("category") == "prose", F.col("seed")))
 
 
@@ -406,12 +412,13 @@ def _(spark, sf):
     return g.join(top, "domain").select("domain", "n_papers", "n_urls", "top_url", "examples")
 
 
-@query("jats_markdown")
+@query("jats_markdown", r"""SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10) || CASE WHEN t = '' THEN '## Text' ELSE '## Text' || chr(10) || chr(10) || t END || chr(10) AS markdown
+    FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents)""".replace("\\\\", "\\"))
 def _(spark, sf):
     d = table(spark, sf, "documents")
     esc = F.replace(F.replace(S.text(F.col("text")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    xml = F.concat(F.lit("<article><front><article-title>"), F.lit("Document "), F.col("doc_id").cast("string"), F.lit("</article-title></front><body><sec><title>Text</title><p>"), esc, F.lit("</p></sec></body></article>"))
-    return d.select("doc_id", M.markdown_of(xml).alias("markdown"))
+    xml = F.concat(F.lit("<article><front><article-meta><article-title>"), F.lit("Document "), F.col("doc_id").cast("string"), F.lit("</article-title></article-meta></front><body><sec><title>Text</title><p>"), esc, F.lit("</p></sec></body></article>"))
+    return X.markdown(d.select("doc_id", xml.alias("xml")), "doc_id", "xml").select("doc_id", "markdown")
 
 
-from quarrylark.plans import assembled, references  # noqa: E402, F401  (they register their queries)
+from quarrylark.plans import assembled, coverage, references  # noqa: E402, F401  (they register their queries)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quarrylark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of any file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def rename_parts(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    """Files of a folder with another ending."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(jvm_path(folder)):
+        name = s.getPath().toString()
+        if name.endswith(old):
+            fs.rename(s.getPath(), jvm_path(name[: -len(old)] + new))
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
     """All text; a missing file is an empty table."""
     if not exists(spark, path):
@@ -35,9 +66,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).json(path)
 
 
-def read_text_lines(spark: SparkSession, folder: str, suffixes: list[str], limit: int = 5 << 20) -> DataFrame:
-    """file, line of text files below a folder, by suffix and size."""
+def read_text_lines(spark: SparkSession, folder: str, suffixes: list[str], limit: int = 5 << 20, skip: list[str] | None = None) -> DataFrame:
+    """file, line of text files below a folder, by suffix and size, but for folders and files of the names to skip."""
     df = spark.read.option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
+    if skip:
+        df = df.filter(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(s) for s in skip])))
     return df.filter(F.col("size") <= limit).filter(F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).isin(*suffixes)).drop("size")
 
 

@@ -37,7 +37,7 @@ def test_files(spark):
     with pytest.raises(ValueError):
         L.plan(files, "delete")
     moved = L.plan(L.pick(files), "move", "/d", flat=True)
-    assert sorted(r.target for r in moved.collect()) == ["/d/doi_10.1_a__f1.jpg", "/d/doi_10.1_a__paper.pdf"]
+    assert sorted(r.target for r in moved.collect()) == ["/d/10.1_a__f1.jpg", "/d/10.1_a__paper.pdf"]
     after = {r.file: (r.status, r.path) for r in L.settled(atts, moved, "move", "/d").collect()}
     assert after == {"f1.jpg": ("moved", ""), "s.xlsx": ("listed", "")}
 

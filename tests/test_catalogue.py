@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrylark.functions import scalars as S
 from quarrylark.functions import terms as T
 from quarrylark.operators import catalogue as C
-from quarrylark.operators import mining as M
+from quarrylark.operators import articles as X
 from quarrylark.plans import registry
 from quarrylark.sources import io
 
@@ -40,7 +40,22 @@ def test_dates():
 def test_terms(spark):
     assert T.parse_topic('a b, "c d" & e; a b OR f') == [("a", "b"), ("c d", "e"), ("f",)]
     assert T.parse_topic("") == []
-    assert T.compiled(("CRISPR", "base editing"), "pubmed") == '"CRISPR"[tiab] AND "base editing"[tiab]'
+    assert T.compiled(("CRISPR", "base editing"), "pubmed") == '("CRISPR"[tiab] AND "base editing"[tiab])'
+    assert T.compiled(("epigenetic clock",), "europepmc") == 'TITLE_ABS:"epigenetic clock"'
+    assert T.compiled(("a", "b c"), "arxiv") == '((ti:"a" OR abs:"a") AND (ti:"b c" OR abs:"b c"))'
+    assert T.compiled(("a",), "arxiv") == 'ti:"a" OR abs:"a"'
+    assert T.compiled(("CRISPR", "base editing"), "openalex") == '(CRISPR AND "base editing")'
+    assert T.compiled(("graph", "neural networks"), "github") == '"graph" "neural networks"'
+    rx = T.one_regex([("graph", "neural", "networks"), ("GNN",)])
+    for text, want in (("A graph neural network for X", True), ("Neural networks on a graph", True), ("GNNs explained", True), ("neural networks only", False), ("graphene", False)):
+        assert one(spark, F.lit(text).rlike(rx)) is want
+    assert T.one_regex([]) == "(?!)"
+    loose = [("CRISPR", "base editing")]
+    for text, want in (("CRISPR-Cas9 base-editing tools", True), ("crispr and base editors... base editing", True), ("CRISPR database editing", False)):
+        assert one(spark, T.matches(F.lit(text), loose)) is want
+    for text, want in (("Advances in base editing.", True), ("base-editing", False), ("database editing", False)):
+        assert one(spark, T.matches(F.lit(text), [("base editing",)], loose=False)) is want
+    assert one(spark, T.matches(F.lit("boxes"), [("box",)])) is True and one(spark, T.matches(F.lit("a_gene"), [("gene",)])) is False
     terms = T.parse_topic('GNN, "neural network"')
     for text, want in (("GNNs are", True), ("a neural-network", True), ("graphene", False)):
         assert one(spark, T.matches(F.lit(text), terms)) is want
@@ -79,9 +94,14 @@ def test_csv_bytes():
 
 def test_article_xml():
     xml = '<article><front><article-title>T</article-title></front><body><sec><title>S</title><p>a <italic>b</italic></p><fig><label>Fig 1</label><caption><p>cap</p></caption><graphic href="f1.jpg"/></fig></sec></body></article>'
-    assert M.article_markdown(xml).startswith("# T\n\n## S\n\na *b*")
-    assert M.captions(xml) == {"f1.jpg": ("figure", "Fig 1", "cap")}
-    assert M.article_markdown("<x") == ""
+    assert X.article(xml.replace("<article-title>", "<article-meta><article-title>").replace("</article-title>", "</article-title></article-meta>"))[0].startswith("# T\n\n## S\n\na *b*")
+    assert X.article("<x") == ("", "")
+    named = """<article xmlns:xlink="http://www.w3.org/1999/xlink"><body><fig id="f1"><label>Figure 1.</label><caption><title>Clock <italic>accuracy</italic></title>
+<p>Error by age.</p></caption><graphic xlink:href="pone.0123456.g001"/></fig><table-wrap id="t1"><label>Table 2</label><caption><p>Cohorts</p></caption><graphic xlink:href="tab2.gif"/></table-wrap>
+<supplementary-material id="s1"><label>Supplement 1.</label><caption><p>eTable 1. Results</p></caption><media xlink:href="jamanetwopen-s001.xlsx"/></supplementary-material></body></article>"""
+    caps = X.captions(named)
+    assert caps["pone.0123456.g001"] == ("figure", "Figure 1.", "Clock accuracy Error by age.") and caps["tab2"] == ("table", "Table 2", "Cohorts")
+    assert caps["jamanetwopen-s001.xlsx"] == ("supplementary", "Supplement 1.", "eTable 1. Results")
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))

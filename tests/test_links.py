@@ -15,7 +15,8 @@ def test_links(spark):
     both = got.withColumn("where", F.lit("fulltext")).unionByName(got.withColumn("where", F.lit("abstract")))
     rows = L.paper_links(both).collect()
     assert len(rows) == 3 and {r.where for r in rows} == {"abstract"}
-    assert L.found("x" * 300 + " https://github.com/a/b " + "y " * 100)[0][2].startswith("x" * 100)
+    far = spark.createDataFrame([("u", "x" * 300 + " https://github.com/a/b " + "y " * 100)], "uid string, text string")
+    assert L.extract(far, "uid", "text").first().context == "x" * 119 + " https://github.com/a/b " + ("y " * 40).strip()
 
 
 def test_dois(spark):

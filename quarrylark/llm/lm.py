@@ -36,6 +36,8 @@ BEGIN, END = np.uint64(2), np.uint64(4)
 RUN_TOKENS = 700_000
 #: Input bytes for each owner.
 OWNER_BYTES = 6 << 20
+#: Receivers that a task sends to at once. More owners than these are reached in two steps, by way of groups of them.
+WIDE = 4096
 #: Files that a worker maps at once; Linux allows about 65,000 maps a process.
 MAPS = 8_192
 #: n-grams in a bucket of an array, about.
@@ -150,6 +152,30 @@ def counting(order: int, owners: int):
     return run
 
 
+def regrouping(owners: int):
+    """Blocks of groups of owners, combined again and cut for the owners themselves."""
+
+    @trimmed
+    def run(batches):
+        held, n = [], 0
+
+        def flush():
+            keys, values = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])
+            return batch_of(list(blocks_of(keys, values, owners)))
+
+        for b in batches:
+            for blob in b.column("block").to_pylist():
+                held.append(unpacked(blob))
+                n += len(held[-1][0])
+                if n >= RUN_TOKENS:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
 # ---------------------------------------------------------------- arrays in files
 
 
@@ -210,8 +236,8 @@ class Shard:
         return x
 
 
-def merging(n: int, order: int, owners: int, folder: str):
-    """Owner of order n: write its arrays, give the sums of its order and the blocks for order n - 1."""
+def merging(n: int, order: int, groups: int, folder: str):
+    """Owner of order n: write its arrays, give the sums of its order and, to groups of owners, the blocks for order n - 1."""
 
     def run(table: pa.Table) -> pa.Table:
         owner = table.column("owner")[0].as_py()
@@ -232,7 +258,7 @@ def merging(n: int, order: int, owners: int, folder: str):
             whole = (k[:, 1] == BEGIN) if n > 2 else np.zeros(len(k), bool)  # nothing precedes a begin mark: raw counts stand for continuations
             down = np.stack([np.where(whole, raw, 1), raw, zero, zero, zero, zero], 1)
             up = np.stack([zero, zero, a, a == 1, a == 2, a >= 3], 1).astype(np.int64)
-            out += blocks_of(np.concatenate([k[:, 1:], k[:, :-1]]), np.concatenate([down, up]), owners)
+            out += blocks_of(np.concatenate([k[:, 1:], k[:, :-1]]), np.concatenate([down, up]), groups)
         return pa.Table.from_batches([batch_of(out)])
 
     return run
@@ -319,12 +345,15 @@ def train(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
     if size >= 1 << 50:  # no statistics
         size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES))
+    groups = min(owners, WIDE)
     schema = "owner int, block binary"
-    blocks = docs.select(F.col(text).alias("text")).mapInArrow(counting(order, owners), schema)
+    blocks = docs.select(F.col(text).alias("text")).mapInArrow(counting(order, groups), schema)
     sums: list[dict] = []
     for n in range(order, 0, -1):
         path = f"{folder}/blocks-{n}"
-        blocks.groupBy("owner").applyInArrow(merging(n, order, owners, posix(folder)), schema).write.parquet(path)
+        if groups < owners:  # a group is a range of owners, so its blocks go on to those alone
+            blocks = blocks.repartition("owner").mapInArrow(regrouping(owners), schema)
+        blocks.groupBy("owner").applyInArrow(merging(n, order, groups, posix(folder)), schema).write.parquet(path)
         blocks = spark.read.schema(schema).parquet(path)
         parts = blocks.filter("owner = -1").select(F.from_json(F.decode("block", "UTF-8"), "map<string,bigint>").alias("m"))
         names = ("types", "a", "raw", "c1", "c2", "c3", "c4", "c3up")

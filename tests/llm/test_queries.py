@@ -89,6 +89,48 @@ def test_op1_closes_what_it_used_longest_ago(spark, monkeypatch):
         assert len(s.shards) <= 3
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_op1_by_groups_of_owners(spark, rows, monkeypatch, order):
+    df = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string").repartition(5)
+    want = {r.doc_id: r.score for r in lm.score(df, lm.train(df, order)).collect()}
+    monkeypatch.setattr(lm, "WIDE", 3)
+    got = {r.doc_id: r.score for r in lm.score(df, lm.train(df, order)).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_shared_folder(monkeypatch):
+    """Where no folder is named: a temporary one for a local session, an error on a cluster."""
+    from types import SimpleNamespace as N
+
+    from quarrylark.llm import common
+
+    def session(master, conf=None, checkpoint=None):
+        context = N(master=master, applicationId=master, getConf=lambda: N(get=lambda k, d=None: None), getCheckpointDir=lambda: checkpoint)
+        return N(conf=N(get=lambda k, d=None: conf), sparkContext=context)
+
+    assert common.shared_root(session("local[2]", "file:///x/")) == "file:///x"
+    assert common.shared_root(session("yarn", None, "hdfs://n/c")) == "hdfs://n/c"
+    own = common.shared_root(session("local[2]"))
+    assert own.startswith("file://") and common.shared_root(session("local[2]")) == own
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_root(session(master))
+
+
+def test_marks(spark, tmp_path):
+    from quarrylark.llm import common
+
+    spark.range(0, 5000, 1, 3).selectExpr("id AS doc_id", "repeat('x', 50) AS text", "id % 7 AS cell").drop("cell").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    at = common.located(docs)
+    assert common.file_backed(docs) and not common.file_backed(docs.distinct())
+    folder = common.mark(at.filter("doc_id % 5 = 0 AND doc_id < 3000").select("cell", "place"), "m")
+    assert sorted(r.doc_id for r in at.filter(common.marked(folder)).collect()) == list(range(0, 3000, 5))
+    assert at.filter(~common.marked(folder)).count() == 4400
+    none = common.mark(at.limit(0).select("cell", "place"), "m")
+    assert at.filter(common.marked(none)).count() == 0
+
+
 def test_op2(spark, folder, rows):
     got = {r.doc_id: r for r in run(spark, folder, "op2_jpeg_media")}
     assert len(got) == len(rows)

@@ -56,3 +56,16 @@ def waits() -> list[tuple[str, str]]:
         return " ".join([*map(str, slept), end])
 
     return [("busy 3 times", tell(3, None)), ("asked for 30 s", tell(1, 30.0)), ("asked for 700 s", tell(1, 700.0)), ("always busy", tell(99, None))]
+
+
+def paced() -> list[tuple[str, float]]:
+    """Seconds that requests wait for their host, by a clock of half seconds."""
+    from quarrylark.sources.search import Pace
+
+    now = [0.0]
+    pace = Pace(2.0, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    out = []
+    for host, step in (("a", 0.0), ("b", 0.5), ("a", 0.0), ("a", 0.0), ("b", 0.5)):
+        now[0] += step
+        out.append((host, pace.wait(host)))
+    return out

@@ -67,11 +67,48 @@ def plan(files: DataFrame, action: str, base: str = "", flat: bool = False, conf
 
 
 def settled(attachments: DataFrame, done: DataFrame, action: str, where: str = "") -> DataFrame:
-    """The attachments index after the action: moved and deleted files say so and have no path, and aren't fetched again."""
+    """The attachments index after the action: moved and deleted files say so, with the new path or none, and aren't fetched again."""
     if action == "copy":
         return attachments
     status, reason = ("moved", f"moved to {where}") if action == "move" else ("deleted", "deleted")
-    d = done.filter("kind <> 'paper'").select("uid", "file", F.lit(True).alias("_d")).distinct()
+    d = done.filter("kind <> 'paper'").groupBy("uid", "file").agg(F.max("target").alias("_t")).withColumn("_d", F.lit(True))
     j = attachments.join(d, ["uid", "file"], "left")
-    new = {"status": status, "reason": reason, "path": ""}
+    new = {"status": F.lit(status), "reason": F.lit(reason), "path": S.text(F.col("_t"))}
     return j.select(*[F.when(F.col("_d"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in attachments.columns])
+
+
+#: Full texts by file, the index's flag and the catalogue's column of each. Fixed values.
+PAPER_FILES = {"paper.pdf": "pdf", "paper.md": "md", "paper.txt": "txt", "paper.xml": "xml"}
+
+
+def settled_index(index: DataFrame, attachments: DataFrame, done: DataFrame, action: str) -> DataFrame:
+    """The full-text index after the action: flags of files that are gone, `removed` where none is left, attachments counted anew.
+
+    attachments is the index of attachments after the action (settled()).
+    """
+    if action == "copy":
+        return index
+    gone = done.filter("kind = 'paper'").groupBy("uid").agg(F.collect_set("file").alias("_gone"))
+    left = attachments.filter(S.text(F.col("file")) != "").groupBy("uid").agg(F.concat(F.count_if(F.col("status") == "ok").cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string")).alias("_left"))
+    j = index.join(gone, "uid", "left").join(left, "uid", "left")
+    there = lambda c: F.lower(S.text(F.col(c))) == "true"
+    flags = {f"has_{k}": there(f"has_{k}") & ~F.coalesce(F.array_contains("_gone", file), F.lit(False)) for file, k in PAPER_FILES.items() if f"has_{k}" in index.columns}
+    some = F.lit(False)
+    for still in flags.values():
+        some |= still
+    removed = F.col("_gone").isNotNull() & ~some
+    word = "moved" if action == "move" else "deleted"
+    new = {c: F.when(v, "True").otherwise("False") for c, v in flags.items()}
+    new |= {"status": F.when(removed, "removed").otherwise(F.col("status")), "reason": F.when(removed, word).otherwise(F.col("reason")), "attachments": F.coalesce("_left", "attachments")}
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in index.columns])
+
+
+def settled_catalogue(catalogue: DataFrame, index: DataFrame, summaries: DataFrame, done: DataFrame, action: str) -> DataFrame:
+    """Catalogue rows after the action: status of the index, paths of files that are gone, the summary of attachments (uid, attachments)."""
+    if action == "copy":
+        return catalogue
+    gone = done.filter("kind = 'paper'").groupBy("uid").agg(F.collect_set("file").alias("_gone"))
+    j = catalogue.join(index.select("uid", F.col("status").alias("_status")), "uid", "left").join(gone, "uid", "left").join(summaries.select("uid", F.col("attachments").alias("_files")), "uid", "left")
+    new = {f"fulltext_{k}": F.when(F.array_contains("_gone", file), "").otherwise(F.col(f"fulltext_{k}")) for file, k in PAPER_FILES.items() if f"fulltext_{k}" in catalogue.columns}
+    new |= {"fulltext_status": F.coalesce("_status", "fulltext_status"), "attachments": F.coalesce("_files", "attachments")}
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in catalogue.columns])

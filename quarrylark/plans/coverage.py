@@ -813,3 +813,37 @@ def _(spark, sf):
     k = F.col("page_id")
     spans = F.explode(F.array(*[F.struct(F.lit(s).alias("size"), F.when(k % 2 == even, F.lit(t)).otherwise("x").alias("text")) for s, even, t in ((9.0, 0, "long text é"), (11.0, 1, "long text e!"), (14.0, 2, "x"))]))
     return M.body_size(table(spark, sf, "pages").select("page_id", spans.alias("s")).select("page_id", "s.*"), "page_id")
+
+
+typed("host_pace", [("a", 0.0), ("b", 0.0), ("a", 1.5), ("a", 2.0), ("b", 0.0)], "host string, slept double", lambda: G.paced())
+
+
+@query("candidate_sites", f"""WITH {FOUND}, w AS (SELECT uid, 'site' || uid % 50 || '.org' AS domain, 'https://site' || uid % 50 || '.org/p' AS url FROM t)
+    SELECT domain, count(*) AS n_papers, 1 AS n_urls, any_value(url) AS top_url, array_to_string(list_transform(list_sort(list(uid))[1:5], lambda x: CAST(x AS VARCHAR)), '; ') AS example_papers FROM w GROUP BY 1""")
+def _(spark, sf):
+    got = K.candidate_sites(K.classified(K.extract(said(spark, sf), "uid", "text")))
+    ordered = F.array_join(F.transform(F.array_sort(F.transform(F.split("example_papers", "; "), lambda x: x.cast("long"))), lambda x: x.cast("string")), "; ")
+    return got.select("domain", "n_papers", F.col("n_urls").cast("int").alias("n_urls"), "top_url", ordered.alias("example_papers"))
+
+
+@query("catalogue_links", f"WITH {FOUND} SELECT uid, 'o' || uid || '/r' || uid AS repo, 'github' AS kind FROM t WHERE uid % 3 = 0 UNION ALL SELECT uid, '', 'gitlab' FROM t WHERE uid % 3 = 0")
+def _(spark, sf):
+    all_links = K.classified(K.extract(said(spark, sf), "uid", "text"))
+    repos, others = K.by_source(all_links, table(spark, sf, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("uid")))
+    return repos.select("uid", "repo", "kind").unionByName(others.select("uid", F.lit("").alias("repo"), "kind"))
+
+
+@query("site_first_archived", "SELECT url, CASE WHEN page_id % 2 = 0 THEN '2004-05-06' ELSE '' END AS first_archived FROM pages")
+def _(spark, sf):
+    body = F.when(F.col("page_id") % 2 == 0, '[["timestamp"],["20040506070809"]]').when(F.col("page_id") % 3 == 0, "[]").otherwise("no json")
+    return lookups.first_archived(table(spark, sf, "pages").select("url", body.alias("value")))
+
+
+@query("files_settled", "SELECT 'ord:' || o_orderkey AS uid, CASE WHEN o_orderkey % 2 = 0 THEN 'removed' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'False' ELSE 'True' END AS has_pdf, '1/2' AS attachments FROM orders")
+def _(spark, sf):
+    uid = F.concat(F.lit("ord:"), F.col("o_orderkey").cast("string")).alias("uid")
+    o = table(spark, sf, "orders")
+    index = o.select(uid, F.lit("ok").alias("status"), F.lit("").alias("reason"), F.lit("True").alias("has_pdf"), F.lit("2/2").alias("attachments"))
+    done = o.filter("o_orderkey % 2 = 0").select(uid, F.lit("paper").alias("kind"), F.lit("paper.pdf").alias("file"), F.lit("").alias("target"))
+    atts = o.select(uid, F.explode(F.array(F.struct(F.lit("a.jpg").alias("file"), F.lit("ok").alias("status")), F.struct(F.lit("b").alias("file"), F.lit("moved").alias("status")))).alias("f")).select("uid", "f.*")
+    return L.settled_index(index, atts, done, "delete").select("uid", "status", "has_pdf", "attachments")

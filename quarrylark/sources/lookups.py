@@ -70,3 +70,10 @@ def latest_listing(keys: DataFrame) -> DataFrame:
 def is_attachment(pmcid: Column, version: Column, name: Column) -> Column:
     """A file of a listing that isn't the article's own XML, text, PDF or JSON."""
     return ~name.startswith(F.concat_ws(".", pmcid, version.cast("string"), F.lit(""))) & ~name.contains("/")
+
+
+def first_archived(answers: DataFrame, column: str = "value") -> DataFrame:
+    """url and first_archived (ISO date or empty) of a web archive's answers: JSON rows under a head row."""
+    rows = F.from_json(F.col(column), "array<array<string>>")
+    stamp = F.try_element_at(F.try_element_at(rows, F.lit(2)), F.lit(1))
+    return answers.select("url", F.coalesce(F.concat_ws("-", F.substring(stamp, 1, 4), F.substring(stamp, 5, 2), F.when(stamp.isNotNull(), F.substring(stamp, 7, 2))), F.lit("")).alias("first_archived"))

@@ -54,6 +54,23 @@ def patient(call: Callable, tries: int = 6, first: float = 2.0, most: float = 12
     return None
 
 
+class Pace:
+    """A least interval between two requests to one host, within a process."""
+
+    def __init__(self, interval: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.interval, self.clock, self.sleep = interval, clock, sleep
+        self.next: dict[str, float] = {}
+
+    def wait(self, host: str) -> float:
+        """Sleep until the host may be asked again; gives the seconds slept."""
+        now = self.clock()
+        pause = max(0.0, self.next.get(host, now) - now)
+        if pause:
+            self.sleep(pause)
+        self.next[host] = now + pause + self.interval
+        return pause
+
+
 @dataclass
 class Piece(InputPartition):
     lo: str

@@ -39,7 +39,28 @@ def test_files(spark):
     moved = L.plan(L.pick(files), "move", "/d", flat=True)
     assert sorted(r.target for r in moved.collect()) == ["/d/10.1_a__f1.jpg", "/d/10.1_a__paper.pdf"]
     after = {r.file: (r.status, r.path) for r in L.settled(atts, moved, "move", "/d").collect()}
-    assert after == {"f1.jpg": ("moved", ""), "s.xlsx": ("listed", "")}
+    assert after == {"f1.jpg": ("moved", "/d/10.1_a__f1.jpg"), "s.xlsx": ("listed", "")}
+
+
+def test_files_settle_all_tables(spark):
+    """One paper with a PDF, Markdown and two attachments: one moved, then the papers deleted."""
+    from quarrylark.operators import assembly as A
+
+    uid = "doi:10.1/a"
+    cat = spark.createDataFrame([(uid, "Clock one", "ok", "p/paper.pdf", "p/paper.md", "2/2: jpg 1, xlsx 1")], "uid string, title string, fulltext_status string, fulltext_pdf string, fulltext_md string, attachments string")
+    index = spark.createDataFrame([(uid, "ok", "", "True", "True", "2/2")], "uid string, status string, reason string, has_pdf string, has_md string, attachments string")
+    papers = spark.createDataFrame([(uid, "paper.pdf", "pdf", "6", "p/paper.pdf"), (uid, "paper.md", "md", "3", "p/paper.md")], "uid string, file string, ext string, bytes string, path string")
+    cols = "uid string, file string, ext string, kind string, label string, caption string, bytes string, status string, path string, url string, reason string"
+    atts = spark.createDataFrame([(uid, "f1.jpg", "jpg", "figure", "Figure 1", "", "3", "ok", "p/attachments/f1.jpg", "", ""), (uid, "s1.xlsx", "xlsx", "supplementary", "", "eTable 1", "4", "ok", "p/attachments/s1.xlsx", "", "")], cols)
+    moved = L.plan(L.pick(L.listing(cat, papers, atts), name="etable"), "move", "/out")
+    atts = L.settled(atts, moved, "move", "/out")
+    assert {r.file: (r.status, r.path) for r in atts.collect()} == {"f1.jpg": ("ok", "p/attachments/f1.jpg"), "s1.xlsx": ("moved", "/out/10.1_a/attachments/s1.xlsx")}
+    gone = L.plan(L.pick(L.listing(cat, papers, atts), kind="paper"), "delete", confirmed=True)
+    index = L.settled_index(index, L.settled(atts, gone, "delete"), gone, "delete")
+    row = index.first()
+    assert (row.status, row.has_pdf, row.has_md, row.attachments) == ("removed", "False", "False", "1/2")
+    row = L.settled_catalogue(cat, index, A.attachment_summaries(atts), gone, "delete").first()
+    assert (row.fulltext_status, row.fulltext_pdf, row.fulltext_md, row.attachments) == ("removed", "", "", "1/2: jpg 1, xlsx 1")
 
 
 def test_linked_papers(spark):

@@ -7,7 +7,8 @@ by size and then position; for a probing set every size is a block, and the larg
 needed overlap cuts the block, so the rest of it is skipped without being read.
 
 Answers. Equal sets are one set. In each list the set with the fewest rare shingles leads; sets are verified against their
-leaders first, and those that link are one component at once, never paired with each other. A set then derives its
+leaders first, and those that link are one component at once, never paired with each other. Long lists are led in pieces
+by many tasks and the pieces' leaders by one; those that end in one component go no further. A set then derives its
 answers from its leader's. Under one leader l, |x & z| <= min(|x & l|, |z & l|) + what x and z share beyond l: where
 that minimum is too small, lists of l's own shingles give no pair, and the lists of what followers have beyond l give
 the rest. Under two, |x & z| <= |lx & lz| + |x - lx| + |z - lz|, so one verified pair of leaders settles all pairs of
@@ -44,6 +45,8 @@ CHUNK = 1_000_000
 FACTOR = 0x9E3779B97F4A7C15
 #: Rows of postings that are looked at together, about.
 ROWS = 60_000
+#: Postings of a list that one task leads; longer lists are led in pieces, whose leaders meet in a second step.
+LIST = 8192
 #: Pairs that one pass of array operations expands.
 PAIRS = 500_000
 
@@ -212,6 +215,16 @@ def lists_of(batches, columns: list[str]):
         yield {c: np.concatenate([x[c] for x in rest]) for c in columns}
 
 
+def pieces_of(token: str):
+    """Pieces in which a token's list is led: by how often its bucket occurs, which its first bits say; 1,024 at most."""
+    return F.greatest(F.lit(1), F.floor(F.shiftrightunsigned(token, 40) / LIST)).cast("long")
+
+
+def led(postings: DataFrame, share: int) -> DataFrame:
+    """token (that of `own`), id, at, leader of postings that meet under `token`."""
+    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(leading(share), "token long, id long, at long, leader long")
+
+
 def leading(share: int):
     """Lists of two sets or more as rows (token, id, at, leader).
 
@@ -221,17 +234,17 @@ def leading(share: int):
 
     @trimmed
     def run(batches):
-        for x in lists_of(batches, ["token", "id", "lo", "at"]):
+        for x in lists_of(batches, ["token", "own", "id", "lo", "at"]):
             order = np.lexsort((x["id"], x["lo"], x["at"], x["token"]))
-            t, i, lo, at = (x[c][order] for c in ("token", "id", "lo", "at"))
+            t, own, i, lo, at = (x[c][order] for c in ("token", "own", "id", "lo", "at"))
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (at[1:] != at[:-1]) | (lo[1:] != lo[:-1])
-            t, i, at = t[new], i[new], at[new]  # copies of one set share token and place; the smallest id stays
+            t, own, i, at = t[new], own[new], i[new], at[new]  # copies of one set share token and place; the smallest id stays
             start = np.ones(len(t), bool)
             start[1:] = t[1:] != t[:-1]
             runs = np.diff(np.append(np.flatnonzero(start), len(t)))
-            many = np.repeat(runs > 1, runs)
-            t, i, at = t[many], i[many], at[many]
+            many = np.repeat(runs > 1, runs) | (own != t)  # a piece's only row may have company in other pieces
+            t, own, i, at = t[many], own[many], i[many], at[many]
             if not len(t):
                 continue
             size, pos = at >> 32, at & 0xFFFFFFFF
@@ -246,7 +259,7 @@ def leading(share: int):
                 left = left[~near]
             for s in range(0, len(t), 200_000):
                 e = slice(s, s + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(t[e]), pa.array(i[e]), pa.array(at[e]), pa.array(lead[e])], ["token", "id", "at", "leader"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[e]), pa.array(i[e]), pa.array(at[e]), pa.array(lead[e])], ["token", "id", "at", "leader"])
 
     return run
 
@@ -413,12 +426,16 @@ def components(rows: DataFrame, k: int, share: int) -> DataFrame:
     docs = rows.filter(marked(mark(reps.select("cell", "place"), "posting"))).select("key", "text")
     frequent = spark.sparkContext.broadcast(frequencies(both.filter("kind = 1").select("key", "block")))  # of fixed size
     postings = docs.mapInArrow(posting(k, share, frequent), "token long, id long, lo long, at long")
-    lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(leading(share), "token long, id long, at long, leader long")
-    lists = materialise(lists, "lists")
+    piece = F.when(pieces_of("token") > 1, F.xxhash64("token", F.pmod(F.xxhash64("id"), pieces_of("token")))).otherwise(F.col("token"))
+    lists = materialise(led(postings.select(piece.alias("token"), F.col("token").alias("own"), "id", "lo", "at"), share), "lists")
     release(spark)
+    long = pieces_of("token") > 1
+    split = lists.filter(long).limit(1).count() > 0
+    heads = lists.filter(long & (F.col("id") == F.col("leader"))).select("token", F.col("token").alias("own"), "id", F.col("id").alias("lo"), "at")
+    followers = lists.unionByName(led(heads, share)) if split else lists
 
     # leaders first: of each set the one that shares most of its lists, if enough to promise a link
-    star = lists.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("at"))
+    star = followers.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("at"))
     star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "leader"))).filter("r = 1")
     star = star.filter(F.col("c") * 400 >= F.shiftright("at", 32) * (100 - share))  # a quarter of the prefix
     star = materialise(star.select(F.col("leader").alias("a"), F.col("id").alias("b")), "star")
@@ -435,6 +452,10 @@ def components(rows: DataFrame, k: int, share: int) -> DataFrame:
         rows = rows.repartition("token").sortWithinPartitions("token").mapInArrow(crossing(share), "a long, b long, na long, nb long, c long")
         return rows.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
 
+    if split:  # long lists of one component have nothing to add
+        one = known.select("token", F.coalesce("comp", "id").alias("comp")).filter(long)
+        mixed = one.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+        known = known.filter(~long).unionByName(known.filter(long).join(mixed, "token", "left_semi"))
     cross = crossed(known)
     # followers of one leader that its answers leave open must share what they have beyond it; all of that is a list
     beyond = star.select("a", F.col("b").alias("id"), F.col("nb"), F.explode("added").alias("t"))

@@ -479,8 +479,9 @@ def test_pieces_frames(docs, none):
 # ------------------------------------------------------------ set join
 
 
-@pytest.mark.parametrize("k, share", [(4, 85), (5, 80)])
-def test_set_join(spark, docs, none, k, share):
+@pytest.mark.parametrize("k, share, long", [(4, 85, 8192), (5, 80, 8192), (4, 85, 5)])
+def test_set_join(spark, docs, none, k, share, long, monkeypatch):
+    monkeypatch.setattr(setjoin, "LIST", long)  # at 5 the lists are led in pieces
     rnd = random.Random(k)
     voc = [f"w{i}" for i in range(2000)]
     rows = [(1000 + i, t) for i, t in enumerate(TEXTS)]

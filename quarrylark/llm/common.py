@@ -70,17 +70,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def file_backed(df: DataFrame) -> bool:
-    """df is columns and filters over files alone, so that a row's file and place in it name the row in every scan."""
+    """df is columns and filters over Parquet files alone, so that a row's file and place in it name the row in every scan."""
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
         node = node.children().head()
-    return node.nodeName().startswith(("Relation", "LogicalRelation")) and bool(df.inputFiles())
+    if not node.nodeName().startswith(("Relation", "LogicalRelation")) or not df.inputFiles():
+        return False
+    return node.relation().getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in node.relation().fileFormat().toString()  # no other format numbers its rows
 
 
 def located(docs: DataFrame) -> DataFrame:
     """docs with cell (a run of rows of one file, long) and place (int, in the cell) of each row, the same in every scan.
 
-    What isn't a scan of files is written to the shared folder first. Cells grow with the table, from 2^8 rows to the 2^15
+    What isn't a scan of Parquet files is written to the shared folder first. Cells grow with the table, from 2^8 rows to the 2^15
     that one bitmap holds.
     """
     if not file_backed(docs):

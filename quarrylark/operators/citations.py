@@ -10,11 +10,11 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.functions.scalars import text
-from quarrylark.operators.ordering import running_number
+from quarrylark.operators.ordering import running_number, running_within
 
 FIELDS = ["uid", "resource_type", "date", "year", "authors", "title", "venue", "volume", "issue", "pages", "doi", "pmid", "url"]
 
@@ -271,9 +271,11 @@ def bibtex_keys(df: DataFrame, order: list) -> DataFrame:
     family = F.coalesce(_word(F.when(lead["literal"], F.split(lead["family"], " ")[0]).otherwise(lead["family"])), F.lit(""))
     words = F.filter(F.transform(F.split(squeezed(r.title), " "), _word), lambda w: w != "")
     base = F.concat(F.when(family == "", "ref").otherwise(family), F.when(r.year == "", "nd").otherwise(r.year), F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
+    n = F.col("_place")
     suffix = F.when(n == 1, "").otherwise(F.char(F.lit(97) + F.least(n - 2, F.lit(25))))
-    return df.withColumn("_base", base).withColumn("cite_key", F.concat("_base", suffix)).drop("_base")
+    # a base may hold any share of the references, so its places aren't one window's
+    placed = running_within(df.withColumn("_base", base), ["_base"], order, "_place")
+    return placed.withColumn("cite_key", F.concat("_base", suffix)).drop("_base", "_place")
 
 
 def latex(c: Column) -> Column:

@@ -31,7 +31,7 @@ from quarrylark.plans.references import CITED, SQL, cited
 from quarrylark.plans.registry import TODAY, query, table
 from quarrylark.sources import config as Y
 from quarrylark.sources import io, lookups, records, search
-from quarrylark.sources.io import scratch
+from quarrylark.storage import shared_folder as scratch
 
 COLUMNS = {
     "k": "doc_id", "uid": "'doc:' || doc_id", "title": "split_part(coalesce(text, ''), chr(10), 1)", "abstract": "coalesce(text, '')",

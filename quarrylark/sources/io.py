@@ -5,8 +5,6 @@ from __future__ import annotations
 import csv
 import io
 import json
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +19,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quarrylark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file of any file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

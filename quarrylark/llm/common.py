@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylark.storage import materialise, shared_folder, shared_root  # noqa: F401
+
 #: Rows in one Arrow batch: texts may be very long, so batches stay short and their bytes bounded.
 BATCH_ROWS = 1000
 BATCH_BYTES = 2 << 20
@@ -27,29 +28,6 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-_own: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
-
-    Where both are unset, a local session gets an own temporary folder, one for each application; on a cluster that would
-    be a folder of one machine, so there it is an error.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _own.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quarrylark-")
-        _own[context.applicationId] = found
-    return found.rstrip("/")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def posix(uri: str) -> str:
     """Path of a ``file:`` URI: workers map model files, which needs a shared POSIX mount."""
     if uri.startswith("file:"):
@@ -59,13 +37,6 @@ def posix(uri: str) -> str:
     return uri
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back; cuts lineage and survives lost executors."""
-    spark, where = df.sparkSession, shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 # ---------------------------------------------------------------- marks on rows
 
 

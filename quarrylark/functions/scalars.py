@@ -142,8 +142,9 @@ def stem(name: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
+    """A size with its unit; no size is ''."""
     return (
-        F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+        F.when(n.isNull(), "").when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
         .when(n < 1024**2, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB")))
         .when(n < 1024**3, F.concat(F.format_string("%.1f", n / 1024**2), F.lit(" MB")))
         .otherwise(F.concat(F.format_string("%.1f", n / 1024**3), F.lit(" GB")))

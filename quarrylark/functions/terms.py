@@ -34,29 +34,33 @@ def parse_topic(text: str) -> list[tuple[str, ...]]:
     return out
 
 
-def part_regex(part: str, loose: bool = True) -> str:
+#: Where a part begins and ends: at a border of a word, unless its own first or last character is of no word.
+BEGINS, ENDS = r"(?:(?<!\w)|(?!\w))", r"(?:(?!\w)|(?<!\w))"
+#: A plural s or es, after a letter.
+PLURAL = r"(?:(?<=\p{L})e?s)?"
+
+
+def part_regex(part: str, loose: bool = True, borders: tuple[str, str] = (r"(?<!\w)", r"(?!\w)"), plural: str = "(?:e?s)?") -> str:
     """loose: hyphens separate words, blanks and hyphens are one, a plural s or es is allowed; strict: a hyphen is part of a word."""
     if loose:
         body = r"[\s-]+".join(re.escape(w) for w in re.split(r"[\s-]+", part) if w)
-        return rf"(?iU)(?<!\w){body}(?:e?s)?(?!\w)"
+        return rf"(?iU){borders[0]}{body}{plural}{borders[1]}"
     return rf"(?iU)(?<![\w-]){re.escape(part)}(?![\w-])"
 
 
-def _standing(part: str) -> str:
-    """A part at word borders; its own plural s is as good as none, and one is allowed."""
-    body, end = part, ""
-    if part[-1].isalpha():
-        end = "(?:e?s)?"
-        if len(part) > 3 and part[-1] in "sS" and part[-2] not in "sS":
-            body = part[:-1]
-    border = lambda ch: r"\b" if ch == "_" or ch.isalpha() or ch.isdecimal() else ""
-    return border(part[0]) + r"[\s-]+".join(re.escape(w) for w in re.split("[ -]+", body)) + end + border(part[-1])
+def singular(part: str) -> str:
+    """Without the plural s of a part of four characters or more; ss is no plural."""
+    return re.sub(r"(?s)(?<=..[^sS])[sS]\Z", "", part)
 
 
 def one_regex(terms: list[tuple[str, ...]]) -> str:
-    """One pattern for a text that holds any term; the parts of a term may stand in any order. No terms match nothing."""
-    found = [_standing(t[0]) if len(t) == 1 else "^" + "".join(rf"(?=[\s\S]*{_standing(p)})" for p in t) for t in terms if t]
-    return "(?iU)" + "|".join(f"(?:{x})" for x in found) if found else "(?!)"
+    """One pattern for a text that holds any term; the parts of a term may stand in any order. No terms match nothing.
+
+    Parts have the borders of loose parts, and a part that is a plural also finds its singular.
+    """
+    every = [[part_regex(singular(p), True, (BEGINS, ENDS), PLURAL).removeprefix("(?iU)") for p in t] for t in terms]
+    ahead = ["".join(rf"(?=[\s\S]*{p})" for p in t) if len(t) > 1 else t[0] for t in every if t]
+    return "(?iU)" + "|".join(rf"(?:{'^' * (len(t) > 1)}{x})" for t, x in zip(filter(None, every), ahead, strict=True)) if ahead else "(?!)"
 
 
 def matches(column: Column, terms: list[tuple[str, ...]], loose: bool = True) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.functions import scalars as S
+from quarrylark.functions.markup import attribute, resolve, tags
 
 LINK = r"https?://[^\s<>\"'\)\]\}]+"
 
@@ -28,22 +29,27 @@ def hrefs(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     return got.select(key, "pos", F.when(F.col("href").startswith("/"), F.concat("root", "href")).otherwise(F.col("href")).alias("url"))
 
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Characters of a title or a description.
+HEAD_MAX = 300
+
+
+def _head(raw: Column) -> Column:
+    return F.substring(S.collapse(resolve(raw)), 1, HEAD_MAX)
 
 
 def page_title(html: Column) -> Column:
-    x = F.regexp_extract(S.text(html), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for e, c in ENTITIES:
-        x = F.replace(x, F.lit(e), F.lit(c))
-    return F.substring(S.collapse(x), 1, 300)
+    """Text of the first title element, character references resolved, blanks collapsed."""
+    return _head(F.regexp_extract(S.text(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def page_description(html: Column) -> Column:
-    def meta(name):
-        return F.regexp_extract(S.text(html), rf'(?is)<meta\s+(?:name|property)="{name}"\s+content="([^"]*)"', 1)
+    """Content of the first meta element that is named description, else of the first whose property is og:description.
 
-    x = F.when(meta("description") != "", meta("description")).otherwise(meta("og:description"))
-    return F.substring(S.collapse(x), 1, 300)
+    Attributes may stand in any order, in either quotes or none.
+    """
+    metas = tags(S.text(html), "meta")
+    first = lambda key, value: F.try_element_at(F.filter(metas, lambda t: F.lower(F.trim(attribute(t, key))) == value), F.lit(1))
+    return _head(S.text(attribute(F.coalesce(first("name", "description"), first("property", "og:description")), "content")))
 
 
 def body_size(spans: DataFrame, key: str) -> DataFrame:

@@ -224,13 +224,13 @@ def _(spark, sf):
     )
 
 
-@query("file_names", """SELECT l_orderkey, l_linenumber, lower(l_returnflag) || 'x' AS ext, 'A.' || l_linenumber AS stem, CASE l_linenumber % 4 WHEN 0 THEN '512 B' WHEN 1 THEN '2.0 KB' WHEN 2 THEN '1.5 MB' ELSE '3.0 GB' END AS size,
-    CASE WHEN l_linenumber % 2 = 0 THEN 'c_.' || lower(l_returnflag) ELSE 'file' END AS safe FROM lineitem""")
+@query("file_names", """SELECT l_orderkey, l_linenumber, lower(l_returnflag) || 'x' AS ext, 'A.' || l_linenumber AS stem, CASE l_linenumber % 5 WHEN 0 THEN '512 B' WHEN 1 THEN '2.0 KB' WHEN 2 THEN '1.5 MB' WHEN 3 THEN '3.0 GB' ELSE '' END AS size,
+    CASE l_linenumber % 4 WHEN 0 THEN 'c_.' || lower(l_returnflag) WHEN 1 THEN 'file' WHEN 2 THEN 'a' ELSE 'x_y' END AS safe FROM lineitem""")
 def _(spark, sf):
     n = F.col("l_linenumber")
     name = F.concat(F.lit("A."), n.cast("string"), F.lit("."), F.col("l_returnflag"), F.lit("X"))
-    size = F.when(n % 4 == 0, 512).when(n % 4 == 1, 2048).when(n % 4 == 2, 3 << 19).otherwise(F.lit(3 << 30))
-    raw = F.when(n % 2 == 0, F.concat(F.lit("a b/../c?."), F.lower("l_returnflag"))).otherwise("...")
+    size = F.when(n % 5 == 0, 512).when(n % 5 == 1, 2048).when(n % 5 == 2, 3 << 19).when(n % 5 == 3, F.lit(3 << 30))
+    raw = F.when(n % 4 == 0, F.concat(F.lit("a b/../c?."), F.lower("l_returnflag"))).when(n % 4 == 1, "..._").when(n % 4 == 2, "_a_.").otherwise("._x (y)")
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.extension(name).alias("ext"), S.stem(name).alias("stem"), S.human_bytes(size).alias("size"), X.safe_name(raw).alias("safe"))
 
 
@@ -314,11 +314,18 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", M.before_references(F.concat(F.lit("Body text\n"), head, F.lit("\nx"))).alias("text"))
 
 
-@query("page_description", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'About ' || page_id WHEN 1 THEN 'Social & co' ELSE '' END AS text FROM pages".replace("Social & co", "Social &amp; co"))
+@query("page_description", """SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'About ' || page_id WHEN 1 THEN 'Social & co' WHEN 2 THEN 'It''s “quoted” – é & 5 > 4' WHEN 3 THEN 'late name ' || page_id WHEN 4 THEN '' WHEN 5 THEN 'bare' ELSE '' END AS text FROM pages""")
 def _(spark, sf):
-    k = F.col("page_id")
-    meta = F.when(k % 3 == 0, F.concat(F.lit('<meta name="description" content="About  '), k.cast("string"), F.lit('"><meta property="og:description" content="Other">'))).when(k % 3 == 1, '<meta property="og:description" content="Social &amp; co">').otherwise("")
-    return table(spark, sf, "pages").select("page_id", M.page_description(meta).alias("text"))
+    """Heads of the given pages with a description in every shape: its own, only the social one, references, any order and quotes, empty, none."""
+    k = F.col("page_id").cast("string")
+    shapes = [
+        F.concat(F.lit('<meta property="og:description" content="Other"><META class="x" NAME="Description" content="About  '), k, F.lit('">')), F.lit('<meta property="og:description" content="Social &amp; co">'),
+        F.lit('<meta name=\'description\' data-content="no" content=\'It&#39;s &ldquo;quoted&rdquo; &ndash; &eacute; &amp; 5 > 4\' />'), F.concat(F.lit('<meta content="late name '), k, F.lit('" name="description">')),
+        F.lit('<meta name="description" content=""><meta property="og:description" content="unused">'), F.lit("<meta name=description content=bare>"), F.lit(""),
+    ]
+    added = F.coalesce(*[F.when(F.col("page_id") % 7 == i, x) for i, x in enumerate(shapes)])
+    head = F.replace(F.col("html"), F.lit('<meta charset="utf-8">'), F.concat(F.lit('<meta charset="utf-8">'), added))
+    return table(spark, sf, "pages").select("page_id", M.page_description(head).alias("text"))
 
 
 def article_xml() -> F.Column:
@@ -342,6 +349,16 @@ def _(spark, sf):
     return X.markdown(table(spark, sf, "documents").select("doc_id", article_xml().alias("xml")), "doc_id", "xml").select("doc_id", "markdown")
 
 
+@query("article_broken", f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '#{NL}## One{NL}' || doc_id || ' cut in the' || chr(10) WHEN 1 THEN '#{NL}## One{NL}**a** b{NL}c & d – < 5' || chr(10)
+    WHEN 2 THEN '#{NL}one *two* **three**{NL}four' || chr(10) ELSE '' END AS markdown FROM documents""")
+def _(spark, sf):
+    """XML that ends too early, has ends without beginnings, crossing elements, or is none: its text stays."""
+    k = F.col("doc_id")
+    xml = F.when(k % 4 == 0, F.concat(F.lit("<article><body><sec><title>One</title><p>"), k.cast("string"), F.lit(" cut in the"))).when(k % 4 == 1, "<article><body><sec><title>One</title></bold><p><bold>a</bold> b</p><p>c & d &ndash; < 5</sec></x></body></article>")
+    xml = xml.when(k % 4 == 2, "<w><article><body><p>one <italic>two</italic> <bold>three</p><p>four</bold></p></article>").otherwise("no element & nothing else")
+    return X.markdown(table(spark, sf, "documents").select("doc_id", xml.alias("xml")), "doc_id", "xml").select("doc_id", "markdown")
+
+
 @query("article_front", "SELECT doc_id, 'On *x*' || doc_id AS title, 'Ann Doe' AS author, 'J' AS journal, '10.1/' || doc_id AS doi FROM documents")
 def _(spark, sf):
     m = X.markdown(table(spark, sf, "documents").select("doc_id", article_xml().alias("xml")), "doc_id", "xml")

@@ -95,7 +95,7 @@ def test_csv_bytes():
 def test_article_xml():
     xml = '<article><front><article-title>T</article-title></front><body><sec><title>S</title><p>a <italic>b</italic></p><fig><label>Fig 1</label><caption><p>cap</p></caption><graphic href="f1.jpg"/></fig></sec></body></article>'
     assert X.article(xml.replace("<article-title>", "<article-meta><article-title>").replace("</article-title>", "</article-title></article-meta>"))[0].startswith("# T\n\n## S\n\na *b*")
-    assert X.article("<x") == ("", "")
+    assert X.article("<x") == ("", "") and X.article(None) == ("", "")
     named = """<article xmlns:xlink="http://www.w3.org/1999/xlink"><body><fig id="f1"><label>Figure 1.</label><caption><title>Clock <italic>accuracy</italic></title>
 <p>Error by age.</p></caption><graphic xlink:href="pone.0123456.g001"/></fig><table-wrap id="t1"><label>Table 2</label><caption><p>Cohorts</p></caption><graphic xlink:href="tab2.gif"/></table-wrap>
 <supplementary-material id="s1"><label>Supplement 1.</label><caption><p>eTable 1. Results</p></caption><media xlink:href="jamanetwopen-s001.xlsx"/></supplementary-material></body></article>"""

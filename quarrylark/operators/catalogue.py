@@ -135,13 +135,19 @@ def id_union(parts: list[DataFrame]) -> DataFrame:
 
 
 def merge_fields(rows: DataFrame, key: str, seq: str, lists=(), largest=(), newest=(), oldest=()) -> DataFrame:
-    """Field-level merge of all rows of a key in order of seq: lists unite and sort, largest wins, newest and oldest take the last and first that isn't empty."""
+    """Field-level merge of all rows of a key in order of seq: lists unite and sort, largest wins, newest and oldest take the last and first that isn't empty.
+
+    List items are made distinct by (key, item) before they meet, so a key of many rows is no more than its items.
+    """
     full = lambda x: F.when(S.text(F.col(x)) != "", F.struct(F.col(seq), F.col(x)))
-    aggs = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x) for x in lists]
-    aggs += [F.max(x).alias(x) for x in largest]
+    aggs = [F.max(x).alias(x) for x in largest]
     aggs += [F.max(full(x))[x].alias(x) for x in newest]
     aggs += [F.min(full(x))[x].alias(x) for x in oldest]
-    return rows.groupBy(key).agg(*aggs)
+    out = rows.groupBy(key).agg(*aggs) if aggs else rows.select(key).distinct()
+    for x in lists:
+        items = rows.select(key, F.explode(x).alias(x)).distinct().groupBy(key).agg(F.array_sort(F.collect_list(x)).alias(f"_{x}"))
+        out = out.join(items, key, "left").withColumn(x, F.coalesce(f"_{x}", F.array().cast(rows.schema[x].dataType))).drop(f"_{x}")
+    return out
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylark.operators.components import connected  # noqa: F401
 from quarrylark.storage import materialise, shared_folder, shared_root  # noqa: F401
 
 #: Rows in one Arrow batch: texts may be very long, so batches stay short and their bytes bounded.
@@ -202,31 +203,3 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b) over longs: node and component, its smallest node. Isolated nodes aren't listed.
-
-    Alternates the large-star and small-star steps, each a grouped minimum and a join; hot nodes are pre-aggregated by
-    the minimum and split by adaptive skew joins. Every step is written to the shared folder.
-    """
-    spark = edges.sparkSession
-    now = materialise(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(now.join(least, "a").filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = materialise(small.filter("a <> b").distinct(), "edges")
-        got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        release(spark)
-        if tuple(got) == seen:
-            break
-        seen = tuple(got)
-    else:
-        raise RuntimeError("components didn't settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,10 +1,11 @@
-"""Queries of resolution inside a batch over the given tables, and their SQL twins."""
+"""Queries of resolution inside a batch and of many names in texts over the given tables, and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quarrylark.operators import catalogue as C
+from quarrylark.operators import matching as M
 from quarrylark.operators import resolution as R
 from quarrylark.plans.registry import query, table
 
@@ -55,3 +56,43 @@ def _(spark, sf):
     rows = r.select("resolved", F.array("source").alias("sources"), F.col("n_chars").alias("cited_by"), F.col("lang").alias("newest"), F.col("lang").alias("oldest"), seq.alias("seq"))
     m = C.merge_fields(rows, "resolved", "seq", ["sources"], ["cited_by"], ["newest"], ["oldest"])
     return m.select(F.col("resolved").alias("uid"), F.array_join("sources", ";").alias("sources"), "cited_by", "newest", "oldest")
+
+
+# ---------------------------------------------------------------- many names in one pass
+
+#: Words of the benchmark's items are the names; those of an even length are found in any case.
+W = r"\p{L}\p{M}\p{Nd}\p{Pc}-"
+NAMES = rf"names AS (SELECT DISTINCT w AS name, length(w) % 2 = 0 AS loose FROM (SELECT unnest(regexp_extract_all(text, '[{W}]+')) AS w FROM benchmark))"
+HITS = rf"""pieces AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[{W}]+|[^{W}]+')) AS p, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[{W}]+|[^{W}]+'), 1) AS i FROM documents),
+    placed AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p) AS place FROM pieces),
+    hits AS (SELECT doc_id, name, place FROM placed JOIN names ON name = p WHERE NOT loose UNION ALL SELECT doc_id, name, place FROM placed JOIN names ON lower(name) = lower(p) WHERE loose)"""
+
+
+def names(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(f"[{W}]+"), F.lit(0))).alias("name"))
+    # names are words here, so nothing in them is syntax
+    return M.vocabulary_of(words.select("name", F.concat(F.when(F.length("name") % 2 == 0, "(?i)").otherwise(""), "name").alias("pattern")))
+
+
+@query("name_mentions", f"WITH {NAMES}, {HITS} SELECT doc_id, name, CAST(min(place) AS INTEGER) AS place, CAST(count(*) AS INTEGER) AS n FROM hits GROUP BY 1, 2")
+def _(spark, sf):
+    return M.mentions(table(spark, sf, "documents"), "doc_id", "text", names(spark, sf))
+
+
+@query("name_counts", f"WITH {NAMES}, {HITS} SELECT name, count(DISTINCT doc_id) AS texts, count(*) AS n FROM hits GROUP BY 1")
+def _(spark, sf):
+    return M.mention_counts(table(spark, sf, "documents"), "doc_id", "text", names(spark, sf))
+
+
+@query("first_appearance", rf"""WITH {NAMES}, {HITS}, t AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN CAST(2000 + doc_id * 7 % 25 AS VARCHAR) ELSE '' END AS date, length(string_split(coalesce(text, ''), chr(10))[1]) AS title_end FROM documents),
+    first AS (SELECT name, min((CASE date WHEN '' THEN '9999' ELSE date END, doc_id, date)) AS f FROM hits JOIN t USING (doc_id) WHERE place < title_end GROUP BY 1),
+    e AS (SELECT doc_id, string_agg(name, '; ') AS entities FROM (SELECT DISTINCT doc_id, name FROM hits) GROUP BY 1),
+    held AS (SELECT a.name, b.name AS part FROM names a JOIN names b ON contains(a.name, b.name)),
+    n AS (SELECT part AS name, count(DISTINCT doc_id) AS papers FROM (SELECT DISTINCT doc_id, name FROM hits) x JOIN held USING (name) GROUP BY 1)
+    SELECT name, f[3] AS date, f[2] AS uid, coalesce(papers, 0) AS papers FROM first LEFT JOIN n USING (name)""")
+def _(spark, sf):
+    v, i = names(spark, sf), F.col("doc_id")
+    date = F.when(i % 5 > 0, (2000 + i * 7 % 25).cast("string")).otherwise("")
+    title = F.split(F.coalesce("text", F.lit("")), "\n")[0]
+    papers = table(spark, sf, "documents").select(i.alias("uid"), date.alias("date"), title.alias("title"), F.array_join(M.labels(F.col("text"), v), "; ").alias("entities"))
+    return M.first_appearance(papers, v)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylark.functions import scalars as S
+from quarrylark.operators.ordering import running_number
+from quarrylark.operators.texts import join_late
 
 TIERS = {"landmark": 0, "core": 1, "related": 2}
 
@@ -58,8 +60,15 @@ def status_in(c: Column, spec: str) -> Column:
     return F.lower(F.when(S.text(c) == "", "-").otherwise(S.text(c))).isin(tokens(spec))
 
 
-def select(df: DataFrame, *, date_from="", date_to="", dois=None, uids=None, tier="", kind="", category="", modality="", entity="", species="", added_since="", has_fulltext=False, fulltext_status="", has_attachments=False, ext="", summary="", title="", text="", fulltext="", sort="", limit=0) -> DataFrame:
-    """The combined filter: all given conditions hold, a comma list is any of its tokens. Cheap conditions stand first."""
+def select(df: DataFrame, *, date_from="", date_to="", dois=None, uids=None, tier="", kind="", category="", modality="", entity="", species="", added_since="", has_fulltext=False, fulltext_status="", has_attachments=False, ext="", summary="", title="", text="", fulltext="", sort="", limit=0, summarise=None, texts="") -> DataFrame:
+    """The combined filter: all given conditions hold, a comma list is any of its tokens. Cheap conditions stand first.
+
+    What isn't in the rows is got late, for those that all other conditions left: summaries by summarise(rows), which gives them
+    summary and keywords, and full texts from the folder texts (`texts.write_texts`, with a column fulltext).
+    """
+    lazy = bool(summary) and "summary" not in df.columns
+    if lazy and summarise is None:
+        raise ValueError("the rows have no summary, and there is nothing to make one")
     c, where = F.col, []
     if date_from or date_to:
         where.append(in_window(c("date"), date_from, date_to))
@@ -85,32 +94,43 @@ def select(df: DataFrame, *, date_from="", date_to="", dois=None, uids=None, tie
         where.append(S.attachment_total(c("attachments")) > 0)
     if ext:
         where.append(F.arrays_overlap(S.attachment_exts(c("attachments")), F.array(*[F.lit(t.lstrip(".")) for t in tokens(ext)])))
-    if summary:
-        where.append(F.concat_ws(" ", S.text(c("summary")), S.text(c("keywords"))).rlike(valid_regex(summary)))
+    in_summary = F.concat_ws(" ", S.text(c("summary")), S.text(c("keywords"))).rlike(valid_regex(summary)) if summary else None
+    if summary and not lazy:
+        where.append(in_summary)
     if title:
         where.append(c("title").rlike(valid_regex(title)))
     if text:
         where.append(F.concat_ws(" ", *[S.text(c(n)) for n in ("title", "entities", "venue", "matched_groups", "details") if n in df.columns]).rlike(valid_regex(text)))
-    if fulltext:  # last: a column of texts, joined by the caller
-        where.append(S.text(c("fulltext")).rlike(valid_regex(fulltext)))
+    paths = [S.text(c(n)) != "" for n in ("fulltext_md", "fulltext_txt") if n in df.columns]
+    if fulltext and texts and paths:
+        where.append(reduce(lambda a, b: a | b, paths))
     out = reduce(lambda d, w: d.where(w), where, df)
+    if lazy:
+        out = summarise(out).where(in_summary)
     if fulltext:
-        out = out.withColumn("context", context(c("fulltext"), fulltext)).drop("fulltext")
+        out = join_late(out, texts) if texts else out
+        out = out.where(S.text(c("fulltext")).rlike(valid_regex(fulltext))).withColumn("context", context(c("fulltext"), fulltext)).drop("fulltext")
     if sort:
         if sort not in ("date", "title", "author", "cited_by"):
             raise ValueError("sort must be date, cited_by, title or author")
         text_key = lambda: [S.author_key(c("authors"), c("title"))] if sort == "author" else [S.text(c(sort))]
-        keys = {sort: [S.integer(c("cited_by")).desc()] if sort == "cited_by" else text_key()}
-        out = out.orderBy(*keys[sort], *([c("ord")] if "ord" in df.columns else [c("uid")]))
-    if limit < 0:
-        return out.limit(max(0, out.count() + limit))
+        order = [S.integer(c("cited_by")).desc()] if sort == "cited_by" else text_key()
+    else:
+        order = []
+    order += [c("ord")] if "ord" in df.columns else [c("uid")]
+    if limit < 0:  # all but the last ones
+        placed = running_number(out, order, "_place")
+        last = placed.agg(F.max("_place")).first()[0] or 0  # of a written table
+        return placed.filter(c("_place") <= last + limit).orderBy("_place").drop("_place")
+    out = out.orderBy(*order) if sort else out
     return out.limit(limit) if limit else out
 
 
 def context(c: Column, pattern: str, width: int = 80) -> Column:
-    """The first match of a pattern with width characters around it, white space squeezed."""
-    at = F.regexp_instr(c, F.lit(valid_regex(pattern)))
-    return F.when(at > 0, S.collapse(F.substring(c, F.greatest(at - width, F.lit(1)), F.lit(2 * width))))
+    """The first match of a pattern with width characters before and after it, white space squeezed."""
+    at, hit = F.regexp_instr(c, F.lit(valid_regex(pattern))), F.regexp_extract(c, valid_regex(pattern), 0)
+    first = F.greatest(at - width, F.lit(1))
+    return F.when(at > 0, S.collapse(F.substring(c, first, at + F.length(hit) + width - first)))
 
 
 # ---------------------------------------------------------------- resolution and merging

@@ -87,7 +87,7 @@ kept("filter_text", "regexp_matches(title || ' ' || entities || ' ' || venue ||
 
 
 @query("filter_fulltext_context", f"""WITH {PAPERS}, m AS (SELECT uid, abstract, regexp_extract(abstract, '(?i)[a-z]+tion[.]') AS hit FROM papers WHERE regexp_matches(abstract, '[a-z]+tion[.]', 'i'))
-    SELECT uid, trim(regexp_replace(substr(abstract, CAST(greatest(instr(abstract, hit) - 80, 1) AS BIGINT), 160), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS context FROM m""")
+    SELECT uid, trim(regexp_replace(substr(abstract, CAST(greatest(instr(abstract, hit) - 80, 1) AS BIGINT), CAST(instr(abstract, hit) + length(hit) + 80 - greatest(instr(abstract, hit) - 80, 1) AS BIGINT)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS context FROM m""")
 def _(spark, sf):
     return C.select(papers(spark, sf).withColumn("fulltext", F.col("abstract")), fulltext="[a-z]+tion[.]").select("uid", "context")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
 from quarrylark.operators import stored as T
 from quarrylark.plans.registry import query, table
+from quarrylark.sources import harvest
+from quarrylark.sources.io import write_text
 from quarrylark.storage import materialise, shared_folder
 
 DAYS = ("2024-05-01", "2024-05-02")
@@ -34,3 +37,46 @@ def _(spark, sf):
         return materialise(T.read(spark, name), "merged")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+# ---------------------------------------------------------------- a service by days
+
+#: Days of the three runs, by the share of the span of days that they leave behind.
+CLOCKS = "c AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events)"
+
+
+def staged_events(spark, sf):
+    """Folder of events as a service's answers: a row is indexed up to nine days after its own day."""
+    where = shared_folder(spark, "harvest")
+    e = table(spark, sf, "events").withColumn("d", F.to_date("ts"))
+    text = F.concat_ws(" ", "event_type", F.lit("by user"), F.col("user_id").cast("string"), F.lit("here"))
+    rows = e.select(F.col("event_id").cast("string").alias("id"), F.col("d").cast("string").alias("day"), text.alias("text"), F.col("value").cast("string").alias("value"), F.date_add("d", (F.col("event_id") % 10).cast("int")).cast("string").alias("indexed"))
+    rows.write.parquet(f"{where}/rows")
+    return where, e.agg(F.min("d"), F.max("d")).first()
+
+
+@query("harvest_pushed", f"""WITH {CLOCKS} SELECT event_id AS id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events, c WHERE CAST(ts AS DATE) > lo + 3 AND CAST(ts AS DATE) <= lo + 9 AND contains(event_type || ' by user ' || user_id || ' here', 'k by user 1')""")
+def _(spark, sf):
+    where, (lo, _) = staged_events(spark, sf)
+    harvest.register(spark)
+    after = lambda n: (lo + dt.timedelta(days=n)).isoformat()
+    test = (F.col("day") > after(3)) & (F.col("day") <= after(9)) & F.col("text").contains("k by user 1")
+    got = harvest.ask(spark, test, staged=f"{where}/rows", cap="2000", columns="id,day,text")
+    return got.select(F.col("id").cast("long").alias("id"), "day")
+
+
+@query("harvest_runs", f"""WITH {CLOCKS} SELECT event_id AS id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events, c WHERE CAST(ts AS DATE) + CAST(event_id % 10 AS INTEGER) <= hi - 2""")
+def _(spark, sf):
+    """Three runs of one stream, each on a later day of the service; the offset is Spark's."""
+    where, (lo, hi) = staged_events(spark, sf)
+    harvest.register(spark)
+    span = (hi - lo).days
+    for today in (lo + dt.timedelta(days=span // 3), lo + dt.timedelta(days=2 * span // 3), hi - dt.timedelta(days=2)):
+        write_text(spark, f"{where}/clock", today.isoformat())
+        stream = spark.readStream.format("harvest").options(staged=f"{where}/rows", clock=f"{where}/clock", cap="5000", **{"from": lo.isoformat()}).load()
+        run = harvest.once(stream).writeStream.format("parquet").option("checkpointLocation", f"{where}/state").start(f"{where}/found")
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+    return spark.read.schema(", ".join(f"{c} string" for c in harvest.COLUMNS)).parquet(f"{where}/found").select(F.col("id").cast("long").alias("id"), "day")

@@ -12,6 +12,7 @@ from quarrylark.plans.registry import query, table
 from quarrylark.sources import harvest
 from quarrylark.sources.io import write_text
 from quarrylark.storage import materialise, shared_folder
+from quarrylark.streaming import retries
 
 DAYS = ("2024-05-01", "2024-05-02")
 STORED = f"""old AS (SELECT doc_id AS uid, lang AS title, '2024-01-01' AS added_on, 'note ' || source AS notes, '' AS status FROM documents WHERE doc_id % 10 < 7),
@@ -80,3 +81,32 @@ def _(spark, sf):
         finally:
             run.stop()
     return spark.read.schema(", ".join(f"{c} string" for c in harvest.COLUMNS)).parquet(f"{where}/found").select(F.col("id").cast("long").alias("id"), "day")
+
+
+# ---------------------------------------------------------------- what is to be tried again
+
+#: Results of attempts, by event.
+RESULTS = ["ok", "partial", "deferred", "none", "none", "removed", "error"]
+
+
+@query("retry_stream", f"""WITH a AS (SELECT user_id, ts, ['{"', '".join(RESULTS)}'][event_id % 7 + 1] AS status FROM events WHERE event_id % 20 < 6),
+    last AS (SELECT user_id, max_by(status, (ts, status)) AS status, max(ts) AS ts FROM a GROUP BY 1), today AS (SELECT CAST(max(ts) AS DATE) AS day FROM a)
+    SELECT 'user:' || user_id AS uid, status, status IN ('partial', 'deferred', 'error') OR (status = 'none' AND CAST(ts AS DATE) + 2 < day) AS due FROM last, today""")
+def _(spark, sf):
+    """Events as attempts, replayed in three batches with timers of two days."""
+    where = shared_folder(spark, "retries")
+    k = F.col("event_id")
+    status = F.element_at(F.array(*[F.lit(s) for s in RESULTS]), (k % 7 + 1).cast("int"))
+    a = table(spark, sf, "events").filter(k % 20 < 6).select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("uid"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    lo, hi = a.agg(F.min("ts").cast("timestamp_ntz"), F.max("ts").cast("timestamp_ntz")).first()
+    cuts = [lo + (hi - lo) * i / 3 for i in (1, 2)]
+    at = F.col("ts").cast("timestamp_ntz")
+    for part in (at < F.lit(cuts[0]), (at >= F.lit(cuts[0])) & (at < F.lit(cuts[1])), at >= F.lit(cuts[1])):
+        a.filter(part).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(a.schema).parquet(f"{where}/in")
+        run = retries.transitions(stream, 2).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{where}/state").start(f"{where}/out")
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+    return retries.standing(spark.read.parquet(f"{where}/out"))

@@ -7,14 +7,17 @@ column that isn't there counts as empty. Authors are one comma-separated string,
 from __future__ import annotations
 
 import json
+import textwrap
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.functions.scalars import text
 from quarrylark.operators.ordering import running_number, running_within
+from quarrylark.sources.onefile import write_file
 
 FIELDS = ["uid", "resource_type", "date", "year", "authors", "title", "venue", "volume", "issue", "pages", "doi", "pmid", "url"]
 
@@ -353,24 +356,29 @@ def render(df: DataFrame, code: str, order: list, numbered: bool = True) -> Data
 ENDINGS = {"APA": ".apa.txt", "AMA": ".ama.txt", "MLA": ".mla.txt", "CHI": ".chi.txt", "HAR": ".har.txt", "VAN": ".van.txt", "IEE": ".iee.txt", "NAT": ".nat.txt", "BIB": ".bib", "RIS": ".ris", "ENW": ".enw", "CSL": ".json"}
 
 
-def reference_text(df: DataFrame, code: str, order: list) -> str:
-    """One file's text of a list of references, in order; the rows come to the driver one partition after another."""
-    rows = [r.text for r in render(df, code, order).orderBy("n").select("text").toLocalIterator()]
-    if code == "CSL":
-        return json.dumps([json.loads(x) for x in rows], indent=2, ensure_ascii=False, sort_keys=True) + "\n"
-    return separator(code).join(rows) + "\n" if rows else ""
+def pretty(c: Column) -> Column:
+    """A JSON object as it stands in an indented list, in Arrow batches."""
+
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([textwrap.indent(json.dumps(json.loads(s), indent=2, ensure_ascii=False, sort_keys=True), "  ") for s in x.to_pylist()], pa.string())
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")(c)
 
 
 def write_references(df: DataFrame, codes_: list[str], path: str, order: list) -> list[str]:
-    """A file for each format: the given name where it is one format and has an ending, else the name with the format's ending."""
-    fs = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    """A file for each format: the given name where it is one format and has an ending, else the name with the format's ending.
+
+    Each file is written by many tasks at once, in order; no reference comes to the driver.
+    """
     out, named = [], "." in path.rpartition("/")[2]
     for code in codes_:
         target = path if len(codes_) == 1 and named else path + ENDINGS[code]
-        where = fs.Path(target)
-        stream = where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-        stream.write(bytearray(reference_text(df, code, order).encode()))
-        stream.close()
+        rows = render(df, code, order)
+        if code == "CSL":
+            write_file(rows, target, ["n"], pretty(F.col("text")), separator(code), "[\n", "\n]\n", "[]\n")
+        else:
+            write_file(rows, target, ["n"], F.col("text"), separator(code))
         out.append(target)
     return out
 

@@ -30,7 +30,7 @@ from quarrylark.operators import snapshots as Z
 from quarrylark.plans.references import CITED, SQL, cited
 from quarrylark.plans.registry import TODAY, query, table
 from quarrylark.sources import config as Y
-from quarrylark.sources import io, lookups, records, search
+from quarrylark.sources import io, lookups, onefile, records, search
 from quarrylark.storage import shared_folder as scratch
 
 COLUMNS = {
@@ -762,21 +762,36 @@ def _(spark, sf):
 
 @query("uid_file", f"WITH {PAPERS} SELECT 'doi:' || doi AS uid FROM papers WHERE doi <> ''")
 def _(spark, sf):
-    where = scratch(spark, "uids")
-    io.write_csv(papers(spark, sf).coalesce(1).select(F.when(F.col("doi") == "", "not-a-doi").otherwise(F.concat(F.lit("https://doi.org/"), "doi")).alias("doi"), F.lit("a, b").alias("title")), where)
+    where = scratch(spark, "uids") + "/list.csv"
+    rows = papers(spark, sf).select("uid", F.when(F.col("doi") == "", "not-a-doi").otherwise(F.concat(F.lit("https://doi.org/"), "doi")).alias("doi"), F.lit("a, b").alias("title"))
+    onefile.write_csv_file(rows.select("doi", "title"), where, ["doi"])
     return io.uid_list(spark, where)
 
 
+@query("csv_one_file", f"""WITH {PAPERS}, q AS (SELECT uid, [CASE WHEN regexp_matches(title, '[",\r\n]') THEN '"' || replace(title, '"', '""') || '"' ELSE title END,
+        CASE WHEN regexp_matches(abstract, '[",\r\n]') THEN '"' || replace(abstract, '"', '""') || '"' ELSE abstract END] AS f FROM papers),
+    t AS (SELECT 'uid,title,abstract' || chr(13) || chr(10) || string_agg(uid || ',' || f[1] || ',' || f[2], chr(13) || chr(10) ORDER BY uid) || chr(13) || chr(10) AS t FROM q)
+    SELECT line, count(*) AS n, max(strlen(t)) AS bytes FROM (SELECT unnest(string_split(t, chr(10))) AS line, t FROM t) WHERE line <> '' GROUP BY 1""")
+def _(spark, sf):
+    where = scratch(spark, "csv") + "/all.csv"
+    onefile.write_csv_file(papers(spark, sf).select("uid", "title", "abstract"), where, ["uid"])
+    lines = spark.read.option("lineSep", "\n").text(where).select(F.col("value").alias("line"), F.col("_metadata.file_size").alias("size"))
+    return lines.filter("line <> ''").groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("bytes"))
+
+
 typed("csv_bytes", [("a,b,c\r\nplain,\"x,y\",\"say \"\"hi\"\"\"\r\n",)], "text string", lambda: [(io.csv_text(["a", "b", "c"], [{"a": "plain", "b": "x,y", "c": 'say "hi"', "z": 1}]),)])
 typed("json_stats", [('{\n  "rows": 3,\n  "é": null\n}',)], "text string", lambda: [(io.stats_json({"rows": 3, "é": None}),)])
 typed("markdown_cells", [("| a | b |\n| --- | --- |\n| x\\|y | l1 l2 |\n",)], "text string", lambda: [(io.markdown_table(["a", "b"], [("x|y", "l1\nl2")]),)])
 
 
-@query("reference_file", f"WITH {CITED} SELECT string_agg(place || '. ' || text, chr(10) ORDER BY place) || chr(10) AS text FROM (SELECT row_number() OVER (ORDER BY date, uid) AS place, {SQL['VAN'].replace('n = ', 's_n = ').replace('n > ', 's_n > ').replace('n-1', 's_n-1')} AS text FROM (SELECT *, n AS s_n FROM s WHERE k <= 400))")
+@query("reference_file", f"""WITH {CITED}, r AS (SELECT row_number() OVER (ORDER BY date, uid) AS place, {SQL['VAN'].replace('n = ', 's_n = ').replace('n > ', 's_n > ').replace('n-1', 's_n-1')} AS text FROM (SELECT *, n AS s_n FROM s)),
+    t AS (SELECT string_agg(place || '. ' || text, chr(10) ORDER BY place) || chr(10) AS t FROM r) SELECT line, count(*) AS n, max(strlen(t)) AS bytes FROM (SELECT unnest(string_split(t, chr(10))) AS line, t FROM t) WHERE line <> '' GROUP BY 1""")
 def _(spark, sf):
+    """Lines of the file of all orders, which carry their places, with the file's size."""
     where = scratch(spark, "refs")
-    (path,) = R.write_references(cited(spark, sf).filter("o_orderkey <= 400"), ["VAN"], f"{where}/list", ["date", "uid"])
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    (path,) = R.write_references(cited(spark, sf), ["VAN"], f"{where}/list", ["date", "uid"])
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_size").alias("size"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("bytes"))
 
 
 @query("manifest_seeds", "SELECT '10.1234/d' || doc_id AS doi, CASE WHEN lang = 'en' THEN 'methods_reference' ELSE 'methods_other' END AS role, '[' || lang || '] T | Q' || doc_id AS context FROM documents")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 
 def parse(words: list[str], spec: dict[str, tuple]) -> dict:
     """Options by name with _ for -; spec: name to (default, str, int or bool). What isn't known or typed is an error."""
@@ -26,46 +24,3 @@ def parse(words: list[str], spec: dict[str, tuple]) -> dict:
         except ValueError:
             raise ValueError(f"--{name} is a whole number, not {value!r}") from None
     return {n.replace("-", "_"): v for n, v in out.items()}
-
-
-def attempt(f: Callable[[], str]) -> str:
-    """f(), or 'error' where it refuses its input."""
-    try:
-        return f()
-    except ValueError:
-        return "error"
-
-
-def waits() -> list[tuple[str, str]]:
-    """What the patient client does with four services: the waits, and how it ends."""
-    from quarrylark.sources.search import Busy, GivenUp, patient
-
-    def tell(times: int, seconds: float | None) -> str:
-        left, slept = [times], []
-
-        def call():
-            if left[0]:
-                left[0] -= 1
-                raise Busy(seconds)
-            return "done"
-
-        try:
-            end = patient(call, sleep=lambda s: slept.append(float(s)))
-        except GivenUp:
-            end = "given up"
-        return " ".join([*map(str, slept), end])
-
-    return [("busy 3 times", tell(3, None)), ("asked for 30 s", tell(1, 30.0)), ("asked for 700 s", tell(1, 700.0)), ("always busy", tell(99, None))]
-
-
-def paced() -> list[tuple[str, float]]:
-    """Seconds that requests wait for their host, by a clock of half seconds."""
-    from quarrylark.sources.search import Pace
-
-    now = [0.0]
-    pace = Pace(2.0, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
-    out = []
-    for host, step in (("a", 0.0), ("b", 0.5), ("a", 0.0), ("a", 0.0), ("b", 0.5)):
-        now[0] += step
-        out.append((host, pace.wait(host)))
-    return out

@@ -12,7 +12,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylark.functions import flags as G
 from quarrylark.functions import scalars as S
 from quarrylark.functions import terms as T
 from quarrylark.operators import articles as X
@@ -30,7 +29,7 @@ from quarrylark.operators import snapshots as Z
 from quarrylark.plans.references import CITED, SQL, cited
 from quarrylark.plans.registry import TODAY, query, table
 from quarrylark.sources import config as Y
-from quarrylark.sources import io, lookups, onefile, records, search
+from quarrylark.sources import io, lookups, onefile, records
 from quarrylark.storage import shared_folder as scratch
 
 COLUMNS = {
@@ -56,14 +55,6 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").selectExpr(*[f"{e} AS {n}" for n, e in COLUMNS.items()])
 
 
-def typed(name: str, rows: list[tuple], columns: str, made) -> None:
-    """A query of driver rules: what `made()` gives, against typed rows."""
-    names = [c.split()[0] for c in columns.split(", ")]
-    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    sql = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") v({', '.join(names)})"
-    query(name, sql)(lambda spark, sf: spark.createDataFrame(made(), columns))
-
-
 def kept(name: str, where: str, **conditions) -> None:
     """A query of one filter of the combined selection."""
     query(name, f"WITH {PAPERS} SELECT uid FROM papers WHERE {where}")(lambda spark, sf: C.select(papers(spark, sf), **conditions).select("uid"))
@@ -135,25 +126,7 @@ def _(spark, sf):
     return L.pick(listed(spark, sf), name="figure 2|f1[.]n", status="all").select("uid", "file")
 
 
-# ---------------------------------------------------------------- driver rules against typed rows
-
-typed("topic_parse", [('a b, "c d" & e', "a+b|c d+e"), ("graph neural networks OR GNN", "graph+neural+networks|GNN"), ("dup, dup", "dup"), ("", "")], "topic string, terms string",
-      lambda: [(t, "|".join("+".join(x) for x in T.parse_topic(t))) for t in ('a b, "c d" & e', "graph neural networks OR GNN", "dup, dup", "")])
-typed("topic_syntax", [("pubmed", '("CRISPR"[tiab] AND "base editing"[tiab])'), ("europepmc", '(TITLE_ABS:"CRISPR" AND TITLE_ABS:"base editing")'), ("arxiv", '((ti:"CRISPR" OR abs:"CRISPR") AND (ti:"base editing" OR abs:"base editing"))'), ("openalex", '(CRISPR AND "base editing")'), ("github", '"CRISPR" "base editing"')],
-      "source string, query string", lambda: [(s, T.compiled(("CRISPR", "base editing"), s)) for s in T.SYNTAX])
-typed("group_query", [("europepmc", '(TITLE_ABS:"a" OR (TITLE_ABS:"b" AND TITLE_ABS:"c d")) AND (TITLE_ABS:"human")')], "source string, query string",
-      lambda: [("europepmc", T.group_query(T.parse_topic('a, b & "c d"'), T.parse_topic("human"), "europepmc"))])
-typed("date_spec", [("2024", "2024-12-31"), ("2024-02", "2024-02-29"), ("2024-03-15", "2024-03-15"), ("2w", "2024-03-17"), ("1m", "2024-02-29"), ("1y", "2023-03-31"), ("today", "2024-03-31"), ("2024-13", "error"), ("5x", "error")],
-      "spec string, day string", lambda: [(s, G.attempt(lambda s=s: S.parse_date(s, end=True, today=dt.date(2024, 3, 31)))) for s in ("2024", "2024-02", "2024-03-15", "2w", "1m", "1y", "today", "2024-13", "5x")])
-typed("flag_grammar", [("--limit=5 --out x.csv --dry-run", "5 x.csv True"), ("--out=a", "50 a False"), ("--limit abc", "error"), ("--bogus", "error"), ("stray", "error"), ("--out", "error"), ("--dry-run=false", "50  False")],
-      "line string, got string", lambda: [(x, G.attempt(lambda x=x: " ".join(str(v) for v in G.parse(x.split(), {"limit": (50, int), "out": ("", str), "dry-run": (False, bool)}).values()))) for x in ("--limit=5 --out x.csv --dry-run", "--out=a", "--limit abc", "--bogus", "stray", "--out", "--dry-run=false")])
-typed("format_codes", [("apa, bibtex,APA", "APA,BIB"), ("json,ieee", "CSL,IEE"), ("XYZ", "error")], "spec string, codes string", lambda: [(s, G.attempt(lambda s=s: ",".join(R.codes(s)))) for s in ("apa, bibtex,APA", "json,ieee", "XYZ")])
-typed("window_split", [("2024-01-01", "2024-01-01"), ("2024-01-02", "2024-01-02"), ("2024-01-03", "2024-01-04")], "lo string, hi string", lambda: search.split_window(lambda lo, hi: 4 * ((dt.date.fromisoformat(hi) - dt.date.fromisoformat(lo)).days + 1) if lo < "2024-01-03" else 3, "2024-01-01", "2024-01-04", 6))
-typed("resume_offset", [("2024-03-15", "2024-03-01"), ("2024-01-05", "2024-01-01"), ("", "2024-01-01")], "last string, start string", lambda: [(x, search.resume_from(x, "2024-01-01")) for x in ("2024-03-15", "2024-01-05", "")])
-typed("window_extend", [("2005-01-01", "2005-01-01"), ("2015-01-01", "2011-01-01"), ("", "2011-01-01")], "asked string, start string", lambda: [(x, U.earlier_start("2011-01-01", x)) for x in ("2005-01-01", "2015-01-01", "")])
-typed("vocabulary_expand", [("all", "landmark,core,related"), ("main,related", "landmark,core,related"), ("core,core", "core"), ("nope", "error")], "spec string, names string",
-      lambda: [(s, G.attempt(lambda s=s: ",".join(U.expand(s, ["landmark", "core", "related"], {"main": ["landmark", "core"]})))) for s in ("all", "main,related", "core,core", "nope")])
-typed("back_off", [("busy 3 times", "2.0 4.0 8.0 done"), ("asked for 30 s", "30.0 done"), ("asked for 700 s", "given up"), ("always busy", "2.0 4.0 8.0 16.0 32.0 given up")], "service string, waits string", lambda: G.waits())
+# ---------------------------------------------------------------- terms
 
 
 @query("term_match_strict", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{M}\p{Nd}\p{Pc}-])the and([^\p{L}\p{M}\p{Nd}\p{Pc}-]|$)', 'i')")
@@ -779,11 +752,6 @@ def _(spark, sf):
     return lines.filter("line <> ''").groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("bytes"))
 
 
-typed("csv_bytes", [("a,b,c\r\nplain,\"x,y\",\"say \"\"hi\"\"\"\r\n",)], "text string", lambda: [(io.csv_text(["a", "b", "c"], [{"a": "plain", "b": "x,y", "c": 'say "hi"', "z": 1}]),)])
-typed("json_stats", [('{\n  "rows": 3,\n  "é": null\n}',)], "text string", lambda: [(io.stats_json({"rows": 3, "é": None}),)])
-typed("markdown_cells", [("| a | b |\n| --- | --- |\n| x\\|y | l1 l2 |\n",)], "text string", lambda: [(io.markdown_table(["a", "b"], [("x|y", "l1\nl2")]),)])
-
-
 @query("reference_file", f"""WITH {CITED}, r AS (SELECT row_number() OVER (ORDER BY date, uid) AS place, {SQL['VAN'].replace('n = ', 's_n = ').replace('n > ', 's_n > ').replace('n-1', 's_n-1')} AS text FROM (SELECT *, n AS s_n FROM s)),
     t AS (SELECT string_agg(place || '. ' || text, chr(10) ORDER BY place) || chr(10) AS t FROM r) SELECT line, count(*) AS n, max(strlen(t)) AS bytes FROM (SELECT unnest(string_split(t, chr(10))) AS line, t FROM t) WHERE line <> '' GROUP BY 1""")
 def _(spark, sf):
@@ -801,13 +769,6 @@ def _(spark, sf):
     return Y.manifest_seeds(d, "repo", "repo/literature/manifest_methods.tsv", "methods_reference", "^en$").select("doi", "role", "context")
 
 
-@query("registry_seeds", "SELECT * FROM (VALUES ('10.1234/a', 'one', '2013', 'registry_origin'), ('10.1234/b', 'two', '', 'registry_origin')) v(doi, registry_id, registry_year, role)")
-def _(spark, sf):
-    where = scratch(spark, "registry") + "/clocks.json"
-    io.write_text(spark, where, '{"entries": {"one": {"doi": "https://doi.org/10.1234/A", "year": 2013}, "two": {"doi": "10.1234/b"}, "three": {"name": "no doi"}}}')
-    return Y.registry_seeds(spark, Y.document(spark, where), "repo", "clocks").select("doi", "registry_id", "registry_year", "role")
-
-
 @query("rules_from_file", f"WITH {PAPERS} SELECT uid, CASE WHEN regexp_matches(title, '^the', 'i') THEN 'titled' ELSE 'rest' END AS category FROM papers")
 def _(spark, sf):
     where = scratch(spark, "rules") + "/config.json"
@@ -847,9 +808,6 @@ def _(spark, sf):
     return M.body_size(table(spark, sf, "pages").select("page_id", spans.alias("s")).select("page_id", "s.*"), "page_id")
 
 
-typed("host_pace", [("a", 0.0), ("b", 0.0), ("a", 1.5), ("a", 2.0), ("b", 0.0)], "host string, slept double", lambda: G.paced())
-
-
 @query("candidate_sites", f"""WITH {FOUND}, w AS (SELECT uid, 'site' || uid % 50 || '.org' AS domain, 'https://site' || uid % 50 || '.org/p' AS url FROM t)
     SELECT domain, count(*) AS n_papers, 1 AS n_urls, any_value(url) AS top_url, array_to_string(list_transform(list_sort(list(uid))[1:5], lambda x: CAST(x AS VARCHAR)), '; ') AS example_papers FROM w GROUP BY 1""")
 def _(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylark.operators import catalogue as C
 from quarrylark.operators import overview as O
+from quarrylark.operators import postings as P
 from quarrylark.operators import texts as X
 from quarrylark.plans.coverage import PAPERS, papers
 from quarrylark.plans.registry import TODAY, query, table
@@ -44,3 +45,11 @@ def _(spark, sf):
 @query("limit_without_last", f"WITH {PAPERS} SELECT uid FROM papers QUALIFY row_number() OVER (ORDER BY CAST(cited_by AS INTEGER) DESC, uid) <= (SELECT count(*) FROM papers) - 25")
 def _(spark, sf):
     return C.select(papers(spark, sf), sort="cited_by", limit=-25).select("uid")
+
+
+@query("search_indexed", "SELECT doc_id FROM documents WHERE contains(lower(text), 'ung') AND contains(lower(text), 'die') AND contains(lower(text), 'ver,')")
+def _(spark, sf):
+    """Three words, as parts, over the whole texts by way of the index."""
+    where = shared_folder(spark, "index")
+    P.build(table(spark, sf, "documents"), where, "doc_id", ["text"], buckets=16)
+    return P.search(spark, where, "die VER, ung", "doc_id")

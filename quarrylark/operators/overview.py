@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylark.functions import scalars as S
 from quarrylark.operators.catalogue import due
+from quarrylark.operators.postings import search as find
 from quarrylark.sources.io import markdown_table
 
 SUMMARY_MAX = 2000
@@ -143,6 +144,36 @@ def search(df: DataFrame, words: str, columns: list[str], **equal: str) -> DataF
     return df
 
 
+#: Columns that the report's words are looked for in.
+SEARCHED = ["title", "authors", "venue", "doi", "summary", "keywords", "fulltext_reason", "uid", "entities", "category"]
+
+
+def chosen(df: DataFrame, words: str = "", kind: str = "", tier: str = "", fulltext: str = "", year_from: int = 0, year_to: int = 0, attachments: bool = False, new_on: str = "", index: str = "", key: str = "uid") -> DataFrame:
+    """Rows by the report's selectors: all words, type, tier, full-text status ('not tried' is none), years, attachments that are there, added on a day.
+
+    A bound of years leaves out rows without a year. With an index of the searched columns (`postings.build`) only its matching
+    postings are read for the words, and no row's text.
+    """
+    c, where = F.col, []
+    year = F.regexp_extract(F.coalesce(F.nullif(S.text(c("year")), F.lit("")), F.substring(S.text(c("date")), 1, 4)), r"^\s*([+-]?\d+)", 1).try_cast("int")
+    where += [c(n) == v for n, v in (("resource_type", kind), ("tier", tier)) if v]
+    if fulltext:
+        where.append(F.coalesce(F.nullif(S.text(c("fulltext_status")), F.lit("")), F.lit("not tried")) == fulltext)
+    where += [year >= year_from] if year_from else []
+    where += [year <= year_to] if year_to else []
+    if attachments:
+        where.append(S.text(c("attachments")).rlike(r"^\d+/[1-9]"))
+    if new_on:
+        where.append(c("added_on") == new_on)
+    for w in where:
+        df = df.filter(w)
+    if not words.split():
+        return df
+    if index:
+        return df.join(find(df.sparkSession, index, words, "_found"), c(key) == c("_found"), "left_semi")
+    return search(df, words, [x for x in SEARCHED if x in df.columns])
+
+
 PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title><h1>{title}</h1><input id="q" placeholder="all these words"><p id="n"></p><p><button id="back">back</button> <span id="p"></span> <button id="next">next</button></p><table id="t"></table>
 <script type="application/octet-stream" id="data">{data}</script>
 <script>

@@ -10,6 +10,7 @@ from quarrylark.operators import postings as P
 from quarrylark.operators import texts as X
 from quarrylark.plans.coverage import PAPERS, papers
 from quarrylark.plans.registry import TODAY, query, table
+from quarrylark.sources import onefile
 from quarrylark.storage import shared_folder
 
 UID = "'doc:' || doc_id"
@@ -53,3 +54,34 @@ def _(spark, sf):
     where = shared_folder(spark, "index")
     P.build(table(spark, sf, "documents"), where, "doc_id", ["text"], buckets=16)
     return P.search(spark, where, "die VER, ung", "doc_id")
+
+
+CHOSEN = "tier = 'core' AND resource_type = 'review' AND fulltext_status = 'partial' AND CAST(year AS INTEGER) BETWEEN 2012 AND 2021 AND regexp_matches(attachments, '^\\d+/[1-9]')"
+
+
+@query("report_selectors", f"WITH {PAPERS} SELECT uid FROM papers WHERE {CHOSEN} UNION ALL SELECT uid FROM papers WHERE fulltext_status = '' AND added_on = '2024-05-15'")
+def _(spark, sf):
+    p = papers(spark, sf)
+    one = O.chosen(p, kind="review", tier="core", fulltext="partial", year_from=2012, year_to=2021, attachments=True)
+    return one.select("uid").unionByName(O.chosen(p, fulltext="not tried", new_on="2024-05-15").select("uid"))
+
+
+@query("report_words_indexed", f"""WITH {PAPERS}, j AS (SELECT k, tier, lower(concat_ws(' ', title, authors, venue, doi, summary, keywords, uid, entities)) AS s FROM papers)
+    SELECT k FROM j WHERE tier = 'related' AND contains(s, 'src') AND contains(s, 'zed') AND contains(s, 'the')""")
+def _(spark, sf):
+    """The same words by the index of the report's columns."""
+    where, p = shared_folder(spark, "report"), papers(spark, sf)
+    P.build(p, where, "k", [x for x in O.SEARCHED if x in p.columns], buckets=16)
+    return O.chosen(p, "SRC zed the", tier="related", index=where, key="k").select("k")
+
+
+@query("report_csv", f"""WITH {PAPERS}, q AS (SELECT date, uid, CASE WHEN regexp_matches(title, '[",\\n\\r]') THEN '"' || replace(title, '"', '""') || '"' ELSE title END AS title FROM papers WHERE tier = 'core'),
+    t AS (SELECT 'uid,title' || chr(13) || chr(10) || string_agg(uid || ',' || title, chr(13) || chr(10) ORDER BY date DESC, uid) || chr(13) || chr(10) AS t FROM q)
+    SELECT line, count(*) AS n, max(strlen(t)) AS bytes FROM (SELECT unnest(string_split(t, chr(13) || chr(10))) AS line, t FROM t) WHERE line <> '' GROUP BY 1""")
+def _(spark, sf):
+    """The chosen rows as one CSV file, in the report's order."""
+    where = shared_folder(spark, "report") + "/rows.csv"
+    rows = O.chosen(papers(spark, sf), tier="core")
+    onefile.write_file(rows, where, [F.desc("date"), F.col("uid")], onefile.csv_line(["uid", "title"]), "\r\n", "uid,title\r\n", "\r\n", "uid,title\r\n")
+    lines = spark.read.option("lineSep", "\r\n").text(where).select(F.col("value").alias("line"), F.col("_metadata.file_size").alias("size"))
+    return lines.filter("line <> ''").groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("bytes"))

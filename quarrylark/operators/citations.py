@@ -6,7 +6,9 @@ column that isn't there counts as empty. Authors are one comma-separated string,
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import textwrap
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -102,47 +104,75 @@ def author_line(c: Column) -> Column:
     return squeezed(F.regexp_replace(F.trim(text(c)), r"\.+$", ""))
 
 
-def authors(c: Column, line: Column | None = None, some: Column | None = None) -> Column:
-    """array of (family, initials array, literal flag); collective names and single words are literal.
+#: Family, initials, and whether the name stands as it is.
+PEOPLE = "array<struct<family:string,initials:array<string>,literal:boolean>>"
+ET_AL = ("et al", "et al.")
+_collective, _written = re.compile(COLLECTIVE_NAME), re.compile("[A-Z]{1,4}")
 
-    line is author_line(c) and some says whether it has a collective name at all: as columns they are computed once and
-    not for every name.
-    """
-    line = author_line(c) if line is None else line
-    some = F.lit(True) if some is None else some
-
-    def one(x):
-        last = F.substring_index(x, " ", -1)
-        written = (last != x) & last.rlike("^[A-Z]{1,4}$")
-        family = F.when(written, F.substr(x, F.lit(1), F.length(x) - F.length(last) - 1)).otherwise("")
-        short = F.split(last, "")
-        words = F.split(x, " ")
-        fore = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1)))
-        pieces = F.filter(F.transform(F.flatten(F.transform(fore, lambda w: F.split(w, "-"))), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
-        long = F.transform(pieces, lambda w: F.upper(F.substring(w, 1, 1)))
-        literal = F.when(some, x.rlike(COLLECTIVE_NAME)).otherwise(False) | ((family == "") & (F.size(words) == 1))
-        return F.struct(
-            F.when(literal, x).when(family != "", family).otherwise(F.element_at(words, -1)).alias("family"),
-            F.when(literal, F.array().cast("array<string>")).when(family != "", F.filter(short, lambda i: i != "")).otherwise(long).alias("initials"),
-            literal.alias("literal"),
-        )
-
-    names = F.transform(F.split(line, ",", -1), lambda x: F.trim(x))
-    return F.transform(F.filter(names, lambda x: (x != "") & ~F.lower(x).isin("et al", "et al.")), one)
+
+@functools.lru_cache(1 << 16)
+def parsed(name: str) -> tuple[str, tuple[str, ...], bool]:
+    """Family, initials and literal flag of one name: 'Family AB', or 'Given Other Family'; collective names and single words are literal."""
+    rest, _, last = name.rpartition(" ")
+    written = bool(rest) and _written.fullmatch(last)
+    words = name.split(" ")
+    if _collective.search(name) or (len(words) == 1 and not written):
+        return name, (), True
+    if written:
+        return rest, tuple(last), False
+    given_names = (p.strip(".") for w in words[:-1] for p in w.split("-"))
+    return last, tuple(p[0].upper() for p in given_names if p), False
+
+
+def names_of(line: str | None) -> list[str]:
+    names = (x.strip(" ") for x in (line or "").split(","))
+    return [x for x in names if x and x.lower() not in ET_AL]
+
+
+def batched(of: Callable[[str], object], kind: pa.DataType, name: str) -> Callable[[Column], Column]:
+    """A function of one author line as a column function over Arrow batches."""
+
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([of(s) for s in x.to_pylist()], kind)
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, name)
+
+
+def authors(c: Column) -> Column:
+    """array of (family, initials, literal). Names are read once in a batch function: as column expressions they were interpreted one by one."""
+    kind = pa.list_(pa.struct([("family", pa.string()), ("initials", pa.list_(pa.string())), ("literal", pa.bool_())]))
+    as_rows = lambda s: [{"family": f, "initials": list(i), "literal": b} for f, i, b in map(parsed, names_of(s))]
+    return batched(as_rows, kind, PEOPLE)(author_line(c))
+
+
+def author_list(c: Column, code: str) -> Column:
+    """The authors as a style lists them."""
+    return batched(lambda s: LISTS[code].of([_shown(code, not i, x) for i, x in enumerate(names_of(s))]), pa.string(), "string")(author_line(c))
+
+
+@functools.lru_cache(1 << 17)
+def _shown(code: str, first: bool, name: str) -> str:
+    """A name as a style writes it; names come again and again."""
+    style = LISTS[code]
+    return (style.first if first else style.others)(parsed(name))
 
 
 def dots(a: Column, sep: str) -> Column:
     return F.array_join(F.transform(a["initials"], lambda i: F.concat(i, F.lit("."))), sep)
 
 
-def _with_initials(build: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda a: F.when(F.size(a["initials"]) == 0, a["family"]).otherwise(build(a))
+def inverted(a: Column) -> Column:
+    """Family, then initials, of an author in a column."""
+    return F.when(F.size(a["initials"]) == 0, a["family"]).otherwise(F.concat(a["family"], F.lit(", "), dots(a, " ")))
+
 
+def form(pattern: str, between: str = " ", dot: str = ".") -> Callable[[tuple], str]:
+    """How a name is written: the pattern of family (f) and initials (i), a dot after each initial, and what stands between them."""
+    return lambda a: pattern.format(f=a[0], i=between.join(x + dot for x in a[1])) if a[1] else a[0]
 
-inverted = _with_initials(lambda a: F.concat(a["family"], F.lit(", "), dots(a, " ")))
-inverted_tight = _with_initials(lambda a: F.concat(a["family"], F.lit(", "), dots(a, "")))
-compact = _with_initials(lambda a: F.concat(a["family"], F.lit(" "), F.array_join(a["initials"], "")))
-forward = _with_initials(lambda a: F.concat(dots(a, " "), F.lit(" "), a["family"]))
+
+LAST_FIRST, LAST_FIRST_TIGHT, LAST_BARE, FIRST_LAST = form("{f}, {i}"), form("{f}, {i}", ""), form("{f} {i}", "", ""), form("{i} {f}")
 
 
 @dataclass(frozen=True)
@@ -150,8 +180,8 @@ class AuthorList:
     """How a style lists authors: forms of the first and the others, what stands before the last of two and of more, how
     many are listed whole, and what a longer list shows: its first `cut` names and a tail."""
 
-    first: Callable[[Column], Column]
-    others: Callable[[Column], Column]
+    first: Callable[[tuple], str]
+    others: Callable[[tuple], str]
     two: str
     more: str
     whole: int
@@ -159,30 +189,24 @@ class AuthorList:
     tail: str
     last_after_tail: bool = False
 
-    def names(self, a: Column) -> Column:
-        """Every author as the style writes it."""
-        if self.first is self.others:
-            return F.transform(a, self.first)
-        return F.transform(a, lambda x, i: F.when(i == 0, self.first(x)).otherwise(self.others(x)))
-
-    def of(self, names: Column) -> Column:
-        n = F.size(names)
-        head = F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(0))), ", ")
-        last = F.element_at(names, -1)
-        long = F.concat(F.array_join(F.slice(names, 1, self.cut), ", "), F.lit(self.tail), last if self.last_after_tail else F.lit(""))
-        return F.when(n == 0, "").when(n == 1, last).when(n > self.whole, long).otherwise(F.concat(head, F.when(n == 2, self.two).otherwise(self.more), last))
+    def of(self, names: list[str]) -> str:
+        if len(names) < 2:
+            return "".join(names)
+        if len(names) > self.whole:
+            return ", ".join(names[: self.cut]) + self.tail + (names[-1] if self.last_after_tail else "")
+        return ", ".join(names[:-1]) + (self.two if len(names) == 2 else self.more) + names[-1]
 
 
 # How many names a list shows.
 LISTS = {
-    "APA": AuthorList(inverted, inverted, ", & ", ", & ", 20, 19, ", . . . ", True),
-    "AMA": AuthorList(compact, compact, ", ", ", ", 6, 3, ", et al"),
-    "VAN": AuthorList(compact, compact, ", ", ", ", 6, 6, ", et al."),
-    "MLA": AuthorList(inverted, forward, ", and ", ", and ", 2, 1, ", et al."),
-    "HAR": AuthorList(inverted_tight, inverted_tight, " and ", " and ", 3, 1, " et al."),
-    "CHI": AuthorList(inverted, forward, ", and ", ", and ", 10, 7, ", et al."),
-    "IEE": AuthorList(forward, forward, " and ", ", and ", 6, 1, " et al."),
-    "NAT": AuthorList(inverted, inverted, " & ", " & ", 5, 1, " et al."),
+    "APA": AuthorList(LAST_FIRST, LAST_FIRST, ", & ", ", & ", 20, 19, ", . . . ", True),
+    "AMA": AuthorList(LAST_BARE, LAST_BARE, ", ", ", ", 6, 3, ", et al"),
+    "VAN": AuthorList(LAST_BARE, LAST_BARE, ", ", ", ", 6, 6, ", et al."),
+    "MLA": AuthorList(LAST_FIRST, FIRST_LAST, ", and ", ", and ", 2, 1, ", et al."),
+    "HAR": AuthorList(LAST_FIRST_TIGHT, LAST_FIRST_TIGHT, " and ", " and ", 3, 1, " et al."),
+    "CHI": AuthorList(LAST_FIRST, FIRST_LAST, ", and ", ", and ", 10, 7, ", et al."),
+    "IEE": AuthorList(FIRST_LAST, FIRST_LAST, " and ", ", and ", 6, 1, " et al."),
+    "NAT": AuthorList(LAST_FIRST, LAST_FIRST, " & ", " & ", 5, 1, " et al."),
 }
 
 
@@ -335,14 +359,11 @@ def render(df: DataFrame, code: str, order: list, numbered: bool = True) -> Data
     df = running_number(df, order, "n") if numbered else df
     by = [F.col("n")] if numbered else order
     own = F.col("authors") if "authors" in keep else F.lit("")
-    df = df.withColumn("_line", author_line(own)).withColumn("_some", F.col("_line").rlike(COLLECTIVE_NAME))
-    df = df.withColumn("_people", authors(own, F.col("_line"), F.col("_some")))
+    df = df.withColumn("_list", author_list(own, code)) if code in STYLES else df.withColumn("_people", authors(own))
     if code == "BIB":
         df = bibtex_keys(df, by)
     r = Reference(df)
     if code in STYLES:
-        # each step is a column of its own: what is used twice is computed once
-        df = df.withColumn("_names", LISTS[code].names(F.col("_people"))).withColumn("_list", LISTS[code].of(F.col("_names")))
         out = STYLES[code](r, F.col("_list"))
         if numbered and code in NUMBERS:
             a, b = NUMBERS[code]

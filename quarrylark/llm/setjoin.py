@@ -264,7 +264,7 @@ def leading(share: int):
     return run
 
 
-def crossing(share: int):
+def crossing(share: int, more: tuple[str, ...] = ()):
     """Candidate pairs (a, b) of different components, with their sizes and the lists they share.
 
     Sets of n and m shingles that share o or more share at least l of their first n - o + l and m - o + l. A list is
@@ -280,8 +280,11 @@ def crossing(share: int):
     def expand(x: dict):
         """x: one list, sorted by size and position; (row, row) of pairs."""
         comp = x["comp"]
-        names, back, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        probing = back != np.argmax(counts)  # any pair of two components has one side here
+        if "probe" in x:  # a piece of a list of which all pairs are wanted
+            probing = x["probe"] > 0
+        else:
+            names, back, counts = np.unique(comp, return_inverse=True, return_counts=True)
+            probing = back != np.argmax(counts)  # any pair of two components has one side here
         size, pos = x["at"] >> 32, x["at"] & 0xFFFFFFFF
         sizes, block = np.unique(size, return_index=True)
         probes = np.flatnonzero(probing)
@@ -303,7 +306,7 @@ def crossing(share: int):
                 c = n[at:stop]
                 i = np.repeat(who[at:stop], c)
                 j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:stop], c)
-                keep = (comp[i] != comp[j]) & (~probing[j] | (i < j))
+                keep = (comp[i] != comp[j]) & ((i < j) if "probe" in x else ~probing[j] | (i < j))
                 keep[keep] = open_still(x, i[keep], j[keep])
                 yield i[keep], j[keep]
                 at = stop
@@ -321,7 +324,7 @@ def crossing(share: int):
     @trimmed
     def run(batches):
         parts, held = [], 0
-        for x in lists_of(batches, ["token", "id", "at", "comp", "leader", "met"]):
+        for x in lists_of(batches, ["token", "id", "at", "comp", "leader", "met", *more]):
             order = np.lexsort((x["id"], x["at"], x["token"]))
             x = {c: v[order] for c, v in x.items()}
             cut = np.flatnonzero(np.concatenate(([True], x["token"][1:] != x["token"][:-1], [True])))
@@ -335,6 +338,7 @@ def crossing(share: int):
                 slack = shared_least(n, m, share) - needed(n, m, share) - 1
                 ok = (i <= n + slack) & (j <= m + slack) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * share)
                 ok[ok] = open_still(x, k[ok], k[ok] + 1)
+                ok &= (x["probe"][k] > 0) if "probe" in x else True
                 pairs = [(k[ok], k[ok] + 1)]
             else:
                 pairs = []
@@ -392,6 +396,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return components(rows, k, share).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, share: int = 85) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets (a, b, na, nb, overlap; a < b are the smallest keys of equal sets), and the sets' members (key, rep).
+
+    As many rows as there are links: a group of m near copies has up to m * (m - 1) / 2, while equal sets are one. Long lists are
+    probed in pieces, each by a task of its own. Keys must be unique; rows without a key or a word have no rep.
+    """
+    configure(docs.sparkSession)
+    rows = located(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+    slim, reps, lists = indexed(rows, k, share)
+    members = slim.join(reps.select("hi", "lo", "n", F.col("key").alias("rep")), ["hi", "lo", "n"], "left").select("key", F.when(F.col("key").isNotNull(), F.col("rep")).alias("rep"))
+    pieces = F.sequence(F.lit(0), pieces_of("token") - 1)
+    own = F.pmod(F.xxhash64("id"), pieces_of("token"))
+    each = lists.select("token", "id", "at", own.alias("own"), F.explode(pieces).alias("piece"))
+    whole = each.select(F.when(pieces_of("token") > 1, F.xxhash64("token", "piece")).otherwise(F.col("token")).alias("token"), "id", "at", F.col("id").alias("comp"), F.col("id").alias("leader"), F.lit(0).cast("long").alias("met"), (F.col("own") == F.col("piece")).cast("long").alias("probe"))
+    pairs = whole.repartition("token").sortWithinPartitions("token").mapInArrow(crossing(share, ("probe",)), "a long, b long, na long, nb long, c long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    need = F.ceil(F.lit(share) * (F.col("na") + F.col("nb")) / F.lit(100 + share)).cast("long")
+    least = F.least(F.floor(F.col("need") / 32) + 1, F.col("need") - F.ceil(F.greatest("na", "nb") * share / 100) + 1)
+    open_ = materialise(pairs.withColumn("need", need).filter(F.col("c") >= least).select("a", "b"), "candidates")
+    return verified(rows, reps, open_, k).filter(linked(share)).select("a", "b", "na", "nb", "overlap"), members
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, share: int = 85) -> DataFrame:
+    """key, n_links: how many other rows each row links with, equal sets included. Counted by sets: no link is expanded into rows."""
+    found, members = links(docs, key, text, k, share)
+    members = materialise(members, "members")
+    sizes = members.filter("rep IS NOT NULL").groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    found = materialise(found.select("a", "b"), "links")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(sizes.select(F.col("rep").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("far")).withColumnRenamed("a", "rep")
+    counts = sizes.join(far, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return members.join(counts, "rep", "left").select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, share: int = 80) -> DataFrame:
     """docs with one row of each component: that with the smallest key, of repetitions the first in place."""
     configure(docs.sparkSession)
@@ -414,20 +452,39 @@ def numbered(rows: DataFrame, k: int, share: int) -> DataFrame:
     return found.join(least, "comp", "left").select(F.col("own").alias("key"), "was.cell", "was.place", "n", "comp", "component_id")
 
 
-def components(rows: DataFrame, k: int, share: int) -> DataFrame:
-    """rows: key, text and where they are. Gives key, cell, place, n, comp (a number of the component) and component_id."""
-    spark = rows.sparkSession
+def summaries(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """key, cell, place, n, hi, lo of each row; one row of each set that has a key; the counts of shingles by bucket."""
     both = materialise(rows.mapInArrow(summarising(k), PRINTS), "prints")
     slim = both.filter("kind = 0").select("key", "cell", "place", "n", "hi", "lo")
     reps = slim.filter("n > 0 AND key IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min(F.struct("key", "cell", "place")).alias("r"))
     reps = materialise(reps.select("hi", "lo", "n", "r.key", "r.cell", "r.place"), "representatives")
-    if reps.groupBy("key").count().filter("count > 1").limit(1).count():
-        return numbered(rows, k, share)
+    return slim, reps, both.filter("kind = 1").select("key", "block")
+
+
+def led_lists(rows: DataFrame, reps: DataFrame, counts: DataFrame, k: int, share: int) -> DataFrame:
+    """Postings (token, id, at, leader) of the sets' representatives, in lists of two and more."""
     docs = rows.filter(marked(mark(reps.select("cell", "place"), "posting"))).select("key", "text")
-    frequent = spark.sparkContext.broadcast(frequencies(both.filter("kind = 1").select("key", "block")))  # of fixed size
+    frequent = rows.sparkSession.sparkContext.broadcast(frequencies(counts))  # of fixed size
     postings = docs.mapInArrow(posting(k, share, frequent), "token long, id long, lo long, at long")
     piece = F.when(pieces_of("token") > 1, F.xxhash64("token", F.pmod(F.xxhash64("id"), pieces_of("token")))).otherwise(F.col("token"))
-    lists = materialise(led(postings.select(piece.alias("token"), F.col("token").alias("own"), "id", "lo", "at"), share), "lists")
+    return materialise(led(postings.select(piece.alias("token"), F.col("token").alias("own"), "id", "lo", "at"), share), "lists")
+
+
+def indexed(rows: DataFrame, k: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows' summaries, sets and lists for links(); an error where a key stands for two sets."""
+    slim, reps, counts = summaries(rows, k)
+    if reps.groupBy("key").count().filter("count > 1").limit(1).count():
+        raise ValueError("a key stands for two different texts")
+    return slim, reps, led_lists(rows, reps, counts, k, share)
+
+
+def components(rows: DataFrame, k: int, share: int) -> DataFrame:
+    """rows: key, text and where they are. Gives key, cell, place, n, comp (a number of the component) and component_id."""
+    spark = rows.sparkSession
+    slim, reps, counts = summaries(rows, k)
+    if reps.groupBy("key").count().filter("count > 1").limit(1).count():
+        return numbered(rows, k, share)
+    lists = led_lists(rows, reps, counts, k, share)
     release(spark)
     long = pieces_of("token") > 1
     split = lists.filter(long).limit(1).count() > 0

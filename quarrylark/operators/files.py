@@ -5,7 +5,7 @@ Spark plans: the action itself is done by whoever holds the files, from `plan`;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylark.functions import scalars as S
@@ -78,7 +78,7 @@ def settled(attachments: DataFrame, done: DataFrame, action: str, where: str = "
 
 
 #: Full texts by file, the index's flag and the catalogue's column of each. Fixed values.
-PAPER_FILES = {"paper.pdf": "pdf", "paper.md": "md", "paper.txt": "txt", "paper.xml": "xml"}
+PAPER_FILES = {"paper.pdf": "pdf", "paper.md": "md", "paper.txt": "txt", "paper.jats.xml": "xml"}
 
 
 def settled_index(index: DataFrame, attachments: DataFrame, done: DataFrame, action: str) -> DataFrame:
@@ -112,3 +112,39 @@ def settled_catalogue(catalogue: DataFrame, index: DataFrame, summaries: DataFra
     new = {f"fulltext_{k}": F.when(F.array_contains("_gone", file), "").otherwise(F.col(f"fulltext_{k}")) for file, k in PAPER_FILES.items() if f"fulltext_{k}" in catalogue.columns}
     new |= {"fulltext_status": F.coalesce("_status", "fulltext_status"), "attachments": F.coalesce("_files", "attachments")}
     return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in catalogue.columns])
+
+
+DOWNLOAD = "fulltext struct<status: string, reason: string, source: string, license: string, fetched_on: string, files: map<string, struct<url: string>>>"
+
+
+def on_disk(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """What lies below a folder: folder and value (the text of its metadata.json), and folder and file of all files. No file but metadata.json is opened."""
+    split = lambda c: (F.regexp_extract(c, "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract(c, "([^/]*)$", 1).alias("file"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(*split(F.col("_metadata.file_path")))
+    notes = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").text(root, wholetext=True)
+    return notes.select(split(F.col("_metadata.file_path"))[0], "value"), found
+
+
+def complete(present: Column, formats: set[str]) -> Column:
+    """Of the formats asked for, the plain ones (md, txt) have to be there; where none of these is asked for, all of them."""
+    need = formats & {"md", "txt"} or formats
+    return F.size(F.array_except(F.array(*[F.lit(x) for x in sorted(need)]), present)) == 0 if need else F.lit(True)
+
+
+def from_disk(wanted: DataFrame, notes: DataFrame, found: DataFrame, today: str, formats: set[str] = frozenset(PAPER_FILES.values())) -> DataFrame:
+    """Index rows of wanted (uid, folder) whose earlier download is whole: nothing of them is asked for again, even if the index was lost.
+
+    Whole is a folder whose notes say ok, all of whose listed files lie there, and which has the formats asked for. Broken or
+    missing notes are no download.
+    """
+    own = wanted.select("uid", "folder").join(notes.select("folder", F.from_json("value", DOWNLOAD)["fulltext"].alias("_f")), "folder").filter("_f.status = 'ok'")
+    there = found.join(own.select("folder").distinct(), "folder", "left_semi").groupBy("folder").agg(F.collect_set("file").alias("_there"))  # the files of one folder
+    j = own.join(there, "folder", "left").withColumn("_there", F.coalesce("_there", F.array().cast("array<string>")))
+    have = {k: F.array_contains("_there", file) for file, k in PAPER_FILES.items()}
+    listed = F.coalesce(F.map_keys("_f.files"), F.array().cast("array<string>"))
+    whole = (F.size(F.array_except(listed, F.col("_there"))) == 0) & complete(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in have.items()])), set(formats))
+    checked = F.substring(F.coalesce(F.nullif(S.text(F.col("_f.fetched_on")), F.lit("")), F.lit(today)), 1, 10)
+    return j.filter(whole).select(
+        "uid", F.col("_f.status").alias("status"), *[S.text(F.col(f"_f.{c}")).alias(c) for c in ("reason", "source", "license")], *[c.alias(f"has_{k}") for k, c in have.items()], F.lit("").alias("attachments"), "folder",
+        S.text(F.try_element_at(F.col("_f.files"), F.lit("paper.pdf"))["url"]).alias("pdf_url"), checked.alias("checked_on"), F.lit("").alias("note"),
+    )

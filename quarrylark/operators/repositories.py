@@ -120,3 +120,40 @@ def index_packages(answers: DataFrame, index: str, column: str = "value") -> Dat
     name, url, text, terms, days = parts
     day = lambda c: S.text(F.substring(c, 1, 10))
     return answers.withColumn("_j", j).select(name.alias("name"), url.alias("url"), S.text(text).alias("description"), S.text(terms).alias("license"), day(F.array_min(days)).alias("created"), day(F.array_max(days)).alias("updated")).filter("name IS NOT NULL")
+
+
+BIOC = "map<string, struct<Title: string, Description: string, License: string, git_last_commit_date: string>>"
+
+
+def bioconductor_packages(answers: DataFrame, first: DataFrame | None = None, column: str = "value") -> DataFrame:
+    """name, url, description, license, created, updated of a Bioconductor release's list of packages; created is that of first_month(), by name."""
+    rows = answers.select(F.explode(F.from_json(F.col(column), BIOC)).alias("name", "_d"))
+    told = S.collapse(F.concat(S.text(F.col("_d.Title")), F.lit(" "), S.text(F.col("_d.Description"))))
+    out = rows.select("name", F.concat(F.lit("https://bioconductor.org/packages/"), "name").alias("url"), told.alias("description"), S.text(F.col("_d.License")).alias("license"), F.substring(S.text(F.col("_d.git_last_commit_date")), 1, 10).alias("updated"))
+    if first is None:
+        return out.withColumn("created", F.lit("")).select("name", "url", "description", "license", "created", "updated")
+    return out.join(first.select("name", "created"), "name", "left").select("name", "url", "description", "license", S.text(F.col("created")).alias("created"), "updated")
+
+
+ARCHIVED = "id string, doi string, created string, updated string, links struct<html: string>, metadata struct<title: string, description: string, publication_date: string, license: struct<id: string>, resource_type: struct<type: string>>"
+#: Characters of an archive's description.
+DESCRIPTION_MAX = 600
+
+
+def archive_records(answers: DataFrame, keep: list[str] | None = None, column: str = "value") -> DataFrame:
+    """name, url, description, created, updated, doi, license, resource of answers of a data archive; tags in a description are blanks.
+
+    keep are columns of the answers that stay, such as the number and the link that was looked up: the link stands for a
+    missing address, `zenodo:` and the number for a missing title.
+    """
+    keep = keep or []
+    j = answers.withColumn("_j", F.from_json(F.col(column), ARCHIVED)).filter("_j IS NOT NULL")
+    m, some = F.col("_j.metadata"), lambda c: F.when(S.text(c) != "", c)
+    number = F.col("number") if "number" in keep else F.col("_j.id")
+    link = F.col("link") if "link" in keep else F.lit("")
+    day = lambda c: F.substring(S.text(c), 1, 10)
+    return j.select(
+        *keep, F.coalesce(m["title"], F.concat(F.lit("zenodo:"), number)).alias("name"), F.coalesce(F.col("_j.links.html"), link).alias("url"),
+        F.substring(F.regexp_replace(S.text(m["description"]), "<[^>]+>", " "), 1, DESCRIPTION_MAX).alias("description"), day(F.coalesce(some(F.col("_j.created")), m["publication_date"])).alias("created"),
+        day(F.col("_j.updated")).alias("updated"), S.text(F.col("_j.doi")).alias("doi"), S.text(m["license"]["id"]).alias("license"), S.text(m["resource_type"]["type"]).alias("resource"),
+    )

@@ -421,4 +421,4 @@ def _(spark, sf):
     return X.markdown(d.select("doc_id", xml.alias("xml")), "doc_id", "xml").select("doc_id", "markdown")
 
 
-from quarrylark.plans import assembled, coverage, late, references, resolved, state  # noqa: E402, F401  (they register their queries)
+from quarrylark.plans import answers, assembled, coverage, late, references, resolved, state  # noqa: E402, F401  (they register their queries)

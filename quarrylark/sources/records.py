@@ -222,3 +222,25 @@ def first_copy(df: DataFrame, sources: list[str]) -> DataFrame:
         hit = F.coalesce(*[F.when(S.text(F.col(f"{s}_{f}")) != "", F.struct(F.col(f"{s}_{f}").alias("v"), F.lit(s).alias("s"))) for s in have])
         df = df.withColumns({f: S.text(hit["v"]), f"{f}_source": S.text(hit["s"])})
     return df
+
+
+# ---------------------------------------------------------------- data registry
+
+ATTRIBUTES = """doi: string, titles: array<struct<title: string>>, creators: array<struct<name: string>>, dates: array<struct<date: string, dateType: string>>, publicationYear: string, publisher: string, url: string,
+ types: struct<resourceTypeGeneral: string>, descriptions: array<struct<description: string, descriptionType: string>>, rightsList: array<struct<rightsUri: string>>"""
+
+
+def data_works(answers: DataFrame, column: str = "value") -> DataFrame:
+    """Answers of the registry of data DOIs; the day it was issued, else created, else the first of its year."""
+    a = F.from_json(F.col(column), f"data struct<attributes: struct<{ATTRIBUTES}>>")["data"]["attributes"]
+    first = lambda c: F.try_element_at(c, F.lit(1))
+    # of several dates of a kind the last counts
+    dated = lambda kind: F.try_element_at(F.filter(a["dates"], lambda d: d["dateType"] == kind), F.lit(-1))["date"]
+    some = lambda c: F.when(S.text(c) != "", c)
+    date = F.coalesce(some(dated("Issued")), some(dated("Created")), F.concat(S.text(a["publicationYear"]), F.lit("-01-01")))
+    abstract = F.array_join(F.transform(F.filter(a["descriptions"], lambda d: d["descriptionType"] == "Abstract"), lambda d: S.text(d["description"])), " ")
+    return identified(shaped(
+        answers, source_db=F.lit("DATACITE"), doi=S.normalise_doi(a["doi"]), title=S.clean_text(first(a["titles"])["title"]), authors=F.array_join(F.transform(a["creators"], lambda c: S.text(c["name"])), ", "),
+        journal=a["publisher"], pub_date=F.substring(date, 1, 10), pub_year=F.substring(date, 1, 4), pub_types=F.lower(a["types"]["resourceTypeGeneral"]), abstract=S.clean_text(abstract),
+        url=a["url"], license=first(a["rightsList"])["rightsUri"],
+    ))

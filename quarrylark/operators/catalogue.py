@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylark.functions import scalars as S
+from quarrylark.operators.matching import literal_forms
 from quarrylark.operators.ordering import running_number
 from quarrylark.operators.texts import join_late
 
@@ -28,7 +29,14 @@ def valid_regex(pattern: str) -> str:
         re.compile(pattern)
     except re.error as e:
         raise ValueError(f"bad pattern {pattern!r}: {e}") from None
-    return f"(?iu){pattern}"
+    return f"(?iu){pattern}" if any(ch.isalpha() for ch in pattern) else pattern  # signs have no case
+
+
+def occurs(c: Column, pattern: str) -> Column:
+    """A pattern occurs in a text, in any case. One that is no more than signs is looked for as a string, without a regular expression."""
+    regex = valid_regex(pattern)
+    signs = literal_forms(re.sub(r"\[([^\]\\^])\]", lambda m: re.escape(m[1]), pattern)) if regex == pattern else None
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(s)) for s in signs]) if signs else c.rlike(regex)
 
 
 def tokens(spec: str) -> list[str]:
@@ -210,16 +218,16 @@ def carry_over(old: DataFrame, new: DataFrame, key: str = "uid") -> DataFrame:
 def first_match(c: Column, rules: dict[str, str], default: str) -> Column:
     out = None
     for name, pattern in rules.items():
-        test = c.rlike(valid_regex(pattern))
+        test = occurs(c, pattern)
         out = F.when(test, name) if out is None else out.when(test, name)
     return F.lit(default) if out is None else out.otherwise(default)
 
 
 def all_matches(c: Column, rules: dict[str, str], first: str = "", also: Column | None = None) -> Column:
     """Names in the order of the rules; the name `first`, also given by another test, comes first."""
-    names = [F.when(c.rlike(valid_regex(p)), F.lit(n)) for n, p in rules.items() if n != first]
+    names = [F.when(occurs(c, p), F.lit(n)) for n, p in rules.items() if n != first]
     if first:
-        test = c.rlike(valid_regex(rules[first])) | (also if also is not None else F.lit(False))
+        test = occurs(c, rules[first]) | (also if also is not None else F.lit(False))
         names.insert(0, F.when(test, F.lit(first)))
     return F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
 

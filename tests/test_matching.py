@@ -89,3 +89,13 @@ def test_time_hardly_grows_with_the_names():
         return best
 
     assert took(5000) < 6 * took(50)
+
+
+def test_occurs_is_the_pattern(spark):
+    from quarrylark.operators.catalogue import occurs
+
+    texts = ["a|b", "!!", "! !", "$%#", "x", "A.B", "a.b", "axb", "", None, "[", "\\"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in ("[|]", "!!", "[$%#&*]{3}", r"\.", "[.]", "a[.]b", r"!!|\|", ".", "[[]", "^!!", r"\\", "()"):
+        got = [r[0] for r in df.select(occurs(F.col("t"), pattern)).collect()]
+        assert got == [None if t is None else re.search(pattern, t, re.I) is not None for t in texts], pattern

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,25 +53,39 @@ def rows(catalogue: DataFrame, records: DataFrame, index: DataFrame, attachments
     )
 
 
-def findings(catalogue: DataFrame, top: int = 30) -> str:
-    """Markdown of a catalogue: growth, most cited, newest, layers and coverage. Only aggregates and top rows come to the driver."""
+def finding_tables(catalogue: DataFrame, top: int = 30) -> dict[str, tuple[DataFrame, list]]:
+    """Tables of a catalogue's findings with their orders: growth, most cited (also of each layer), layers over time, newest, coverage.
+
+    Each has as many rows as there are years, layers or tiers, or a top few.
+    """
     c = F.col
     papers = catalogue.filter(c("resource_type").isin(PAPERS))
-    parts = []
-
-    def table(title: str, df: DataFrame) -> None:
-        parts.append(f"## {title}\n\n" + markdown_table(df.columns, df.collect()))
-
+    cited = [S.integer(c("cited_by")).desc(), c("uid")]
     tiers = [F.count_if(c("tier") == t).alias(t) for t in ("landmark", "core", "related")]
-    table("Growth", papers.filter(S.text(c("year")) != "").groupBy("year").agg(*[F.count_if(c("resource_type") == t).alias(t) for t in ("article", "review", "preprint")], *tiers, F.count(F.lit(1)).alias("total")).orderBy("year"))
-    table("Most cited", papers.orderBy(S.integer(c("cited_by")).desc(), "uid").limit(top).select("date", "title", "cited_by"))
+    kinds = [F.count_if(c("resource_type") == t).alias(t) for t in ("article", "review", "preprint")]
     layer = papers.withColumn("layer", F.explode(S.list_items(c("modality"))))
-    w = Window.partitionBy("layer").orderBy(S.integer(c("cited_by")).desc(), "uid")
-    table("Most cited of each layer", layer.withColumn("place", F.row_number().over(w)).filter("place <= 5").orderBy("layer", "place").select("layer", "place", "title", "cited_by"))
-    table("Layers over time", layer.filter(c("tier").isin("landmark", "core")).groupBy("year", "layer").agg(F.count(F.lit(1)).alias("papers")).orderBy("year", "layer"))
-    table("Newest", papers.orderBy(c("date").desc(), "uid").limit(10).select("date", "title"))
-    table("Coverage", papers.groupBy("tier").agg(F.count(F.lit(1)).alias("papers"), *[F.count_if(S.text(c("fulltext_status")) == s).alias(s) for s in ("ok", "partial", "deferred", "none")]).orderBy("tier"))
-    return "\n".join(parts)
+    five = layer.withColumn("place", F.row_number().over(Window.partitionBy("layer").orderBy(*cited))).filter("place <= 5")  # limited a task before the shuffle
+    states = [F.count_if(S.text(c("fulltext_status")) == s).alias(s) for s in ("ok", "partial", "deferred", "none")]
+    return {
+        "Growth": (papers.filter(S.text(c("year")) != "").groupBy("year").agg(*kinds, *tiers, F.count(F.lit(1)).alias("total")), ["year"]),
+        "Most cited": (papers.orderBy(*cited).limit(top).select("date", "title", "cited_by"), [S.integer(c("cited_by")).desc(), "date", "title"]),
+        "Most cited of each layer": (five.select("layer", "place", "title", "cited_by"), ["layer", "place"]),
+        "Layers over time": (layer.filter(c("tier").isin("landmark", "core")).groupBy("year", "layer").agg(F.count(F.lit(1)).alias("papers")), ["year", "layer"]),
+        "Newest": (papers.orderBy(c("date").desc(), "uid").limit(10).select("date", "title"), [c("date").desc(), "title"]),
+        "Coverage": (papers.groupBy("tier").agg(F.count(F.lit(1)).alias("papers"), *states), ["tier"]),
+    }
+
+
+def finding_rows(catalogue: DataFrame, top: int = 30) -> DataFrame:
+    """table, cells (joined by bars) of all findings, without any of them on the driver."""
+    parts = [df.select(F.lit(title).alias("table"), F.concat_ws(" | ", *[F.col(x).cast("string") for x in df.columns]).alias("cells")) for title, (df, _) in finding_tables(catalogue, top).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def findings(catalogue: DataFrame, top: int = 30) -> str:
+    """Markdown of a catalogue's findings. Only aggregates and top rows come to the driver."""
+    tables = finding_tables(catalogue, top).items()
+    return "\n".join(f"## {title}\n\n" + markdown_table(df.columns, df.orderBy(*order).collect()) for title, (df, order) in tables)
 
 
 # Kinds of rows that are code or data, and those that are sites.

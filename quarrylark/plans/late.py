@@ -85,3 +85,15 @@ def _(spark, sf):
     onefile.write_file(rows, where, [F.desc("date"), F.col("uid")], onefile.csv_line(["uid", "title"]), "\r\n", "uid,title\r\n", "\r\n", "uid,title\r\n")
     lines = spark.read.option("lineSep", "\r\n").text(where).select(F.col("value").alias("line"), F.col("_metadata.file_size").alias("size"))
     return lines.filter("line <> ''").groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("bytes"))
+
+
+@query("findings", f"""WITH {PAPERS}, p AS (SELECT * FROM papers WHERE resource_type IN ('article', 'review', 'preprint', 'report', 'thesis', 'conference paper', 'book chapter')),
+    l AS (SELECT p.*, trim(x) AS layer FROM p, unnest(string_split(modality, ';')) u(x) WHERE trim(x) <> '')
+    SELECT 'Growth' AS "table", concat_ws(' | ', year, count(*) FILTER (resource_type = 'article'), count(*) FILTER (resource_type = 'review'), count(*) FILTER (resource_type = 'preprint'), count(*) FILTER (tier = 'landmark'), count(*) FILTER (tier = 'core'), count(*) FILTER (tier = 'related'), count(*)) AS cells FROM p GROUP BY year
+    UNION ALL SELECT * FROM (SELECT 'Most cited', concat_ws(' | ', date, title, cited_by) FROM p ORDER BY CAST(cited_by AS INTEGER) DESC, uid LIMIT 30)
+    UNION ALL SELECT 'Most cited of each layer', concat_ws(' | ', layer, place, title, cited_by) FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY CAST(cited_by AS INTEGER) DESC, uid) AS place FROM l) WHERE place <= 5
+    UNION ALL SELECT 'Layers over time', concat_ws(' | ', year, layer, count(*)) FROM l WHERE tier IN ('landmark', 'core') GROUP BY year, layer
+    UNION ALL SELECT * FROM (SELECT 'Newest', concat_ws(' | ', date, title) FROM p ORDER BY date DESC, uid LIMIT 10)
+    UNION ALL SELECT 'Coverage', concat_ws(' | ', tier, count(*), count(*) FILTER (fulltext_status = 'ok'), count(*) FILTER (fulltext_status = 'partial'), count(*) FILTER (fulltext_status = 'deferred'), count(*) FILTER (fulltext_status = 'none')) FROM p GROUP BY tier""")
+def _(spark, sf):
+    return O.finding_rows(papers(spark, sf))

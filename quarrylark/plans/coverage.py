@@ -730,7 +730,7 @@ def _(spark, sf):
     p.filter("k % 2 = 0").select(F.col("title").alias("value")).write.text(f"{where}/a/notes.md")
     p.filter("k % 2 = 1").select(F.col("title").alias("value")).write.text(f"{where}/node_modules")
     io.rename_parts(spark, f"{where}/a/notes.md", ".txt", ".md")
-    return io.read_text_lines(spark, where, ["md"], skip=["node_modules"]).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return io.read_text_lines(spark, where, ["md"], skip=["node_modules"], line_sep="\n").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("uid_file", f"WITH {PAPERS} SELECT 'doi:' || doi AS uid FROM papers WHERE doi <> ''")

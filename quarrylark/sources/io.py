@@ -53,12 +53,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).json(path)
 
 
-def read_text_lines(spark: SparkSession, folder: str, suffixes: list[str], limit: int = 5 << 20, skip: list[str] | None = None) -> DataFrame:
-    """file, line of text files below a folder, by suffix and size, but for folders and files of the names to skip."""
-    df = spark.read.option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
+def read_text_lines(spark: SparkSession, folder: str, suffixes: list[str], limit: int | None = None, skip: list[str] | None = None, line_sep: str | None = None) -> DataFrame:
+    """file, line of text files below a folder, by suffix, but for folders and files of the names to skip.
+
+    Files of any size are read; a limit, where one is given, leaves out larger ones whole. Lines end at line_sep, else at any of LF, CR LF, CR.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    df = (reader.option("lineSep", line_sep) if line_sep else reader).text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
     if skip:
         df = df.filter(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(s) for s in skip])))
-    return df.filter(F.col("size") <= limit).filter(F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).isin(*suffixes)).drop("size")
+    if limit is not None:
+        df = df.filter(F.col("size") <= limit)
+    return df.filter(F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).isin(*suffixes)).drop("size")
 
 
 def uid_list(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Many names in one pass over each text: which occur, where first, and how often.
 
-A vocabulary maps names to patterns. Patterns that are words, or words between bars, are forms of an automaton that reads
-a text once, however many they are; others are searched for one after another. A form stands alone: neither a word
-character nor a hyphen touches it. It tells cases apart unless its pattern starts with (?i).
+A vocabulary maps names to patterns. A form stands alone: neither a word character nor a hyphen touches it. So a form of
+nothing but these is a whole word of the text, and is looked up: a text is cut into words once, however many names there
+are. Forms with other characters are found by an automaton that reads the text once; patterns that are no words between
+bars are searched for one after another. A form tells cases apart unless its pattern starts with (?i).
 
 The vocabulary is configuration: it is handed to the tasks with the function, in slices of SLICE names, and a slice is a
 pass; the automaton of a slice is built once in a worker. Texts stay where they are scanned, without any shuffle.
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -28,6 +31,11 @@ from quarrylark.functions import scalars as S
 #: Names of one pass.
 SLICE = 200_000
 FOUND = "array<struct<name:string,place:int,n:int>>"
+#: Texts that are Python strings at once.
+ROWS = 256
+#: Words whose names a worker remembers.
+KEPT = 1 << 17
+WORD, BETWEEN = re.compile(r"[\w-]+"), re.compile(r"([\w-]+)")
 SYNTAX = set("\\.^$*+?{}[]()")
 
 
@@ -54,16 +62,30 @@ def literal_forms(pattern: str) -> list[str] | None:
 
 
 def lowered(s: str) -> str:
-    """Lower case of as many characters."""
+    """Lower case of as many characters, each by itself (a sigma is no final one)."""
     low = s.lower()
-    return low if len(low) == len(s) else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+    return low if len(low) == len(s) and "Σ" not in s else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+
+
+class Uses(dict):
+    """Names that a word is a form of, by word; remembered."""
+
+    def __init__(self):
+        self.exact: dict[str, list[int]] = {}
+        self.loose: dict[str, list[int]] = {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[word] = tuple(dict.fromkeys(self.exact.get(word, []) + self.loose.get(lowered(word), [])))
+        return found
 
 
 class Matcher:
     """Occurrences of a vocabulary's names; of whole words, or with alone=False of any characters."""
 
     def __init__(self, vocabulary: Iterable[tuple[str, str]], alone: bool = True):
-        self.names, self.alone = [], alone
+        self.names, self.alone, self.uses = [], alone, Uses()
         self.patterns: list[tuple[int, re.Pattern]] = []
         forms: dict[str, list] = {}
         for i, (name, pattern) in enumerate(vocabulary):
@@ -77,8 +99,13 @@ class Matcher:
                     self.patterns.append((i, re.compile(rf"(?<![\w-])(?:{body})(?![\w-])" if alone else body, re.I if loose else 0)))
                 except re.error as e:
                     raise ValueError(f"bad pattern {pattern!r}: {e}") from None
-            for rank, w in enumerate(words or []):
-                forms.setdefault(lowered(w), []).append((i, rank, None if loose else w))
+            elif alone and all(map(WORD.fullmatch, words)):  # words don't overlap, so that which form it is doesn't matter
+                for w in words:
+                    (self.uses.loose if loose else self.uses.exact).setdefault(lowered(w) if loose else w, []).append(i)
+            else:
+                for rank, w in enumerate(words):
+                    forms.setdefault(lowered(w), []).append((i, rank, None if loose else w))
+        self.has_words = bool(self.uses.exact or self.uses.loose)
         self.automaton = ahocorasick.Automaton()
         for form, uses in forms.items():
             self.automaton.add_word(form, (len(form), uses))
@@ -90,8 +117,20 @@ class Matcher:
         inner = lambda c: c.isalnum() or c in "_-"
         return start > 0 and inner(text[start - 1]) or end < len(text) and inner(text[end])
 
-    def find(self, text: str) -> list[tuple[str, int, int]]:
-        """(name, first place, occurrences) in the order of the vocabulary."""
+    def _words(self, text: str) -> dict[int, tuple[int, int]]:
+        """First place and occurrences by number of the names that are words."""
+        pieces = BETWEEN.split(text)  # what is no word and words in turn
+        words, starts = pieces[1::2], list(accumulate(map(len, pieces)))[:-1:2]
+        first = dict(zip(reversed(words), reversed(starts), strict=True))
+        out: dict[int, tuple[int, int]] = {}
+        for w, n in Counter(words).items():
+            for i in self.uses[w]:
+                place, before = out.get(i, (first[w], 0))
+                out[i] = min(place, first[w]), before + n
+        return out
+
+    def _others(self, text: str) -> dict[int, tuple[int, int]]:
+        """The same of all other names."""
         hits: dict[int, list[tuple[int, int, int]]] = {}
         if self.has_forms:
             for last, (n, uses) in self.automaton.iter(lowered(text)):
@@ -112,14 +151,39 @@ class Matcher:
             starts = [m.start() for m in pattern.finditer(text) if m.group()]
             if starts:
                 out[i] = starts[0], len(starts)
+        return out
+
+    def find(self, text: str) -> list[tuple[str, int, int]]:
+        """(name, first place, occurrences) in the order of the vocabulary."""
+        out = (self._words(text) if self.has_words else {}) | self._others(text)
         return [(self.names[i], *out[i]) for i in sorted(out)]
 
+    def count(self, texts: Iterable[str | None], held: Counter, all_: Counter) -> None:
+        """Adds to held the texts that hold a name and to all_ its occurrences, by the name's number."""
+        seen: Counter = Counter()
+        for text in filter(None, texts):
+            words = WORD.findall(text) if self.has_words else []
+            seen.update(words)
+            found = {i for w in set(words) for i in self.uses[w]}
+            for i, (_, n) in self._others(text).items():
+                found.add(i)
+                all_[i] += n
+            held.update(found)
+        for w, n in seen.items():
+            for i in self.uses[w]:
+                all_[i] += n
+
 
 @functools.lru_cache(8)
 def _matcher(vocabulary: tuple[tuple[str, str], ...], alone: bool) -> Matcher:
     return Matcher(vocabulary, alone)
 
 
+def texts(x: pa.Array) -> Iterator[str | None]:
+    """The values, some rows at a time."""
+    return (s for i in range(0, len(x), ROWS) for s in x.slice(i, ROWS).to_pylist())
+
+
 def occurrences(c: Column, vocabulary: dict[str, str], alone: bool = True) -> Column:
     """array of (name, place, n) of a text, in the order of the vocabulary."""
     items = tuple(vocabulary.items())
@@ -128,8 +192,12 @@ def occurrences(c: Column, vocabulary: dict[str, str], alone: bool = True) -> Co
 
     def of(part: tuple) -> Column:
         def run(x: pa.Array) -> pa.Array:
-            m = _matcher(part, alone)
-            return pa.array([[{"name": a, "place": b, "n": n} for a, b, n in m.find(s)] if s else [] for s in x.to_pylist()], kind)
+            m, ends, rows = _matcher(part, alone), [0], []
+            for s in texts(x):
+                rows += m.find(s) if s else ()
+                ends.append(len(rows))
+            columns = [pa.array([r[i] for r in rows], kind.value_type[i].type) for i in range(3)]
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["name", "place", "n"]))
 
         run.__annotations__ = {"x": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, FOUND)(c)
@@ -157,8 +225,25 @@ def mentions(df: DataFrame, key: str, text: str, vocabulary: dict[str, str]) ->
 
 
 def mention_counts(df: DataFrame, key: str, text: str, vocabulary: dict[str, str]) -> DataFrame:
-    """name, texts (that hold it), n (occurrences) of every name that occurs at all."""
-    return mentions(df, key, text, vocabulary).groupBy("name").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+    """name, texts (that hold it), n (occurrences) of every name that occurs at all.
+
+    A row is a text, with whatever key. A task counts its own texts, so that a row a name and task is shuffled.
+    """
+    items = tuple(vocabulary.items())
+    Matcher(items[:SLICE])  # mistakes show here, not in a task
+
+    def run(batches):
+        parts = [items[i : i + SLICE] for i in range(0, len(items), SLICE)]
+        held, all_ = [Counter() for _ in parts], [Counter() for _ in parts]
+        for b in batches:
+            for part, h, a in zip(parts, held, all_, strict=True):
+                _matcher(part, True).count(texts(b.column(0)), h, a)
+        for part, h, a in zip(parts, held, all_, strict=True):
+            numbers = list(h)
+            yield pa.RecordBatch.from_arrays([pa.array([part[i][0] for i in numbers], pa.string()), pa.array([h[i] for i in numbers], pa.int64()), pa.array([a[i] for i in numbers], pa.int64())], ["name", "texts", "n"])
+
+    counted = df.select(F.col(text)).mapInArrow(run, "name string, texts long, n long")
+    return counted.groupBy("name").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n"))
 
 
 def first_appearance(catalogue: DataFrame, vocabulary: dict[str, str], key: str = "uid") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import functools
 import os
 import uuid
@@ -13,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylark.functions.batches import trim, trimmed  # noqa: F401
 from quarrylark.operators.components import connected  # noqa: F401
 from quarrylark.storage import materialise, shared_folder, shared_root  # noqa: F401
 
@@ -149,27 +149,6 @@ def read_shared(uri: str) -> bytes | None:
         return f.read()
 
 
-def trimmed(run):
-    """A function of Arrow batches whose worker gives its free memory back at the end: idle workers are kept for reuse."""
-
-    @functools.wraps(run)
-    def wrapped(batches):
-        try:
-            yield from run(batches)
-        finally:
-            trim()
-
-    return wrapped
-
-
-def trim() -> None:
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

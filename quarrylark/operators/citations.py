@@ -353,10 +353,13 @@ def csl(r: Reference) -> Column:
 # ---------------------------------------------------------------- lists
 
 
-def render(df: DataFrame, code: str, order: list, numbered: bool = True) -> DataFrame:
-    """uid, n (place in order) and text of every reference in one format; numbered=False leaves out places and their marks."""
+def render(df: DataFrame, code: str, order: list, numbered: bool = True, parts: bool = False) -> DataFrame:
+    """uid, n (place in order) and text of every reference in one format; numbered=False leaves out places and their marks.
+
+    parts keeps the sorted partition of a row and its place there (_p, _i); not for BIB, whose keys need another order.
+    """
     keep = [c for c in FIELDS if c in df.columns]
-    df = running_number(df, order, "n") if numbered else df
+    df = running_number(df, order, "n", parts) if numbered else df
     by = [F.col("n")] if numbered else order
     own = F.col("authors") if "authors" in keep else F.lit("")
     df = df.withColumn("_list", author_list(own, code)) if code in STYLES else df.withColumn("_people", authors(own))
@@ -370,7 +373,7 @@ def render(df: DataFrame, code: str, order: list, numbered: bool = True) -> Data
             out = F.concat(F.lit(a), F.col("n").cast("string"), F.lit(b), out)
     else:
         out = {"BIB": lambda: bibtex(r, F.col("cite_key")), "RIS": lambda: ris(r), "ENW": lambda: endnote(r), "CSL": lambda: csl(r)}[code]()
-    return df.select(F.col("uid"), *(["n"] if numbered else []), out.alias("text"))
+    return df.select(F.col("uid"), *(["n"] if numbered else []), *(["_p", "_i"] if parts else []), out.alias("text"))
 
 
 #: Endings of reference files. Fixed values.
@@ -395,11 +398,12 @@ def write_references(df: DataFrame, codes_: list[str], path: str, order: list) -
     out, named = [], "." in path.rpartition("/")[2]
     for code in codes_:
         target = path if len(codes_) == 1 and named else path + ENDINGS[code]
-        rows = render(df, code, order)
+        rows = render(df, code, order, parts=code != "BIB")  # sorted once: what numbers the rows places them in the file
+        by = ["n"] if code == "BIB" else None
         if code == "CSL":
-            write_file(rows, target, ["n"], pretty(F.col("text")), separator(code), "[\n", "\n]\n", "[]\n")
+            write_file(rows, target, by, pretty(F.col("text")), separator(code), "[\n", "\n]\n", "[]\n")
         else:
-            write_file(rows, target, ["n"], F.col("text"), separator(code))
+            write_file(rows, target, by, F.col("text"), separator(code))
         out.append(target)
     return out
 

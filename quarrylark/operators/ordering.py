@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quarrylark.storage import materialise
 
 
-def running_number(df: DataFrame, order: list, name: str = "n") -> DataFrame:
+def running_number(df: DataFrame, order: list, name: str = "n", parts: bool = False) -> DataFrame:
     """Places from 1 in a total order: a range-partitioned sort is written, then each partition adds the sizes of those before it.
 
-    The driver sees one count for each partition, nothing of the rows.
+    The driver sees one count for each partition, nothing of the rows. parts keeps _p (partition, in order) and _i (place in it, from 0).
     """
     low = F.lit((1 << 33) - 1)
     sorted_ = materialise(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(low)), "sorted")
@@ -20,7 +20,8 @@ def running_number(df: DataFrame, order: list, name: str = "n") -> DataFrame:
         starts.append((p, before))
         before += n
     places = df.sparkSession.createDataFrame(starts, "_p int, _s long")
-    return sorted_.join(F.broadcast(places), "_p").withColumn(name, F.col("_s") + F.col("_i") + 1).drop("_p", "_i", "_s")  # one row a partition
+    out = sorted_.join(F.broadcast(places), "_p").withColumn(name, F.col("_s") + F.col("_i") + 1).drop("_s")  # one row a partition
+    return out if parts else out.drop("_p", "_i")
 
 
 def running_within(df: DataFrame, keys: list[str], order: list, number: str = "n", sums: dict[str, Column] | None = None) -> DataFrame:

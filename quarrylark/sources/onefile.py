@@ -15,7 +15,10 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -46,24 +49,22 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator) -> Written:
         out, total = os.open(self.temp, os.O_WRONLY), 0
         try:
-            start, held = 0, []
             for batch in iterator:
-                for at, text in zip(batch.column("at").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                    if held and (at != start + sum(map(len, held)) or len(held) >= 4096):
-                        total += self._put(out, start, held)
-                        held = []
-                    start = start if held else at
-                    held.append(text)
-            if held:
-                total += self._put(out, start, held)
+                at, texts = batch.column("at").to_numpy(), batch.column("bytes").cast(pa.large_binary())
+                if not len(at):
+                    continue
+                ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(at) + 1]
+                data = memoryview(texts.buffers()[2] or b"")
+                breaks = np.flatnonzero(at[1:] != at[:-1] + np.diff(ends)[:-1]) + 1
+                for i, j in pairwise([0, *breaks.tolist(), len(at)]):  # rows that follow each other lie side by side in the batch
+                    total += self._put(out, int(at[i]), data[ends[i] : ends[j]])
             os.fsync(out)
         finally:
             os.close(out)
         return Written(total)
 
     @staticmethod
-    def _put(out: int, at: int, parts: list[bytes]) -> int:
-        data = memoryview(b"".join(parts))
+    def _put(out: int, at: int, data: memoryview) -> int:
         for i in range(0, len(data), BUFFER):
             block, done = data[i : i + BUFFER], 0
             while done < len(block):
@@ -95,9 +96,11 @@ class Bytes(DataSource):
         return _Writer(self.options["temp"], self.options["path"], int(self.options["size"]))
 
 
-def _sorted(df: DataFrame, order: list, text: Column) -> DataFrame:
-    """b (bytes), _p (partition), _i (place in it) of all rows in order, written once."""
+def _sorted(df: DataFrame, order: list | None, text: Column) -> DataFrame:
+    """b (bytes), _p (partition), _i (place in it) of all rows in order, written once; without an order the rows have their _p and _i."""
     low = F.lit((1 << 33) - 1)
+    if order is None:
+        return materialise(df.select(F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("b"), "_p", "_i"), "lines")
     rows = df.orderBy(*order).select(F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("b"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(low).alias("_i"))
     return materialise(rows, "lines")
 
@@ -117,10 +120,10 @@ def placed(rows: DataFrame, between: str, head: str) -> tuple[DataFrame, int, in
     return joined.select((F.col("_at") + F.coalesce(F.sum(F.octet_length("bytes")).over(upto), F.lit(0))).alias("at"), "bytes"), count, at
 
 
-def write_file(df: DataFrame, path: str, order: list, text: Column, between: str = "\n", head: str = "", tail: str = "\n", empty: str = "") -> int:
+def write_file(df: DataFrame, path: str, order: list | None, text: Column, between: str = "\n", head: str = "", tail: str = "\n", empty: str = "") -> int:
     """One file of the rows' texts in a total order, `between` them, after head and before tail; `empty` where there is no row. Gives its bytes.
 
-    A null text is empty. A file that is there already is replaced when the new one is whole.
+    order None: rows come with _p and _i (`ordering.running_number`). A null text is empty. A file that is there already is replaced when the new one is whole.
     """
     spark = df.sparkSession
     lines = _sorted(df, order, text)

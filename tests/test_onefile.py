@@ -89,3 +89,32 @@ def test_reference_files(spread, tmp_path, code):
     (path,) = R.write_references(df.limit(0), [code], f"{tmp_path}/none.x", ["uid"])
     with open(path) as f:
         assert path.endswith("none.x") and f.read() == ("[]\n" if code == "CSL" else "")
+
+
+def test_neighbouring_rows_are_written_at_once(tmp_path):
+    """Runs of rows that follow each other, a gap, an empty text and a sliced batch; the time is that of the bytes."""
+    import time
+
+    import pyarrow as pa
+
+    texts = [b"%06d;" % i for i in range(200_000)]
+    places = [i * 7 for i in range(200_000)]
+    batch = lambda at, b: pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(b, pa.binary())], ["at", "bytes"])
+    temp, path = str(tmp_path / "t"), str(tmp_path / "f")
+    open(temp, "wb").close()
+    w = O._Writer(temp, path, 1_400_000)
+    began = time.process_time()
+    done = w.write(iter([batch(places[150_000:], texts[150_000:]), batch([], []), batch(places[:10] + [70] + places[10:100_000], texts[:10] + [b""] + texts[10:100_000]), batch(places, texts).slice(100_000, 50_000)]))
+    assert done.n == 1_400_000 and time.process_time() - began < 1
+    w.commit([done])
+    assert open(path, "rb").read() == b"".join(texts)
+
+
+def test_rows_that_are_placed_are_not_sorted_again(spark, tmp_path):
+    from quarrylark.operators.ordering import running_number
+
+    df = spark.range(1000, numPartitions=4).selectExpr("cast(id * 7919 % 1000 as string) AS t").repartition(5)
+    rows = running_number(df, ["t"], "n", parts=True)
+    size = O.write_file(rows, str(tmp_path / "f"), None, rows["t"], ", ", "<", ">")
+    text = (tmp_path / "f").read_text()
+    assert text == "<" + ", ".join(sorted(map(str, range(1000)))) + ">" and size == len(text)

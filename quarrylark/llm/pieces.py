@@ -1,14 +1,15 @@
 """Encoding and decoding with the pieces of a SentencePiece model by streaming Viterbi.
 
 The best segmentation maximises the sum of piece scores. Characters arrive one after another, in slices of any length.
-Only the last max-piece characters can begin a piece that is still to come, so only boundaries in that window gain paths;
-one that has left it without a path through it is forgotten, and so, back along its pointers, are those that only led to
-it. After every character the oldest boundary is looked at: while a single path goes on from it, all survivors meet in
-its next boundary, and the id between them is final and is given out. Memory is the window and what has not met yet.
+Only the last max-piece characters can begin a piece that is still to come, so only paths to boundaries in that window go
+on. After every slice these are followed back, the farthest first, until all of them meet in one boundary: the ids before it
+are final and are given out. Memory is a slice, the window and what has not met yet; when that is long, it is followed back
+again once it has doubled.
 
-Where no piece of the vocabulary goes on over a boundary (before a space mark that follows another character) all paths
-meet there and the stream starts afresh, so what lies between two such boundaries in a slice has one answer; the stream's
-answers are remembered in a bounded memo. What a slice leaves open goes on in the next.
+No piece of the vocabulary goes on over a boundary before a space mark that follows another character, so all paths meet
+there, and what lies between two such boundaries, a word, has one answer. Each word of a batch of texts is encoded once, and
+answers are remembered in a bounded memo; words that it doesn't know go through the window one behind the other, and their
+ids are told apart at these boundaries.
 
 Characters that are no piece become their bytes' pieces. The model's own scores are used as they are, whatever way
 they were trained; ties go to the longer last piece. Defined results: null text is empty and has no ids; decode
@@ -20,14 +21,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
-import operator
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,11 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO = 250_000
 #: Characters that are taken from a text at a time.
 SLICE = 1 << 16
+#: Words that are looked up at a time.
+WORDS = 1 << 19
+#: An open part above this is followed back again when it has doubled.
+OFTEN = 4096
 NEVER = float("-inf")
-FIRST = operator.itemgetter(0)
 
 
 def fields(buf: bytes) -> Iterator[tuple[int, int | float | bytes]]:
@@ -103,94 +107,117 @@ class Pieces:
         self.longest = max(map(len, self.use))
         self.worst = min(self.score[i] for i in self.use.values()) - 10.0
         self.singles = frozenset(t for t in self.use if len(t) == 1)
+        letters = self.singles.union(*self.use)
+        #: Stands for every character that is in no piece.
+        self.blank = next(c for c in map(chr, range(0x110000)) if c not in letters)
+        self.foreign = re.compile(f"[^{re.escape(''.join(letters))}]")
+        self.unlike = re.compile(f"[^{re.escape(''.join(self.singles))}]" if self.singles else "(?s:.)")
         self.found = ahocorasick.Automaton()
+        for c in {self.blank} | letters - self.singles:  # no pieces themselves, they become their bytes'
+            self.found.add_word(c, (1, self.worst, -1))
         for t, i in self.use.items():
             self.found.add_word(t, (len(t), self.score[i], i))
         self.found.make_automaton()
         #: No piece goes on over a mark that follows another character.
-        self.cuts = not any(MARK in t.lstrip(MARK) for t in self.use)
-        #: Answers by chunk, the later and the earlier half.
-        self.memo: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-        #: Ids that aren't their own text.
-        self.odd = frozenset(i for i, k in enumerate(self.kind) if k in (BYTE, UNKNOWN, CONTROL))
+        self.cuts = MARK in self.singles and not any(MARK in t.lstrip(MARK) for t in self.use)
+        #: Packed answers by word, the later and the earlier half.
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: By id: it begins with a mark, isn't marks alone, stands for nothing; its bytes in a text.
+        self.marked = np.array([t.startswith(MARK) for t in self.text])
+        self.solid = np.array([t.strip(MARK) != "" for t in self.text])
+        self.silent = np.array([k == CONTROL for k in self.kind])
+        self.raw = pa.array([self._bytes(t, k) for t, k in zip(self.text, self.kind, strict=True)], pa.binary())
+
+    @staticmethod
+    def _bytes(text: str, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(text[3:5], 16)])
+        return (" ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else text.replace(MARK, " ")).encode()
 
     def ids_of(self, id_: int, char: str) -> tuple[int, ...]:
         return (id_,) if id_ >= 0 else tuple(self.byte.get(b, self.unknown) for b in char.encode()) if self.byte else (self.unknown,)
 
     def stream(self, parts: Iterable[str]) -> Iterator[list[int]]:
         """Ids of one text that comes in parts, given out as soon as they are final."""
-        s, first, closes, memo = Stream(self), True, False, self.memo
+        s, lead = Stream(self), " " if self.prefix else ""
         for part in parts:
-            if not part:
-                continue
-            if first and self.prefix:
-                part = " " + part
-            first = False
-            part = part.replace(" ", MARK)
-            if not self.cuts:
-                yield s.feed(part)
-                continue
-            out: list[int] = []
-            if closes and part[0] == MARK:
-                out += s.finish()
-            words = SPLIT.findall(part)
-            if s.open:
-                out += s.feed(words[0])
-                if len(words) > 1:
-                    out += s.finish()
-                words = words[1:]
-            for w in words[:-1]:
-                got = memo.get(w)
-                if got is None:
-                    got = self.older.get(w)
-                    if got is None:
-                        got = s.feed(w) + s.finish()
-                    if len(w) <= 2 * self.longest:  # others hardly come again
-                        memo[w] = got
-                        if len(memo) >= MEMO // 2:
-                            self.older, self.memo = memo, {}
-                            memo = self.memo
-                out += got
-            if words:  # it may go on in the next part
-                out += s.feed(words[-1])
-            closes = part[-1] != MARK
-            yield out
+            if part:
+                yield s.feed((lead + part).replace(" ", MARK))
+                lead = ""
         yield s.finish()
 
     def encode(self, text: str) -> list[int]:
         return [i for part in self.stream(text[a : a + SLICE] for a in range(0, len(text), SLICE)) for i in part]
 
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, as lists of int32 without nulls."""
+        lead = " " if self.prefix else ""
+        if not self.cuts:
+            return pa.array([self.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+        raw = [(lead + t).replace(MARK, " ").encode() if t else b"" for t in texts.to_pylist()]
+        data = b"".join(raw)
+        ends = np.cumsum([0, *map(len, raw)])
+        space = np.frombuffer(data, np.uint8) == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[ends[:-1][np.diff(ends) > 0]] = True
+        at = np.flatnonzero(begins)
+        words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data))
+        blocks = [pa.array([], pa.list_(pa.int32()))]
+        for a in range(0, len(words), WORDS):
+            block = words.slice(a, WORDS).dictionary_encode()
+            answers = self._answers(block.dictionary.to_numpy(zero_copy_only=False).tolist())
+            starts = np.cumsum([0, *map(len, answers)]) // 4
+            blocks.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(answers), "<i4"))).take(block.indices))
+        ids = pa.concat_arrays(blocks)
+        return pa.ListArray.from_arrays(ids.offsets.take(pa.array(np.searchsorted(at, ends))), ids.values)
+
+    def _answers(self, words: list[str]) -> list[bytes | None]:
+        """Packed ids of words that all differ."""
+        got = [self.memo.get(w) or self.older.get(w) for w in words]
+        new = [i for i, ids in enumerate(got) if ids is None]
+        run = [i for i in new if words[i][0] == " " != words[i][-1]]  # the next one begins with a mark, so all paths meet before it
+        s = Stream(self)
+        if run:
+            text = "".join([words[i] for i in run]).replace(" ", MARK)
+            parts = [np.array(s.feed(text[a : a + SLICE]), "<u4") for a in range(0, len(text), SLICE)]
+            flat = np.concatenate([*parts, np.array(s.finish(), "<u4")])
+            cuts = (np.flatnonzero(self.solid[flat[:-1]] & self.marked[flat[1:]]) + 1) * 4
+            flat, cuts = flat.tobytes(), [0, *cuts.tolist(), 4 * len(flat)]
+            for i, a, b in zip(run, cuts[:-1], cuts[1:], strict=True):
+                got[i] = flat[a:b]
+        for i in new:
+            if got[i] is None:  # marks alone, or none before it
+                ids = s.feed(words[i].replace(" ", MARK)) + s.finish()
+                got[i] = struct.pack(f"<{len(ids)}I", *ids)
+        self.memo.update((words[i], got[i]) for i in new if len(words[i]) <= 2 * self.longest)  # others hardly come again
+        if len(self.memo) >= MEMO // 2:
+            self.older, self.memo = self.memo, {}
+        return got
+
     def decode(self, ids: list[int]) -> str:
-        if self.odd.isdisjoint(ids):
-            text = "".join(map(self.text.__getitem__, ids)).replace(MARK, " ")
-            return text[1:] if self.prefix and text.startswith(" ") else text
-        out, raw = [], bytearray()
-        for i in ids:
-            if self.kind[i] == BYTE:
-                raw.append(int(self.text[i][3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw = bytearray()
-            if self.kind[i] == UNKNOWN:
-                out.append(" ⁇ ")
-            elif self.kind[i] != CONTROL:
-                out.append(self.text[i])
-        out.append(raw.decode(errors="replace"))
-        text = "".join(out).replace(MARK, " ")
+        out, at = [], np.asarray(ids, np.int64)
+        for part in np.split(at, np.flatnonzero(self.silent[at])):
+            out.append(b"".join(self.raw.take(pa.array(part)).to_pylist()).decode(errors="replace"))
+        return self._text("".join(out))
+
+    def decode_all(self, ids: pa.Array) -> list[str]:
+        """The text of each list of ids, without nulls."""
+        if self.silent[ids.values.to_numpy()].any():
+            return [self.decode(x) for x in ids.to_pylist()]
+        raw = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.raw.take(ids.values)), b"")
+        return [self._text(x.decode(errors="replace")) for x in raw.to_pylist()]
+
+    def _text(self, text: str) -> str:
+        text = text.replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-#: A run of marks with what follows up to the next mark.
-SPLIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-
-
 class Stream:
     """Viterbi whose memory is the window of the longest piece and what has not met yet.
 
-    Lists are by boundary, from the oldest that is kept: its best score, the size and id of the last piece before it,
-    and of those looked at how many boundaries point back to it, and their sum.
+    Lists are by boundary, from the oldest that is kept: its best score, the size and id of the last piece before it.
     """
 
     def __init__(self, p: Pieces):
@@ -200,8 +227,8 @@ class Stream:
     def _fresh(self) -> None:
         self.tail = ""  # the last characters, short of the longest piece
         self.low = self.root = self.end = 0  # of the lists, the oldest boundary not given out, the last one
+        self.again = 0  # the end at which paths are followed back again
         self.best, self.size, self.id = [0.0], [0], [0]
-        self.kids, self.ways = [], []  # of the boundaries that have been looked at
         self.odd: dict[int, str] = {}  # characters that are no piece, by the boundary after them
 
     @property
@@ -212,17 +239,16 @@ class Stream:
         """Take the next characters; the ids that they make final."""
         p, tail, start = self.p, self.tail, self.end
         best, size, ids, low = self.best, self.size, self.id, self.low
-        hits = p.found.iter(tail + text)  # pieces may begin in what came before
         if not p.singles.issuperset(text):
-            odd = [i for i, c in enumerate(text, len(tail)) if c not in p.singles]
-            self.odd.update((start - len(tail) + i + 1, text[i - len(tail)]) for i in odd)
-            hits = heapq.merge(hits, [(i, (1, p.worst, -1)) for i in odd], key=FIRST)
+            self.odd.update((start + m.end(), m[0]) for m in p.unlike.finditer(text))
+            text = p.foreign.sub(lambda _: p.blank, text)
         n = len(text)
         best += [NEVER] * n
         size += [1] * n
         ids += [-1] * n
+        text = tail + text  # pieces may begin in what came before
         shift, first = start - len(tail) + 1 - low, start - low
-        for end, (m, x, j) in hits:  # in order of their ends, the longer before the shorter
+        for end, (m, x, j) in p.found.iter(text):  # in order of their ends, the longer before the shorter
             end += shift
             if end > first:
                 x += best[end - m]
@@ -231,65 +257,53 @@ class Stream:
                     size[end] = m
                     ids[end] = j
         self.end = start + n
-        self.tail = (tail + text)[1 - p.longest :] if p.longest > 1 else ""
-        return self._commit() if self.end - p.longest >= self.root else []
+        self.tail = text[1 - p.longest :] if p.longest > 1 else ""
+        return self._commit() if self.end >= self.again else []
 
     def _commit(self) -> list[int]:
-        """Boundary by boundary: what is final once the window has moved on to it."""
-        p, out = self.p, []
-        best, size, ids, kids, ways, low, root = self.best, self.size, self.id, self.kids, self.ways, self.low, self.root
-        for e in range(low + len(kids), self.end + 1):
-            kids.append(0)
-            ways.append(0)
-            if e > low:
-                kids[e - size[e - low] - low] += 1
-                ways[e - size[e - low] - low] += e
-            gone = e - p.longest  # it has left the window: nothing new will point back to it
-            if gone < root:
-                continue
-            at = gone
-            while root < at <= gone and not kids[at - low]:
-                self.odd.pop(at, None)
-                before = at - size[at - low]
-                kids[before - low] -= 1
-                ways[before - low] -= at
-                at = before
-            while root <= gone and kids[root - low] == 1:
-                root = ways[root - low]
-                i = ids[root - low]
-                if i < 0:
-                    out += p.ids_of(i, self.odd.pop(root))
-                else:
-                    out.append(i)
-        if root - low > 4096:  # forget what has been given out
-            cut, zero = root - low, best[root - low]
-            for x in (size, ids, kids, ways):
+        """The ids before the boundary where all paths that may go on meet."""
+        at, low, root, size = self.end, self.low, self.root, self.size
+        alive = set(range(max(root, at + 1 - self.p.longest), at + 1))
+        while len(alive) > 1:
+            if at in alive:
+                alive.remove(at)
+                alive.add(at - size[at - low])
+            at -= 1
+        (at,) = alive
+        out = self._ids(at)
+        if self.odd and at > root:
+            self.odd = {e: c for e, c in self.odd.items() if e > at}
+        if at - low > 4096:  # forget what has been given out
+            cut, best = at - low, self.best
+            zero = best[cut]
+            for x in (size, self.id):
                 del x[:cut]
             best[:] = [x - zero for x in best[cut:]]
-            self.low = root
-        self.root = root
+            self.low = at
+        self.root = at
+        still = self.end - at
+        self.again = self.end + still if still > OFTEN else 0
         return out
 
-    def finish(self) -> list[int]:
-        """Nothing goes on over the last boundary: all that is open becomes final."""
-        out, e, end, size, ids = [], self.end - self.low, self.root - self.low, self.size, self.id
-        while e > end:
+    def _ids(self, end: int) -> list[int]:
+        """Along the best path to a boundary, from the last that was given out."""
+        out, e, root, size, ids = [], end - self.low, self.root - self.low, self.size, self.id
+        while e > root:
             i = ids[e]
             if i >= 0:
                 out.append(i)
             else:
                 out += self.p.ids_of(i, self.odd[e + self.low])[::-1]
             e -= size[e]
-        del self.best[1:], size[1:], ids[1:]
-        self.best[0] = 0.0
-        self.tail, self.low, self.root, self.end = "", 0, 0, 0
-        if self.kids:
-            self.kids, self.ways = [], []
-        if self.odd:
-            self.odd = {}
         out.reverse()
         return out
 
+    def finish(self) -> list[int]:
+        """Nothing goes on over the last boundary: all that is open becomes final."""
+        out = self._ids(self.end)
+        self._fresh()
+        return out
+
 
 @functools.lru_cache(2)
 def vocabulary(path: str) -> Pieces:
@@ -311,8 +325,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     def run(batches):
         p = vocabulary(model_path(path))
         for b in batches:
-            ids = [p.encode(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), p.encode_all(b.column("text"))], ["key", "ids"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
@@ -339,15 +352,17 @@ def op6_piece_codec(spark, sf_dir):
     def run(batches):
         p = vocabulary(model_path(None))
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for t in b.column("text").to_pylist():
-                t = t or ""
-                ids = p.encode(t)
-                back = p.decode(ids)
-                row = (len(t.encode()), len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), hashlib.sha256(back.encode()).hexdigest(), back == t.replace(MARK, " "))
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_ids", "ids_crc32", "decoded_sha256", "exact"])
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            ids = p.encode_all(b.column("text"))
+            back = p.decode_all(ids)
+            flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_pylist()
+            cols = [
+                pa.array([len(t.encode()) for t in texts], pa.int64()),
+                ids.value_lengths().cast(pa.int64()),
+                pa.array([zlib.crc32(flat[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
+                pa.array([x == t.replace(MARK, " ") for x, t in zip(back, texts, strict=True)], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_ids", "ids_crc32", "decoded_sha256", "exact"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_ids long, ids_crc32 long, decoded_sha256 string, exact boolean")

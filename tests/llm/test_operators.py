@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,6 +470,82 @@ def test_piece_stream_of_a_long_text_without_marks():
     assert len(s.best) < 10_000 and p.decode([*out, *s.finish()]) == text
 
 
+def test_pieces_of_a_batch(monkeypatch):
+    """Words told apart by their ids: the same as each text through the window alone, whatever was in the memo and the batch."""
+    p = pieces.Pieces(pieces.model_path(None))
+    rnd = random.Random(10)
+    alphabet = ["the", " ", " ", "  ", "\n", "é", "😀", "日", "\0", "x" * 90, "ing", "a", "Z", "▁", "qz", "\ufffd", ".", "0"]
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randrange(0, 40))) for _ in range(400)] + [None, "", " ", "   ", "▁", "a ", " a", "\n", "😀 😀"]
+    want = [p.encode(t or "") for t in texts]
+    for words, memo, slice_ in ((1 << 19, 250_000, 1 << 16), (7, 10, 5)):
+        monkeypatch.setattr(pieces, "WORDS", words)
+        monkeypatch.setattr(pieces, "MEMO", memo)
+        monkeypatch.setattr(pieces, "SLICE", slice_)
+        for _ in range(2):
+            got = p.encode_all(pa.array(texts))
+            assert got.to_pylist() == want
+            assert p.decode_all(got) == [(t or "").replace("▁", " ") for t in texts]
+        assert p.encode_all(pa.array([], pa.string())).to_pylist() == p.decode_all(p.encode_all(pa.array([], pa.string()))) == []
+        p.memo, p.older = {}, {}
+    p.prefix = False
+    assert p.encode_all(pa.array(texts)).to_pylist() == [p.encode(t or "") for t in texts]
+    p.cuts = False
+    assert p.encode_all(pa.array(texts)).to_pylist() == [p.encode(t or "") for t in texts]
+
+
+def test_piece_words_go_through_the_window_together(monkeypatch):
+    """A batch's words cost one run through the window, and its ids come out where paths meet, not by closing the stream."""
+    p = pieces.Pieces(pieces.model_path(None))
+    rnd = random.Random(11)
+    texts = [" ".join("".join(rnd.choices(["th", "in", "é", "qu", "er", "s,"], k=rnd.randrange(1, 6))) for _ in range(300)) for _ in range(20)]
+    fed, closed = [], []
+    feed, finish = pieces.Stream.feed, pieces.Stream.finish
+    monkeypatch.setattr(pieces.Stream, "feed", lambda s, t: fed.append(feed(s, t)) or fed[-1])
+    monkeypatch.setattr(pieces.Stream, "finish", lambda s: closed.append(finish(s)) or closed[-1])
+    run = getattr(p, "encode_all", lambda a: [p.encode(t) for t in a.to_pylist()])
+    run(pa.array(texts))
+    assert len(fed) <= 3 and sum(map(len, closed)) <= 10 * len(closed) < 100
+    assert sum(map(len, fed)) > 1000
+
+
+def test_piece_decode_of_any_ids():
+    p = pieces.Pieces(pieces.model_path(None))
+    rnd = random.Random(12)
+    of = {k: [i for i, x in enumerate(p.kind) if x == k] for k in set(p.kind)}
+    rows = [[rnd.choice(of[rnd.choice(kinds)]) for _ in range(rnd.randrange(0, 12))] for kinds in ([*of], [1, 6], [1, 6, 2], [6]) for _ in range(200)]
+
+    def plain(ids):
+        out, raw = [], bytearray()
+        for i in [*ids, None]:
+            if i is not None and p.kind[i] == pieces.BYTE:
+                raw.append(int(p.text[i][3:5], 16))
+                continue
+            out.append(raw.decode(errors="replace"))
+            raw = bytearray()
+            if i is not None and p.kind[i] != pieces.CONTROL:
+                out.append(" ⁇ " if p.kind[i] == pieces.UNKNOWN else p.text[i])
+        text = "".join(out).replace("▁", " ")
+        return text[1:] if text.startswith(" ") else text
+
+    want = [plain(x) for x in rows]
+    assert [p.decode(x) for x in rows] == want == p.decode_all(pa.array(rows, pa.list_(pa.int32())))
+    assert p.decode_all(pa.array(rows[200:], pa.list_(pa.int32()))) == want[200:]
+    assert p.decode_all(pa.array(rows[200:], pa.list_(pa.int32())).slice(5, 9)) == want[205:214]
+
+
+def test_piece_stream_whose_paths_do_not_meet(monkeypatch):
+    """Runs of one character: paths of different phase go on beside each other; followed back seldom, ids are the same."""
+    p = pieces.Pieces(pieces.model_path(None))
+    text = "z" * 3001 + "the" + "-" * 5000 + "é" * 999
+    whole = pieces.Stream(p)
+    want = whole.feed(text) + whole.finish()
+    monkeypatch.setattr(pieces, "OFTEN", 20)
+    for n in (1, 7, 1000):
+        s = pieces.Stream(p)
+        assert [i for a in range(0, len(text), n) for i in s.feed(text[a : a + n])] + s.finish() == want
+    assert p.decode(want) == text
+
+
 def test_pieces_frames(docs, none):
     enc = pieces.encoded(docs)
     back = {r.doc_id: r.text for r in pieces.decoded(enc).collect()}
